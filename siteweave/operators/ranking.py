@@ -68,9 +68,9 @@ def best_by(df: DataFrame, keys: list[str], metric: str, what: str) -> DataFrame
 
 def capture_curve(df: DataFrame, score: str, error: str, fractions: tuple[float, ...] = (0.05, 0.1, 0.2)) -> DataFrame:
     """(fraction, m, share, lift): the share of all error among the m rows of highest score."""
-    ranked = global_rank(df.select(score, F.abs(error).alias("__e")), score, descending=True)
+    ranked = global_rank(df.select(score, F.abs(error).alias("__abs")), score, descending=True)
     n = df.agg(F.count(F.lit(1)).alias("__n"))
     ms = [F.greatest(F.lit(1).cast("long"), F.bround(f * F.col("__n")).cast("long")) for f in fractions]
-    sums = ranked.crossJoin(F.broadcast(n)).agg(F.max("__n").alias("__n"), F.sum("__e").alias("__t"), *[F.sum(F.when(F.col("row") <= m, F.col("__e"))).alias(f"__s{i}") for i, m in enumerate(ms)])  # one row
+    sums = ranked.crossJoin(F.broadcast(n)).agg(F.max("__n").alias("__n"), F.sum("__abs").alias("__t"), *[F.sum(F.when(F.col("row") <= m, F.col("__abs"))).alias(f"__s{i}") for i, m in enumerate(ms)])  # one row
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), m.alias("m"), F.try_divide(F.col(f"__s{i}"), F.col("__t")).alias("share")) for i, (f, m) in enumerate(zip(fractions, ms, strict=True))]))
     return sums.select(each.alias("e")).select("e.fraction", "e.m", "e.share", (F.col("e.share") / F.col("e.fraction")).alias("lift"))
