@@ -105,8 +105,8 @@ def read_bundle(spark: SparkSession, root: str, name: str, table: str) -> DataFr
 
 def list_bundles(spark: SparkSession, root: str) -> DataFrame:
     """(bundle, table) of what write_bundle() has written under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(root)
-    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/_SUCCESS$", 1).alias("bundle"), F.regexp_extract("path", r"([^/]+)/_SUCCESS$", 1).alias("table")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(root)
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/part-[^/]*$", 1).alias("bundle"), F.regexp_extract("path", r"([^/]+)/part-[^/]*$", 1).alias("table")).distinct()
 
 
 def export(df: DataFrame, path: str, kind: str = "csv") -> None:
