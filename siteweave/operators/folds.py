@@ -43,7 +43,7 @@ def _numbered(df: DataFrame, name: str, parts: list[Column]) -> DataFrame:
 
 def location_folds(df: DataFrame, k: int, seed: int, decimals: int = 6) -> DataFrame:
     """Rows of one place (coordinates rounded) share a fold."""
-    return group_folds(_numbered(df, "group", [F.round("latitude", decimals), F.round("longitude", decimals)]), "group", k, seed)
+    return group_folds(_numbered(df, "group", [F.lit(seed), F.round("latitude", decimals), F.round("longitude", decimals)]), "group", k, seed)
 
 
 def distance_groups(df: DataFrame, link_m: float, decimals: int = 7) -> DataFrame:
@@ -59,7 +59,7 @@ def distance_groups(df: DataFrame, link_m: float, decimals: int = 7) -> DataFram
 
 
 def block_folds(df: DataFrame, metres: float, k: int, seed: int) -> DataFrame:
-    return group_folds(_numbered(df, "group", [metric_block(F.col("latitude"), F.col("longitude"), metres)]), "group", k, seed)
+    return group_folds(_numbered(df, "group", [F.lit(seed), metric_block(F.col("latitude"), F.col("longitude"), metres)]), "group", k, seed)
 
 
 def split3(df: DataFrame, seed: int, key: str = "k") -> DataFrame:
@@ -97,10 +97,11 @@ def apply_buffer(df: DataFrame, fold: int, km: float, least: int = 10, key: str
     return kept.crossJoin(F.broadcast(enough)).drop("__n")  # one row or none
 
 
+#: Fold schemes by name. The seed enters the hash itself, so that folds of two seeds are independent.
 SCHEMES = {
-    "random": lambda df, k, seed: random_folds(df, k, seed),
+    "random": lambda df, k, seed: df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(k)).cast("int")),
     "location": lambda df, k, seed: location_folds(df, k, seed),
-    "linked_25m": lambda df, k, seed: group_folds(distance_groups(df, 25.0), "group", k, seed),
+    "linked_25m": lambda df, k, seed: group_folds(_numbered(distance_groups(df, 25.0), "group", [F.lit(seed), F.col("group")]), "group", k, seed),
     "block_25m": lambda df, k, seed: block_folds(df, 25.0, k, seed),
     "block_50m": lambda df, k, seed: block_folds(df, 50.0, k, seed),
 }
