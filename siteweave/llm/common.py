@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,3 +100,33 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
         out = (out ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
+
+
+#: Counters in one block of a table of counts.
+COUNT_BLOCK = 4096
+COUNT_TYPES = "block int, counts binary"
+
+
+def count_blocks(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Numbers and contents of the blocks of a task's counts that are not all zero."""
+    found = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(counts.reshape(-1, COUNT_BLOCK)) if b.any()]
+    return [i for i, _ in found], [b for _, b in found]
+
+
+def summed_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' counts (block, counts), added up by block; size numbers come back, whatever the corpus."""
+
+    def summed(items):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches(items):
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one = np.frombuffer(zlib.decompress(b), np.int64)
+                totals[i] = totals[i] + one if i in totals else one
+        keys = sorted(totals)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(keys, pa.int32()), "counts": pa.array([zlib.compress(totals[k].tobytes(), 1) for k in keys], pa.binary())})
+
+    out = np.zeros(size, np.int64)
+    # A task adds up its rows one by one, so a block with a row from every task of a large corpus fits.
+    for r in rows.select("block", "counts").repartition(F.col("block")).mapInArrow(summed, COUNT_TYPES).collect():
+        out[r["block"] * COUNT_BLOCK : (r["block"] + 1) * COUNT_BLOCK] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return out

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import appended, batches, lowered_spaces_table, prepare, sequence_hashes, utf8, with_schema, word_hashes
+from .common import COUNT_TYPES, appended, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, utf8, with_schema, word_hashes
 
 #: Buckets of the hashed models: the size of what is sent to every task.
 BUCKETS = 1 << 17
 #: Labelled documents that a target model reads at most, drawn by a hash of their ids.
 FIT_ROWS = 20_000
-_BLOCK = 4096
 
 
 def ngram_buckets(text: bytes, memo: dict, table: bytes = lowered_spaces_table()) -> np.ndarray:
@@ -29,7 +28,7 @@ def ngram_buckets(text: bytes, memo: dict, table: bytes = lowered_spaces_table()
 
 
 def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each bucket occurs in all of docs: one small row of blocks from each task, summed by block."""
+    """How often each bucket occurs in all of docs: each task sends small blocks of counts, which are summed by block."""
     prepare(docs.sparkSession)
 
     def counted(items):
@@ -37,21 +36,10 @@ def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches(items):
             found = [ngram_buckets(x, memo) for x in utf8(batch.column(0))]
             total += np.bincount(np.concatenate(found), minlength=BUCKETS)
-        if total.any():
-            blocks = total.reshape(-1, _BLOCK)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "n": pa.array([b.tobytes() for b in blocks], pa.binary())})
-
-    def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total = np.zeros(_BLOCK, np.int64)
-        for x in table.column("n").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(BUCKETS, np.int64)
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(counted, "block int, n binary").groupBy("block").applyInArrow(summed, "block int, n binary")
-    for r in rows.collect():  # BUCKETS numbers, whatever the corpus
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["n"], np.int64)
-    return out
+        blocks, held = count_blocks(total)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "counts": pa.array(held, pa.binary())})
+
+    return summed_counts(docs.select(F.col(text).alias("text")).mapInArrow(counted, COUNT_TYPES), BUCKETS)
 
 
 @dataclass

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import checkpointed
-from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
+from .common import COUNT_TYPES, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, utf8, word_hashes
 
 #: Bands and min-hashes of a band that decide which sets meet; a pair of Jaccard similarity 0.85 misses all bands once in 7e8.
 BANDS, ROWS = 64, 8
 #: Sets up to this size meet by their prefixes instead, which is exact.
 SMALL = 128
-#: Sets of one block; a larger group is searched block against block.
-BLOCK_SETS = 4000
+#: Sets and shingles of one block; a larger group is searched block against block.
+BLOCK_SETS, BLOCK_SHINGLES = 4000, 2_000_000
+#: Counters of the sketch of shingle frequencies: what is sent to every task.
+SKETCH = 1 << 18
 
 
 def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_table()) -> np.ndarray:
@@ -52,8 +54,17 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which two linked sets share one: band hashes, and for small sets the shingles of the prefix."""
+def sketched(s: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (s >> np.uint64(17)).astype(np.int64) & (SKETCH - 1)
+
+
+def meeting_keys(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """Keys of which two linked sets share one: band hashes, and for small sets the shingles of the prefix.
+
+    A prefix may follow any order that is the same for all sets; rarest first, by the sketch's counts,
+    keeps shingles of passages that many documents share out of it.
+    """
     keys = []
     if len(s) > SMALL * percent // 100 - 1:
         m = min_hashes(s)
@@ -64,7 +75,8 @@ def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
         keys.append(h)
     if len(s) <= SMALL:
         least = -(-percent * len(s) // 100)
-        keys.append(s[: len(s) - least + 1] * np.uint64(0xD6E8FEB86659FD93))
+        rare = s[np.lexsort((s, counts[sketched(s)]))]
+        keys.append(rare[: len(s) - least + 1] * np.uint64(0xD6E8FEB86659FD93))
     return np.unique(np.concatenate(keys))
 
 
@@ -90,7 +102,6 @@ def t_occurrence(sets: list[np.ndarray], percent: int, joined, queries: range |
         if queries is None or i in queries:
             own = sorted((x for x in (lists.get(t) for t in tokens) if x), key=len)
             floor = -(-percent * n // 100)  # a smaller set has this share of n at least, and all of it counts
-            missing = n - len(own)
             if len(own) >= floor:
                 long_ = min(floor - 1, len(own) - 1)
                 short, rest = own[: len(own) - long_], own[len(own) - long_ :]
@@ -116,7 +127,6 @@ def t_occurrence(sets: list[np.ndarray], percent: int, joined, queries: range |
                         left -= 1
                     if c >= need:
                         yield i, j
-            del missing
         for t in tokens:
             lists.setdefault(t, []).append(at)
 
@@ -143,7 +153,33 @@ class Unions:
         self.parent[b] = a
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS) -> DataFrame:
+def _parted(groups: DataFrame, block_sets: int, block_shingles: int, *ids: str) -> DataFrame:
+    """groups with the number of parts of each, so that a part holds about a block at most."""
+    sizes = groups.groupBy(*ids).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("parts"))
+    return groups.join(sizes, list(ids))
+
+
+def _cheaper(groups: DataFrame, met: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
+    """(kind, g, c, n_shingles, parts): the groups to search.
+
+    A component of classes that fits in a block is one group (kind 0). A larger one is searched by
+    whichever sends fewer sets to tasks: block against block as a whole, or each distinct set of
+    classes that share a key on its own (kind 1), as chains of keys can lead through many classes
+    of which few share one. Either way every two classes that share a key meet.
+    """
+    whole = checkpointed(_parted(groups, block_sets, block_shingles, "g").select(F.lit(0).alias("kind"), "g", "c", "n_shingles", "parts"))
+    large = whole.where("parts > 1")
+    if large.isEmpty():
+        return whole
+    alike = met.join(large.select("c", "n_shingles", F.col("g").alias("of")), "c").select("of", F.col("mark").alias("g"), "c", "n_shingles").distinct()
+    alike = checkpointed(_parted(alike, block_sets, block_shingles, "g"))
+    sent = large.groupBy("g").agg(F.sum("parts").alias("n")).join(alike.groupBy(F.col("of").alias("g")).agg(F.sum("parts").alias("m")), "g")
+    split = sent.where("m < n").select("g")
+    inner = alike.join(split, F.col("of") == split["g"], "left_semi").select(F.lit(1).alias("kind"), "g", "c", "n_shingles", "parts")
+    return whole.join(split, "g", "left_anti").select(*inner.columns).union(inner)
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
     Words are runs without white space, A-Z lowered. A document's set holds its distinct shingles of
@@ -151,10 +187,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     percent * union; component_id is the smallest doc_id that links lead to, its own included.
 
     Equal sets become one class, whose documents are linked without comparing. Classes that share a
-    meeting key are brought together (band hashes for large sets, prefixes for small ones); their
-    groups, found as connected components, are searched exactly by t_occurrence() in one task each,
-    or block against block if they have more than block_sets classes. Links are kept only as far as
-    they join components, so no group emits its pairs.
+    meeting key are brought together (band hashes for large sets, prefixes for small ones, rarest
+    shingles first by a sketch of all documents); their groups are searched exactly by
+    t_occurrence() in one task each, or block against block if they have more than block_sets
+    classes or block_shingles shingles. Links are kept only as far as they join components, so no
+    group emits its pairs, and components are sought among classes, so no copies enter them.
 
     Null and empty texts, and texts of white space, have no shingles, link with nothing and are their
     own component. A null key keeps a null component and takes no part. Rows that share a key share
@@ -162,15 +199,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     prepare(spark)
+    signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
 
     def shingled(items):
         memo: dict = {}
+        counts = np.zeros(SKETCH, np.int64)
         for batch in batches(items):
             sets = [shingles(x, shingle, memo) for x in utf8(batch.column(1))]
             names = [int(np.bitwise_xor.reduce((s * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (s >> np.uint64(32))) ^ np.uint64(len(s))) if len(s) else 0 for s in sets]
             other = [int(np.add.reduce(s * (s | np.uint64(1)))) if len(s) else 0 for s in sets]
-            signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": signed(names), "h2": signed(other)})
+            counts += np.bincount(np.concatenate([sketched(s) for s in sets]), minlength=SKETCH)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": signed(names), "h2": signed(other), "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
+        blocks, held = count_blocks(counts)
+        none = pa.nulls(len(blocks), pa.int64())
+        yield pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "h1": none, "h2": none, "block": pa.array(blocks, pa.int32()), "counts": pa.array(held, pa.binary())})
+
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    passed = checkpointed(slim.mapInArrow(shingled, f"doc_id long, n_shingles long, h1 long, h2 long, {COUNT_TYPES}"))
+    sketch = spark.sparkContext.broadcast(summed_counts(passed.where("block is not null"), SKETCH))
+    sized = passed.where("block is null").select("doc_id", "n_shingles", "h1", "h2")
 
     def keyed(items):
         memo: dict = {}
@@ -178,30 +225,29 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             ids, keys = [], []
             for i, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if len(s := shingles(x, shingle, memo)):
-                    keys.append(meeting_keys(s, percent).view(np.int64))
+                    keys.append(meeting_keys(s, percent, sketch.value).view(np.int64))
                     ids.append(np.full(len(keys[-1]), i, np.int64))
             if ids:
                 yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(keys)), "c": pa.array(np.concatenate(ids))})
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    sized = checkpointed(slim.mapInArrow(shingled, "doc_id long, n_shingles long, h1 long, h2 long"))
     real = sized.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("most")))
-    firsts = classes.select("c").distinct()
+    firsts = classes.groupBy("c").agg(F.max("n_shingles").alias("n_shingles"))
 
-    # One text stands for each class: the row of its smallest key whose set is the class's.
+    # One text stands for each class: the row of its smallest key.
     mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
-    met = mine.mapInArrow(keyed, "k long, c long").withColumn("least", F.min("c").over(Window.partitionBy("k"))).where("c <> least")
-    groups = connected_components(met.select("c", "least").distinct(), "c", "least").withColumnsRenamed({"node": "c", "component": "g"})
-    counts = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    placed = groups.join(counts, "g").withColumn("parts", F.ceil(F.col("n") / block_sets).cast("int"))
+    same_key = Window.partitionBy("k")
+    met = mine.mapInArrow(keyed, "k long, c long").withColumns({"least": F.min("c").over(same_key), "most": F.max("c").over(same_key), "mark": F.bit_xor(F.xxhash64("c")).over(same_key)})
+    met = checkpointed(met.where("least <> most").select("c", "least", "mark").distinct())
+    groups = connected_components(met.where("c <> least"), "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c")
+    placed = _cheaper(groups, met, block_sets, block_shingles)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     # A set goes to every pair of parts that has its own part in it.
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")))
-    placed = placed.withColumn("pair", F.explode(pairs)).select("g", "c", "part", "pair.p", "pair.q")
+    placed = placed.withColumn("pair", F.explode(pairs)).select("kind", "g", "c", "part", "pair.p", "pair.q")
 
     def searched(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        p, q = key_[1].as_py(), key_[2].as_py()
+        p, q = key_[2].as_py(), key_[3].as_py()
         table = table.sort_by([("c", "ascending")])
         labels, part = table.column("c").to_pylist(), table.column("part").to_pylist()
         memo: dict = {}
@@ -213,8 +259,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             out.append((labels[i], labels[j]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    block = slim.join(placed, F.col("doc_id") == F.col("c")).select("g", "p", "q", "c", "part", "t")
-    links = block.groupBy("g", "p", "q").applyInArrow(searched, "a long, b long")
-    same = classes.where("most <> c").join(real, ["n_shingles", "h1", "h2"]).select(F.col("c").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    found = connected_components(links.union(same))
-    return sized.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    block = slim.join(placed, F.col("doc_id") == F.col("c")).select("kind", "g", "p", "q", "c", "part", "t")
+    links = block.groupBy("kind", "g", "p", "q").applyInArrow(searched, "a long, b long")
+    # The classes of each key; a key whose rows have several texts links their classes.
+    copies = classes.where("most <> c").join(real, ["n_shingles", "h1", "h2"]).select("doc_id", "c")
+    members = checkpointed(copies.union(classes.where("most = c").select(F.col("c").alias("doc_id"), "c")).distinct())
+    first = members.groupBy("doc_id").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    several = members.join(first.where("least <> most"), "doc_id").select(F.col("c").alias("a"), F.col("least").alias("b"))
+    found = connected_components(links.union(several)).withColumnRenamed("node", "least")
+    known = first.join(found, "least", "left").select("doc_id", F.coalesce("component", "least").alias("component_id"))
+    return sized.join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
