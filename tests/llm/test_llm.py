@@ -38,6 +38,14 @@ def test_every_shard_matches_the_mixture(spark):
         assert all(abs(own[s] - n / 8) <= 3 for s, n in total.items())
 
 
+def test_small_sources_are_spread(spark):
+    rows = [(i, "hot" if i < 4000 else f"s{i}") for i in range(4400)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string"), 8, bucket_rows=100).collect()
+    lone = Counter(r["shard"] for r in got if r["source"] != "hot")
+    assert len(got) == 4400 and min(lone[k] for k in range(8)) >= 25
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(550)) for k in range(8))
+
+
 def test_tokens_equal_the_library(docs):
     from tokenizers import Tokenizer
 
@@ -125,8 +133,8 @@ def brute_components(texts, percent=85):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [4000, 7])
-def test_jaccard_components_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "weight"), [(4000, 2_000_000), (7, 2_000_000), (3, 2_000_000), (4000, 300)])
+def test_jaccard_components_equal_brute_force(spark, block, weight):
     rng = np.random.default_rng(3)
     texts = [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, "a b c d e")]
     for g in range(12):
@@ -137,10 +145,20 @@ def test_jaccard_components_equal_brute_force(spark, block):
             for p in rng.integers(0, n, int(rng.integers(0, max(2, n // 20)))):
                 t[p] = f"z{rng.integers(0, 9999)}"
             texts.append((g * 10 + k, " ".join(t)))
-    got = set_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), block_sets=block)
+    # A passage that many otherwise different texts share leads keys from one to the next.
+    shared = " ".join(f"p{x}" for x in range(40))
+    texts += [(600 + i, shared + " " + " ".join(f"q{x}" for x in rng.integers(0, 9999, 20))) for i in range(40)]
+    got = set_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), block_sets=block, block_shingles=weight)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(texts)
 
 
+def test_rows_that_share_a_key_share_their_links(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, b), (9, b), (9, None), (7, "c d e f g"), (None, a), (8, a + " x")]
+    got = {(r["doc_id"], r["component_id"], r["n_shingles"]) for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 27), (5, 1, 27), (9, 1, 27), (9, 1, 0), (7, 7, 2), (None, None, 27), (8, 1, 28)}
+
+
 def test_forest_recall_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 16))
