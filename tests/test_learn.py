@@ -72,6 +72,90 @@ def test_grid_keeps_failures_and_folds_cover_all_rows(spark):
     assert learn.cross_predict(df.withColumn("fold", F.lit(0)), "ridge", "none").count() == 0
 
 
+def metrics(pairs):
+    y, p = (np.array(v) for v in zip(*pairs, strict=True))
+    return 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), np.sqrt(((y - p) ** 2).mean())
+
+
+def test_reducer_scopes_differ_in_what_they_see(spark):
+    df, x, y = latent(spark)
+    folded = df.withColumn("fold", F.pmod("k", F.lit(3)))
+    own, all_ = (column(learn.cross_predict(folded, "ridge", "pca", 4, 1, s), "yhat") for s in ("in_fold", "global"))
+    z = (x - x.mean(0)) / x.std(0)
+    first = np.linalg.eigh(np.cov(z.T))[1][:, ::-1][:, :4]
+    r = z @ first
+    want = np.empty(len(y))
+    for f in range(3):
+        a, b = np.arange(260) % 3 != f, np.arange(260) % 3 == f
+        m = r[a].mean(0)
+        # The smallest penalties are chosen here, so least squares is what both come near.
+        want[b] = y[a].mean() + (r[b] - m) @ np.linalg.lstsq(r[a] - m, y[a] - y[a].mean(), rcond=None)[0]
+    assert np.abs(all_ - want).max() < 2.0
+    assert not np.allclose(own, all_) and np.corrcoef(own, all_)[0, 1] > 0.98
+
+
+def test_report_averages_what_each_seed_gives(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, seed, i % 3, float(v), float(v + rng.normal())) for s in ("a", "b") for seed in (1, 2, 3) for i, v in enumerate(rng.normal(size=30) * 3)]
+    got = {r["scheme"]: r for r in learn.report_cv(spark.createDataFrame(rows, "scheme string, seed int, fold int, y double, yhat double")).collect()}
+    for s in ("a", "b"):
+        runs = [metrics([(r[3], r[4]) for r in rows if r[:2] == (s, seed)]) for seed in (1, 2, 3)]
+        assert np.isclose(got[s]["r2"], np.mean([r[0] for r in runs])) and np.isclose(got[s]["r2_sd"], np.std([r[0] for r in runs]))
+        assert np.isclose(got[s]["rmse"], np.mean([r[1] for r in runs])) and got[s]["n"] == 90
+
+
+def test_transfer_scores_every_pair_of_domains(spark):
+    df, _, _ = latent(spark)
+    named = df.withColumn("domain", F.when(F.col("k") < 120, "a").when(F.col("k") < 240, "b").when(F.col("k") < 250, "small"))
+    flipped = named.withColumn("y", F.when(F.col("domain") == "b", 200 - F.col("y")).otherwise(F.col("y")))
+    got = {(r["source"], r["target"]): r for r in learn.transfer(flipped, "domain", "ridge", "none").collect()}
+    assert set(got) == {(a, b) for a in "ab" for b in "ab"}
+    assert got["a", "a"]["r2"] > 0.8 and got["a", "b"]["r2"] < 0 and got["a", "b"]["n"] == 120
+    assert all(np.isclose(r["transfer_drop"], got[t, t]["r2"] - r["r2"]) for (_, t), r in got.items())
+    assert learn.transfer(flipped.where("domain = 'small'"), "domain", "ridge", "none").count() == 0
+
+
+def test_years_are_scored_on_the_same_rows(spark):
+    df, _, _ = latent(spark)
+    shifted = learn.vectors(df, F.transform("vec", lambda v: v + 0.1))
+    years = df.withColumn("year", F.lit(2017)).unionByName(shifted.withColumn("year", F.lit(2024)))
+    got = {r["year"]: r for r in learn.cross_year(years, 2017, "ridge", "none").collect()}
+    assert got[2017]["n"] == got[2024]["n"] and np.isclose(got[2017]["r"], 1) and got[2017]["mad"] == 0
+    # A linear model moves all predictions alike.
+    assert np.isclose(got[2024]["r"], 1) and got[2024]["mad"] > 0 and got[2024]["r2"] <= got[2017]["r2"] + 0.05
+
+
+def test_ablation_crops_the_middle(spark):
+    rng = np.random.default_rng(3)
+    patches = rng.normal(size=(200, 4, 4, 2))
+    y = patches[:, 1:3, 1:3].sum(axis=(1, 2, 3))
+    rows = [(i, i % 4, patches[i].ravel().tolist(), float(y[i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, fold int, patch array<double>, y double")
+    preds, found = learn.patch_ablation(df, "patch", 4, 2, [2, 4], "ridge", "none")
+    r2 = {r["size"]: r["r2"] for r in found.collect()}
+    assert preds.count() == 400 and r2[2] > 0.99 and r2[4] > 0.95
+
+
+def test_maps_cover_the_inner_pixels(spark):
+    from siteweave.operators import raster
+
+    value = np.random.default_rng(4).normal(size=(7, 6))
+    value[2, 2] = np.nan
+    cells = [(1, r, c, None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(value)]
+    pixels = spark.createDataFrame(cells, "yr int, row_i long, col_i long, value double")
+    base = learn.vectors(raster.windows(pixels, 3, ["yr"]), "patch").select((F.col("row_i") * 10 + F.col("col_i")).alias("k"), F.col("patch")[4].alias("y"), "features")
+    got = learn.predict_map(pixels, learn.fit_pipeline(base, learn.MODELS["ridge"], "none"), 3, ["yr"]).collect()
+    want = {(r, c) for r in range(1, 6) for c in range(1, 5) if not np.isnan(value[r - 1 : r + 2, c - 1 : c + 2]).any()}
+    assert {(r["row_i"], r["col_i"]) for r in got} == want and len(got) == len(want)
+
+
+def test_diagnostics_keep_every_prediction(spark):
+    preds = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, None)], "k long, yhat double")
+    a, b = spark.createDataFrame([(1, 0.5)], "k long, novelty double"), spark.createDataFrame([(2, 7), (9, 8)], "k long, near int")
+    got = [tuple(r) for r in learn.diagnostics(preds, a, b).orderBy("k").collect()]
+    assert got == [(1, 2.0, 0.5, None), (2, 3.0, None, 7), (3, None, None, None)]
+
+
 def test_grid_cells_with_nulls_have_no_prediction(spark):
     train = spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(40)] + [(99, None, 5.0)], "k long, a double, y double")
     cells = spark.createDataFrame([(1, 3.0), (2, None), (2, None)], "cell int, a double")
