@@ -28,8 +28,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts, the one with the smallest id; rows without an id stay."""
-    found = set_join.jaccard_components(docs)
+    """One document of each group of texts that share 0.8 of their 5-word shingles, the one with the smallest id; rows without an id stay."""
+    found = set_join.jaccard_components(docs, shingle=5, percent=80)
     others = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

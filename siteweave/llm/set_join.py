@@ -14,8 +14,8 @@ from ..operators.components import connected_components
 from ..session import checkpointed
 from .common import COUNT_TYPES, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, utf8, word_hashes
 
-#: Bands and min-hashes of a band that decide which sets meet; a pair of Jaccard similarity 0.85 misses all bands once in 7e8.
-BANDS, ROWS = 64, 8
+#: Bands that decide which sets meet, and how often a pair just at the threshold may miss all of them.
+BANDS, MISSES = 64, 4e-9
 #: Sets up to this size meet by their prefixes instead, which is exact.
 SMALL = 128
 #: Sets and shingles of one block; a larger group is searched block against block.
@@ -32,11 +32,16 @@ def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_tabl
     return np.unique(sequence_hashes(word_hashes(words, memo), min(n, len(words))))
 
 
-def min_hashes(s: np.ndarray) -> np.ndarray:
-    """ROWS one-permutation signatures of BANDS bins; an empty bin borrows from a bin that a fixed walk leads to."""
-    out = np.empty((ROWS, BANDS), np.uint64)
+def band_rows(percent: int) -> int:
+    """The most min-hashes of a band with which a pair at the threshold is found; 0 if not even one is few enough."""
+    return next((r for r in range(16, 0, -1) if (1 - (percent / 100) ** r) ** BANDS <= MISSES), 0)
+
+
+def min_hashes(s: np.ndarray, rows: int) -> np.ndarray:
+    """rows one-permutation signatures of BANDS bins; an empty bin borrows from a bin that a fixed walk leads to."""
+    out = np.empty((rows, BANDS), np.uint64)
     width = 64 - BANDS.bit_length() + 1
-    for i in range(ROWS):
+    for i in range(rows):
         h = (s ^ (s >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * 2 * i & 0xFFFFFFFFFFFFFFFF | 1)
         h = np.sort((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
         bins = (h >> np.uint64(width)).astype(np.int64)
@@ -62,18 +67,21 @@ def sketched(s: np.ndarray) -> np.ndarray:
 def meeting_keys(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
     """Keys of which two linked sets share one: band hashes, and for small sets the shingles of the prefix.
 
+    A threshold too low for any band leaves the prefixes, for sets of every size.
+
     A prefix may follow any order that is the same for all sets; rarest first, by the sketch's counts,
     keeps shingles of passages that many documents share out of it.
     """
     keys = []
-    if len(s) > SMALL * percent // 100 - 1:
-        m = min_hashes(s)
+    rows = band_rows(percent)
+    if rows and len(s) > SMALL * percent // 100 - 1:
+        m = min_hashes(s, rows)
         h = np.arange(1, BANDS + 1, dtype=np.uint64)
         for row in m:
             h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
         keys.append(h)
-    if len(s) <= SMALL:
+    if not rows or len(s) <= SMALL:
         least = -(-percent * len(s) // 100)
         rare = s[np.lexsort((s, counts[sketched(s)]))]
         keys.append(rare[: len(s) - least + 1] * np.uint64(0xD6E8FEB86659FD93))
