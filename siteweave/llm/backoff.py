@@ -1,135 +1,120 @@
-"""Language-model scores by stupid backoff, from count tables joined to exploded n-grams."""
+"""Language-model scores by stupid backoff, from hash-partitioned count tables joined to exploded n-grams."""
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import global_rank
 from ..session import checkpointed
-from .common import batches, lowered_spaces_table, prepare, utf8
-from .importance import kth_largest
+from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
 
-#: Words with an id of their own, the commonest; all other words are one unknown word, id 0.
+#: The cap of words in OP8_SQL; score() has none.
 VOCABULARY = 65_535
-_WIDTH = 65_536
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all texts, and the number of all words with a null word: each task counts first."""
+def ending(texts: list[bytes], order: int, memo: dict, table: bytes = lowered_spaces_table()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For all words of texts: the text of each, its place there from 0, and for each order up to `order` the hash of the n-gram that ends with it.
+
+    A hash of order k means nothing at places before k - 1.
+    """
+    lists = [word_hashes(x.translate(table).split(), memo) for x in texts]
+    n = np.array([len(x) for x in lists], np.int64)
+    flat = np.concatenate([*lists, np.empty(0, np.uint64)])
+    doc = np.repeat(np.arange(len(lists)), n)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    hashes = []
+    for k in range(1, order + 1):
+        h = np.zeros(len(flat), np.uint64)
+        h[k - 1 :] = sequence_hashes(flat, k)
+        hashes.append(h)
+    return doc, place, hashes
+
+
+def gram_counts(docs: DataFrame, order: int, text: str = "text", weight: int = 1) -> DataFrame:
+    """(k, gram, prefix, suffix, n) of n-grams of each order k up to `order`: what each batch of texts has, times weight.
+
+    prefix and suffix are the n-gram without its last and without its first word, by their hashes.
+    """
     prepare(docs.sparkSession)
-    table = lowered_spaces_table()
+    signed = lambda x: pa.array(x.view(np.int64))
 
     def counted(items):
-        n: Counter = Counter()
-
-        def emptied():
-            keys = list(n)
-            for i in range(0, len(keys), 20_000):
-                part = keys[i : i + 20_000]
-                yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.binary()), "n": pa.array([n[k] for k in part], pa.int64())})
-            n.clear()
-
-        total = 0
+        memo: dict = {}
         for batch in batches(items):
-            for x in utf8(batch.column(0)):
-                words = x.translate(table).split()
-                total += len(words)
-                n.update(words)
-            if len(n) > 1_000_000:
-                yield from emptied()
-        yield from emptied()
-        if total:
-            yield pa.RecordBatch.from_pydict({"word": pa.array([None], pa.binary()), "n": pa.array([total], pa.int64())})
+            _, place, hashes = ending(utf8(batch.column(0)), order, memo)
+            for k, h in enumerate(hashes, 1):
+                at = np.flatnonzero(place >= k - 1)
+                grams, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                at = at[first]
+                parts = [hashes[k - 2][at - 1], hashes[k - 2][at]] if k > 1 else [np.zeros(len(at), np.uint64)] * 2
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "gram": signed(grams), "prefix": signed(parts[0]), "suffix": signed(parts[1]), "n": pa.array(n * weight)})
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, prefix long, suffix long, n long")
 
 
-def commonest(words: DataFrame, k: int) -> list[tuple[bytes, int]]:
-    """The k commonest of (word, n), ties by their bytes: at most k rows reach the driver, whatever the number of tasks.
-
-    The least count among them is found by histograms; the words of just that count are ranked by ranges.
-    """
-    least = kth_largest(words, "n", k)
-    top = [(bytes(r["word"]), r["n"]) for r in words.where(F.col("n") > least).collect()]
-    ties = global_rank(words.where(F.col("n") == least), "word").where(F.col("row") <= k - len(top))
-    return sorted([*top, *((bytes(r["word"]), r["n"]) for r in ties.collect())], key=lambda r: (-r[1], r[0]))
-
-
-def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, least: int = 2, alpha: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", order: int = 2, least: int = 2, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score): stupid-backoff scores of whole documents.
 
-    Words are runs without white space, A-Z lowered. The commonest `vocabulary` words of the corpus
-    (ties by their bytes) keep their identity, the others are one unknown word; that bounds what is
-    broadcast, while the bigram table grows with the corpus. A word after another scores
-    log(c(ab) / c(a)) if the pair occurs `least` times or more, else log(alpha c(b) / N); the first
-    word scores log(c(b) / N). A word without any count counts as seen once.
-
-    Relationally: each task explodes its documents into distinct bigrams with their numbers, dealt
-    out by a hash of the bigram; the count table sums them there, and the exploded bigrams are joined
-    to it in the same partitions, so that they are shuffled once when the corpus is scored itself;
-    what the found ones add is summed by document. A bigram has one row for each document at most.
-
-    corpus is docs unless given. Rows that share a key are one document; a null key is a document.
-    Null and empty texts have no words, log_score 0 and a null mean. Other columns are not returned.
-    Empty tables give an empty result.
+    Words are runs without white space, A-Z lowered; every word of the corpus keeps its own count. A
+    word scores log(c(n-gram) / c(n-gram without its last word)) for the n-gram of `order` words that
+    ends with it (of all words up to it, near the start), if that occurs `least` times or more in the
+    corpus; else log(alpha) and its score by the n-gram without the first word. A lone word scores
+    log(c / N); one without any count counts as seen once.
+
+    Relationally: n-grams are 64-bit hashes. Each task explodes its texts into n-grams of each order
+    with their numbers; a count table for each order, dealt out by hash, sums them and is joined to
+    the table of the order below for the counts of contexts and, where something can back off, for
+    the lower scores. The documents' own n-grams, one row for each distinct one of a document, are
+    joined to the scores and summed by document. Nothing that grows with the corpus is broadcast.
+
+    corpus is docs unless given. Rows that share a key are one document, whose n-grams stay inside
+    their rows; a null key is a document. Null and empty texts have no words, log_score 0 and a null
+    mean. Other columns are not returned. Empty tables give an empty result.
     """
-    if vocabulary >= _WIDTH:
-        raise ValueError(f"at most {_WIDTH - 1} words")
-    spark = docs.sparkSession
-    prepare(spark)
-    corpus = docs if corpus is None else corpus
-    words = checkpointed(word_counts(corpus, text))
-    total = words.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    top = commonest(words.where("word IS NOT NULL"), vocabulary)
-    ids = {w: i + 1 for i, (w, _) in enumerate(top)}
-    counts = np.ones(_WIDTH)
-    for i, (_, n) in enumerate(top):
-        counts[i + 1] = n
-    counts[0] = max(1, total - sum(n for _, n in top))
-    shared = spark.sparkContext.broadcast((ids, np.log(counts)))
+    if order < 1:
+        raise ValueError("an order of 1 at least")
+    prepare(docs.sparkSession)
+    own = corpus is None or corpus is docs
+    exploded = gram_counts(docs if own else corpus, order, text)
+    if not own:
+        exploded = exploded.union(gram_counts(docs, order, text, 0))
+    # Where no n-gram can be missing, no lower score is asked for.
+    back = not own or least > 1
+    columns = ["prefix", "suffix"] if back else ["prefix"]
+    grams = checkpointed(exploded.groupBy("gram").agg(F.min("k").alias("k"), *(F.min(c).alias(c) for c in columns), F.sum("n").alias("c")))
+    total = grams.where("k = 1").agg(F.sum("c")).first()[0] or 0
     log_n, log_alpha = float(np.log(max(total, 1))), float(np.log(alpha))
+    below = grams.where("k = 1").select("gram", "c", (F.log(F.greatest("c", F.lit(1))) - F.lit(log_n)).alias("s"))
+    scores = below.select("gram", "s")
+    for k in range(2, order + 1):
+        context = below.select(F.col("gram").alias("prefix"), F.col("c").alias("of"))
+        found = grams.where(F.col("k") == k).join(context, "prefix")
+        hit = F.log("c") - F.log("of")
+        if back:
+            found = found.join(below.select(F.col("gram").alias("suffix"), F.col("s").alias("lower")), "suffix")
+            hit = F.when(F.col("c") >= max(least, 1), hit).otherwise(F.col("lower") + F.lit(log_alpha))
+        below = checkpointed(found.select("gram", "c", hit.alias("s")))
+        # Of lower orders, only the first words of a row are scored by themselves; all are offered.
+        scores = scores.union(below.select("gram", "s"))
+
     kind = dict(docs.dtypes)[key]
-    table = lowered_spaces_table()
 
     def run(items):
-        """The distinct bigrams of each document; for each document a row with its words and base score, dealt out by its key."""
-        ids, log_count = shared.value
-        get = ids.get
-        for batch in batches(items):
-            lists = [[get(w, 0) for w in x.translate(table).split()] for x in utf8(batch.column(1))]
-            n = np.array([len(x) for x in lists], np.int64)
-            flat = np.array([i for x in lists for i in x], np.int64)
-            doc = np.repeat(np.arange(len(lists)), n)
-            inner = doc[1:] == doc[:-1]
-            pairs = (doc[1:][inner] << 32) | (flat[:-1][inner] << 16) | flat[1:][inner]
-            pairs, many = np.unique(pairs, return_counts=True)
-            at = pa.array(pairs >> 32, pa.int64())
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "gram": pa.array(pairs & 0xFFFFFFFF), "n": pa.array(many, pa.int64()), "n_words": none, "base": none.cast(pa.float64())})
-            first = np.r_[True, ~inner][: len(doc)]
-            base = np.bincount(doc, log_count[flat] - log_n + np.where(first, 0.0, log_alpha), len(lists))
-            spread = pa.array(-1 - np.arange(len(n)), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "gram": spread, "n": pa.nulls(len(n), pa.int64()), "n_words": pa.array(n), "base": pa.array(base, pa.float64())})
-
-    def gains(items):
-        _, log_count = shared.value
+        """The distinct n-grams by which each document's words are scored; a document without words has a row that finds nothing."""
+        memo: dict = {}
         for batch in batches(items):
-            gram, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            gain = np.log(c) - log_count[gram >> 16] - log_alpha - log_count[gram & 0xFFFF] + log_n
-            yield pa.RecordBatch.from_pydict({"gram": batch.column(0), "gain": pa.array(gain)})
-
-    slim = lambda x: x.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    dealt = lambda x: slim(x).mapInArrow(run, f"doc_id {kind}, gram long, n long, n_words long, base double").repartition("gram")
-    own = dealt(docs)
-    seen = own if corpus is docs else dealt(corpus)
-    # All columns are used here, so that both sides of the join read one shuffle; rows of documents have no n.
-    rest = F.count("doc_id") + F.count("n_words") + F.count("base")
-    table_ = seen.groupBy("gram").agg(F.sum("n").alias("c"), rest.alias("rest")).where((F.col("c") >= least) & (F.col("rest") >= 0)).mapInArrow(gains, "gram long, gain double")
-    found = own.join(table_, "gram", "left")
-    got = found.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), (F.sum("base") + F.coalesce(F.sum(F.col("n") * F.col("gain")), F.lit(0.0))).alias("log_score"))
+            doc, place, hashes = ending(utf8(batch.column(1)), order, memo)
+            top = hashes[0].copy()
+            for k in range(2, order + 1):
+                np.copyto(top, hashes[k - 1], where=place >= k - 1)
+            _, first, n = np.unique(top + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_counts=True)
+            none = np.setdiff1d(np.arange(batch.num_rows), doc)
+            at = np.concatenate([doc[first], none])
+            gram = np.concatenate([top[first].view(np.int64), -1 - none])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(at, pa.int64())), "gram": pa.array(gram), "n": pa.array(np.concatenate([n, np.zeros(len(none), np.int64)]))})
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, gram long, n long")
+    got = rows.join(scores, "gram", "left").groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.coalesce(F.sum(F.col("n") * F.col("s")), F.lit(0.0)).alias("log_score"))
     return got.select("doc_id", "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))

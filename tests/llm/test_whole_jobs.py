@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from siteweave.llm import set_join
+from siteweave.llm import backoff, set_join
 
 
 def test_pipeline_drops_near_copies_at_08_of_5_words(spark):
@@ -33,3 +36,38 @@ def test_lower_thresholds_lose_no_links_of_large_sets(spark, percent):
         want |= {2 * g: 2 * g, 2 * g + 1: 2 * g}
     got = set_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), percent=percent)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def brute_scores(texts, corpus, order, least, alpha=0.4):
+    lists = {i: (t or "").lower().split() for i, t in texts}
+    counts = Counter()
+    for _, t in corpus:
+        w = (t or "").lower().split()
+        counts.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total = sum(n for g, n in counts.items() if len(g) == 1)
+
+    def one(g):
+        if len(g) == 1:
+            return math.log(max(1, counts[g]) / total)
+        return math.log(counts[g] / counts[g[:-1]]) if counts[g] >= least else math.log(alpha) + one(g[1:])
+
+    return {i: (len(w), sum(one(tuple(w[max(0, j - order + 1) : j + 1])) for j in range(len(w)))) for i, w in lists.items()}
+
+
+@pytest.mark.parametrize(("order", "least", "other"), [(2, 2, False), (2, 1, False), (3, 1, False), (3, 2, False), (3, 1, True), (4, 2, True), (1, 1, True)])
+def test_backoff_equals_brute_force(spark, order, least, other):
+    rng = np.random.default_rng(9)
+    draw = lambda i, n: (i, " ".join(f"W{x}" for x in rng.integers(0, 12, n)))
+    texts = [draw(i, int(rng.integers(1, 30))) for i in range(40)] + [(100, None), (101, " "), (102, "W3"), (103, "never seen w1 w2")]
+    corpus = [draw(i, 20) for i in range(30)] if other else texts
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    got = backoff.score(frame(texts), frame(corpus) if other else None, order=order, least=least).collect()
+    want = brute_scores(texts, corpus, order, least)
+    assert len(got) == len(want)
+    assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["log_score"] - want[r["doc_id"]][1]) < 1e-6 for r in got)
+
+
+def test_rare_words_keep_their_own_counts(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 1000, i * 1000 + 1000))) for i in range(70)] + [(100, "w69999 w0"), (101, "w69998")]
+    got = {r["doc_id"]: r["log_score"] for r in backoff.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[101] - math.log(2 / 70003)) < 1e-9
