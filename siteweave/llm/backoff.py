@@ -54,7 +54,7 @@ def gram_counts(docs: DataFrame, order: int, text: str = "text", weight: int = 1
     return docs.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, prefix long, suffix long, n long")
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", order: int = 2, least: int = 2, alpha: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", order: int = 3, least: int = 1, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score): stupid-backoff scores of whole documents.
 
     Words are runs without white space, A-Z lowered; every word of the corpus keeps its own count. A

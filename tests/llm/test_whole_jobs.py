@@ -71,3 +71,12 @@ def test_rare_words_keep_their_own_counts(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i * 1000, i * 1000 + 1000))) for i in range(70)] + [(100, "w69999 w0"), (101, "w69998")]
     got = {r["doc_id"]: r["log_score"] for r in backoff.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert abs(got[101] - math.log(2 / 70003)) < 1e-9
+
+
+def test_backoff_uses_every_count_above_0_up_to_trigrams(spark):
+    corpus = [(1, "a b c"), (2, "a b d"), (3, "x b d")]
+    texts = [(1, "a b c"), (2, "x b c")]  # one trigram that occurs once, one that backs off to such a bigram
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    got = {r["doc_id"]: r["log_score"] for r in backoff.score(frame(texts), frame(corpus)).collect()}
+    assert abs(got[1] - math.log(2 / 9 * 2 / 2 * 1 / 2)) < 1e-9
+    assert abs(got[2] - math.log(1 / 9 * 1 / 1 * 0.4 * 1 / 3)) < 1e-9
