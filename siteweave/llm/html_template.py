@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ NAMES = re.compile(
     r"cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe\w*|signup|login|comment\w*|disqus|reply|replies|respond|related|recommend\w*|"
     r"share\w*|social\w*|toolbar|pagination|pager|copyright|legal|skip)(?:$|[\s_-])", re.I)
 MAIN = frozenset(("article", "main"))
+#: Elements of RAW whose content is text up to their own end tag or the end of the page.
+RAW_TEXT = frozenset("script style textarea title".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -43,19 +47,23 @@ def blocks(html: str):
     A path names the open elements from the root, with class, id and role, digits left out, so that
     a token has the same role on every page where its path is the same.
     """
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # element, name in the path, main, outside, link
+    stack: list[tuple[str, str, bool, bool, bool, int, bool]] = []  # element, name in the path, main, outside, link, number, named as outside
+    found: list[tuple] = []
+    numbers = count()
+    sure: set[int] = set()
+    articles: dict[int, str] = {}
     parts: list[str] = []
     link = 0
-    at, raw = 0, ""
+    at = 0
 
     def block():
         nonlocal link
         text = tidy("".join(parts))
         own = [s for s in stack if s[0] not in INLINE]
-        out = ("/".join(s[1] for s in own), text, any(s[2] for s in own), any(s[3] for s in own), link / max(1, len(text))) if text else None
+        if text:
+            found.append(("/".join(s[1] for s in own), text, [s[5] for s in own if s[2]], any(s[3] for s in own), link / max(1, len(text)), [s[5] for s in own if s[6]], any(s[0] == "h1" for s in own)))
         parts.clear()
         link = 0
-        return out
 
     def close(name: str):
         for k in range(len(stack) - 1, -1, -1):
@@ -65,14 +73,7 @@ def blocks(html: str):
             if stack[k][0] in MAIN and name in ("p", "li", "td", "b", "i", "span"):
                 return
 
-    for m in _MARKUP.finditer(html):
-        if raw:
-            if not (m[1] and m[2] and m[2].lower() == raw):
-                continue
-            raw, at = "", m.end()
-            continue
-        if m.start() < at:
-            continue
+    while m := _MARKUP.search(html, at):
         piece = html[at : m.start()]
         at = m.end()
         if piece:
@@ -88,10 +89,9 @@ def blocks(html: str):
             elif m[1]:
                 close(name)
             else:
-                stack.append((name, name, False, bool(m[3]) and odd(m[3]), name == "a"))
+                stack.append((name, name, False, False, name == "a", next(numbers), False))
             continue
-        if (b := block()) is not None:
-            yield b
+        block()
         if m[1]:
             close(name)
             continue
@@ -113,15 +113,53 @@ def blocks(html: str):
             continue
         if name in RAW:
             if not m[3].rstrip().endswith("/"):
-                raw = name
+                if end := re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at):
+                    at = end.end()
+                elif name in RAW_TEXT:
+                    at = len(html)
             continue
         if name in ("html", "body"):
             stack.clear()
-        stack.append((name, named(name, m[3]), name in MAIN or 'role="main"' in m[3], name in OUTSIDE and not (name == "header" and any(s[0] in MAIN for s in stack)) or odd(m[3]), False))
-    if not raw:
-        parts.append(html[at:])
-        if (b := block()) is not None:
-            yield b
+        number, main = next(numbers), name in MAIN or 'role="main"' in m[3]
+        if name == "article":
+            articles[number] = named(name, m[3])
+        elif main:
+            sure.add(number)
+        outside = name in OUTSIDE and name != "form" and not (name == "header" and any(s[0] in MAIN for s in stack))
+        named_so = name == "form" or number not in sure and name not in ("html", "body") and odd(m[3])
+        stack.append((name, named(name, m[3]), main, outside, False, number, named_so))
+    parts.append(html[at:])
+    block()
+    ignored = around_content(found, sure, articles)
+    for path, text, mains, outside, share, names, _ in found:
+        yield path, text, bool(mains), outside or any(n not in ignored for n in names), share
+
+
+def around_content(found: list[tuple], sure: set[int], articles: dict[int, str]) -> set[int]:
+    """The numbers of elements whose name says nothing, as they enclose the main content.
+
+    That is the main element, or else the article, that holds the most text; articles named as the
+    longest one count with it, others (a comment, say) by their names. On a page with neither,
+    an element counts as enclosing it if it holds the page's heading and more than half of the text,
+    or, without a heading, all the text that no element's kind puts outside.
+    """
+    inside = [b for b in found if not b[3]]
+    held: Counter = Counter()
+    for b in inside:
+        for n in b[2]:
+            held[n] += len(b[1])
+    if held:
+        content = max(held, key=lambda n: (n in sure, held[n], -n))
+        longest = max((n for n in held if n in articles), key=lambda n: (held[n], -n), default=None)
+        alike = {n for n, x in articles.items() if longest is not None and x == articles[longest]}
+        return alike | {n for b in inside if content in b[2] for n in b[5] if n < content}
+    around: Counter = Counter()
+    for b in inside:
+        around.update(dict.fromkeys(b[5], len(b[1])))
+    total, headings = sum(len(b[1]) for b in inside), [b for b in inside if b[6]]
+    if headings:
+        return {n for b in headings for n in b[5] if 2 * around[n] > total}
+    return {n for n, size in around.items() if size == total}
 
 
 def named(name: str, attributes: str) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from siteweave.llm import backoff, set_join
+from siteweave.llm import backoff, html_template, set_join
 
 
 def test_pipeline_drops_near_copies_at_08_of_5_words(spark):
@@ -80,3 +80,21 @@ def test_backoff_uses_every_count_above_0_up_to_trigrams(spark):
     got = {r["doc_id"]: r["log_score"] for r in backoff.score(frame(texts), frame(corpus)).collect()}
     assert abs(got[1] - math.log(2 / 9 * 2 / 2 * 1 / 2)) < 1e-9
     assert abs(got[2] - math.log(1 / 9 * 1 / 1 * 0.4 * 1 / 3)) < 1e-9
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><nav>Menu</nav><p>Own text</p></body>',
+        '<body class="page no-sidebar"><article class="post has-share"><p>Own text</p><div class="share">Tweet</div></article></body>',
+        '<body><div class="wrap header-large"><main><p>Own text</p></main><div class="comments">Many more words than the text itself has</div></div></body>',
+        '<body><div class="wrap header-large"><div class="menu">Menu</div><h1>Own text</h1></div></body>',
+        "<body><script>for(i=0;i<n;i++){x()}</script><p>Own text</p></body>",
+        "<body><script>s = '<!--'; a<b</script><p>Own text</p><script>y()</script></body>",
+        '<body><main><article class="post has-share"><p>Own text</p></article><article class="comment">Nice</article></main></body>',
+        "<body><form><article><p>Own text</p></article></form></body>",
+        "<body><noscript><p>Own text</p></body>",
+    ],
+)
+def test_html_keeps_the_text_of_named_wrappers_and_after_scripts(page):
+    assert [b[1] for b in html_template.blocks(page) if not b[3]] == ["Own text"]
