@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from html import unescape
 from itertools import count
@@ -11,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import batches, prepare, texts
 
-#: Share of a host's pages that a template token is on, and pages that a host has at least for texts to be template.
+#: Share of a host's pages that a class of template tokens is on, and pages that a host has at least for texts to be template.
 SUPPORT, LEAST_PAGES = 0.5, 4
+#: Pages and tokens that a class has at least; each word of a text is a token here.
+LEAST_ON, LEAST_TOKENS = 3, 3
 
 # How elements of HTML behave, and the names that pages give to what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,53 +180,109 @@ def host_of(url) -> object:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def template_tokens(pages: DataFrame, key: str, url: str, html: str, support: float = SUPPORT) -> DataFrame:
-    """(host, tokens): the constant texts of each host's template, as hashes of path and text.
+def hashed(*x: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest("\0".join(x).encode("utf-8", "replace")) - (1 << 63)
+
+
+def token_sequence(html: str) -> list[tuple[int, int]]:
+    """(token, size) in page order, outside elements left out: the role of each block, and its text in that role."""
+    out = []
+    for path, text, _, outside, _ in blocks(html):
+        if not outside:
+            out += [(hashed(path), 1), (hashed(path, text), len(text.split()))]
+    return out
 
-    Every token of a page, a text in its role, gets an occurrence vector over the host's pages: its
-    fingerprint is the sum of a hash of the page and of how often the token is on it, so tokens of
-    equal fingerprints occur alike and form an equivalence class. A class is valid if it occurs at
-    most once on a page (its tokens can then nest in the page's root template in one order) on
-    support of the host's pages or more, each counted once however many copies it has.
+
+def checked_classes(sequence: list[int], classes: dict[int, int]) -> list[tuple[int, int, bool]]:
+    """(class, hash of its order, whether it holds) of each class on a page; classes has the class of each token.
+
+    A class holds if its tokens come in one order, as often as they come, and if it nests: each of
+    its spans lies in one gap of every larger class that holds, or the other way round.
+    """
+    size = Counter(classes.values())
+    at: dict[int, list[int]] = {}
+    for i, t in enumerate(sequence):
+        if (c := classes.get(t)) is not None:
+            at.setdefault(c, []).append(i)
+    spans = lambda p, k: [(p[i], p[i + k - 1]) for i in range(0, len(p), k)]
+    within = lambda p, k, q: all(bisect_left(q, x) == bisect_left(q, y) for x, y in spans(p, k))
+    out, held = [], []
+    for c in sorted(at, key=lambda c: (-size[c], c)):
+        p, k = at[c], size[c]
+        names = [sequence[i] for i in p]
+        ok = len(p) % k == 0 and len(set(names[:k])) == k and all(x == names[i % k] for i, x in enumerate(names))
+        ok = ok and all(within(p, k, q) or within(q, m, p) for q, m in held)
+        if ok:
+            held.append((p, k))
+        out.append((c, hashed(*map(str, names[:k])), ok))
+    return out
+
+
+def template_tokens(pages: DataFrame, key: str, url: str, html: str, support: float = SUPPORT) -> DataFrame:
+    """(host, tokens): the constants of each host's template, as hashes of path and text.
+
+    Every token of a page, an element's role or a text in its role, gets an occurrence vector over
+    the host's pages: its fingerprint is the sum of a hash of the page and of how often the token is
+    on it, so tokens of equal fingerprints occur alike and form an equivalence class. A class is valid
+    if it has LEAST_TOKENS tokens or more, is on LEAST_ON pages and on support of the host's pages or
+    more (each counted once however many copies it has), keeps one order on every page and nests in
+    the classes larger than it there (checked_classes). Tokens of valid classes are the constants.
     """
     prepare(pages.sparkSession)
 
     def tokens(items):
-        import xxhash
-
-        h = lambda *x: xxhash.xxh3_64_intdigest("\0".join(x).encode("utf-8", "replace")) - (1 << 63)
         for batch in batches(items):
-            out: dict[str, list] = {"host": [], "token": [], "vector": [], "many": []}
+            out: dict[str, list] = {"host": [], "token": [], "vector": [], "size": []}
             for host, x in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                seen: dict[int, int] = {}
-                for path, text, main, outside, _ in blocks(x):
-                    if not outside and len(text) <= 400:
-                        seen[t] = seen.get(t := h(path, text), 0) + 1
-                page = h(x)
-                for t, n in seen.items():
+                sequence = token_sequence(x)
+                page, size = hashed(x), dict(sequence)
+                for t, n in Counter(t for t, _ in sequence).items():
                     out["host"].append(host)
                     out["token"].append(t)
-                    out["vector"].append(h(str(page), str(n)) >> 20)
-                    out["many"].append(n)
+                    out["vector"].append(hashed(str(page), str(n)) >> 20)
+                    out["size"].append(size[t])
                 out["host"].append(host)
                 out["token"].append(None)
                 out["vector"].append(page)
-                out["many"].append(1)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()), "token": pa.array(out["token"], pa.int64()), "vector": pa.array(out["vector"], pa.int64()), "many": pa.array(out["many"], pa.int64())})
+                out["size"].append(0)
+            yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()), "token": pa.array(out["token"], pa.int64()), "vector": pa.array(out["vector"], pa.int64()), "size": pa.array(out["size"], pa.int64())})
+
+    def sequences(items):
+        for batch in batches(items):
+            out = [[t for t, _ in token_sequence(x)] for x in texts(batch.column(1))]
+            yield pa.RecordBatch.from_pydict({"host": batch.column(0), "sequence": pa.array(out, pa.list_(pa.int64()))})
 
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(tokens, "host string, token long, vector long, many long")
+    def checked(items):
+        for batch in batches(items):
+            found: set[tuple] = set()
+            for host, sequence, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                classes = {m["token"]: m["class"] for m in members}
+                found.update((host, *c) for c in checked_classes(sequence, classes))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_pydict({"host": pa.array(columns[0], pa.string()), "class": pa.array(columns[1], pa.int64()), "order": pa.array(columns[2], pa.int64()), "ok": pa.array(columns[3], pa.bool_())})
+
+    slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    seen = slim.mapInArrow(tokens, "host string, token long, vector long, size long")
     # Copies of a page give equal vectors and count once; a token's rows are summed in the tasks first.
-    held = seen.where("token is not null").groupBy("host", "token", "vector").agg(F.max("many").alias("many")).groupBy("host", "token").agg(F.count(F.lit(1)).alias("on"), F.max("many").alias("many"), F.sum("vector").alias("fingerprint"))
+    held = seen.where("token is not null").groupBy("host", "token", "vector").agg(F.max("size").alias("size")).groupBy("host", "token").agg(F.count(F.lit(1)).alias("on"), F.max("size").alias("size"), F.sum("vector").alias("class"))
     sizes = seen.where("token is null").groupBy("host", "vector").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    likely = held.where("on >= 2 and many = 1").join(sizes, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("on") >= F.lit(support) * F.col("pages")))
-    return likely.groupBy("host", "fingerprint").agg(F.collect_list("token").alias("class")).groupBy("host").agg(F.flatten(F.collect_list("class")).alias("tokens"))
+    often = held.join(sizes, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("on") >= F.greatest(F.lit(LEAST_ON), F.lit(support) * F.col("pages"))))
+    likely = checkpointed(often.groupBy("host", "class").agg(F.sum("size").alias("size"), F.collect_list("token").alias("tokens")).where(F.col("size") >= LEAST_TOKENS).select("host", "class", "tokens"))
+    members = likely.select("host", "class", F.explode("tokens").alias("token")).groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("members"))
+    # Only the tokens' hashes cross the network for this, not the pages.
+    ordered = slim.mapInArrow(sequences, "host string, sequence array<long>")
+    found = ordered.join(members, "host").select("host", "sequence", "members").mapInArrow(checked, "host string, class long, order long, ok boolean")
+    valid = found.groupBy("host", "class").agg(F.min("order").alias("least"), F.max("order").alias("most"), F.min("ok").alias("ok")).where("ok and least = most")
+    return likely.join(valid.select("host", "class"), ["host", "class"]).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 
-    Pages of one host share a template. Its constant texts are deduced from equivalence classes of
-    tokens (template_tokens); its elements, nested by their paths, enclose the slots that are left.
+    Pages of one host share a template. Its constants are deduced from equivalence classes of tokens
+    (template_tokens); the gaps between them, where the other blocks stand, are the slots.
     Slots under elements that stand for menus, headers, footers, sidebars, notices, adverts, forms
     or comments, by element, class, id or role, hold no article, nor do blocks made of links; if the
     page has an article or main element, only slots in it count. The blocks of the remaining slots
@@ -235,14 +295,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     the tokens are summed in the tasks, then each page is joined to its host's few template tokens,
     a join that Spark splits for a host with many pages.
     """
-    import xxhash
-
     template = template_tokens(pages, key, url, html)
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host")).join(template, "host", "left").drop("host")
 
     def extracted(items):
-        h = lambda *x: xxhash.xxh3_64_intdigest("\0".join(x).encode("utf-8", "replace")) - (1 << 63)
         for batch in batches(items):
             out = []
             for x, known in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
@@ -250,7 +307,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 slots = [b for b in blocks(x) if not b[3] and (b[4] < 0.8 or b[2])]
                 if any(b[2] for b in slots):
                     slots = [b for b in slots if b[2]]
-                kept = [b[1] for b in slots if not known or h(b[0], b[1]) not in known]
+                kept = [b[1] for b in slots if not known or hashed(b[0], b[1]) not in known]
                 out.append("\n\n".join(kept or [b[1] for b in slots]))
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
 

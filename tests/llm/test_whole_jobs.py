@@ -98,3 +98,27 @@ def test_backoff_uses_every_count_above_0_up_to_trigrams(spark):
 )
 def test_html_keeps_the_text_of_named_wrappers_and_after_scripts(page):
     assert [b[1] for b in html_template.blocks(page) if not b[3]] == ["Own text"]
+
+
+def test_html_classes_decide_what_is_template(spark):
+    long = "We value your privacy and so on. " * 20  # more than 400 characters, in a neutral element
+    rows = [(i, f"http://h/{i}", f"<body><div>{long}</div><p>Own text {i}</p></body>") for i in range(6)]
+    # On two of four pages: chance, not template.
+    rows += [(10 + i, f"http://two/{i}", f"<article><p>Text {i} of this page</p>{'<p>A line of two pages</p>' * (i < 2)}</article>") for i in range(4)]
+    # On all pages, but in changing order.
+    pair = ["<p>One sentence of prose</p>", "<p>Another sentence of prose</p>"]
+    rows += [(20 + i, f"http://order/{i}", f"<article><p>Page {i}</p>{''.join(pair[:: 1 if i % 2 else -1])}</article>") for i in range(6)]
+    # Twice on every page.
+    rows += [(30 + i, f"http://twice/{i}", f"<article><p>First {i}</p><p>Share this post now</p><p>Second {i}</p><p>Share this post now</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own text 3" and got[10] == "Text 0 of this page\n\nA line of two pages"
+    assert got[21] == "Page 1\n\nOne sentence of prose\n\nAnother sentence of prose"
+    assert got[31] == "First 1\n\nSecond 1"
+
+
+def test_html_classes_nest():
+    a, b = [1, 2, 3], [7, 8]
+    classes = dict.fromkeys(a, 100) | dict.fromkeys(b, 200)
+    hold = lambda x: {c: ok for c, _, ok in html_template.checked_classes(x, classes)}
+    assert hold([1, 7, 8, 2, 3]) == hold([1, 2, 3, 7, 8]) == hold([7, 1, 2, 3, 8]) == {100: True, 200: True}
+    assert hold([1, 7, 2, 8, 3]) == {100: True, 200: False} and hold([1, 2, 3, 1, 3, 2]) == {100: False}
