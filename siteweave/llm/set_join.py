@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import checkpointed
 from .common import COUNT_TYPES, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, utf8, word_hashes
 
-#: Bands that decide which sets meet, and how often a pair just at the threshold may miss all of them.
-BANDS, MISSES = 64, 4e-9
-#: Sets up to this size meet by their prefixes instead, which is exact.
-SMALL = 128
 #: Sets and shingles of one block; a larger group is searched block against block.
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 2_000_000
 #: Counters of the sketch of shingle frequencies: what is sent to every task.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 
 
 def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_table()) -> np.ndarray:
@@ -32,60 +30,33 @@ def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_tabl
     return np.unique(sequence_hashes(word_hashes(words, memo), min(n, len(words))))
 
 
-def band_rows(percent: int) -> int:
-    """The most min-hashes of a band with which a pair at the threshold is found; 0 if not even one is few enough."""
-    return next((r for r in range(16, 0, -1) if (1 - (percent / 100) ** r) ** BANDS <= MISSES), 0)
-
-
-def min_hashes(s: np.ndarray, rows: int) -> np.ndarray:
-    """rows one-permutation signatures of BANDS bins; an empty bin borrows from a bin that a fixed walk leads to."""
-    out = np.empty((rows, BANDS), np.uint64)
-    width = 64 - BANDS.bit_length() + 1
-    for i in range(rows):
-        h = (s ^ (s >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * 2 * i & 0xFFFFFFFFFFFFFFFF | 1)
-        h = np.sort((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-        bins = (h >> np.uint64(width)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
-        row = np.zeros(BANDS, np.uint64)
-        full = np.zeros(BANDS, bool)
-        row[bins[first]], full[bins[first]] = h[first], True
-        for j in np.flatnonzero(~full):
-            k, step = int(j), 0
-            while not full[k]:
-                step += 1
-                k = (j * 0x9E3779B1 + step * 0x85EBCA77 + step * step) >> 3 & (BANDS - 1) if step < 4 * BANDS else (k + 1) & (BANDS - 1)
-            row[j] = h[first][np.searchsorted(bins[first], k)]
-        out[i] = row
-    return out
-
-
 def sketched(s: np.ndarray) -> np.ndarray:
     """The counter of each shingle."""
     return (s >> np.uint64(17)).astype(np.int64) & (SKETCH - 1)
 
 
-def meeting_keys(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
-    """Keys of which two linked sets share one: band hashes, and for small sets the shingles of the prefix.
+def size_class(n: int, percent: int) -> int:
+    """Sets that link are in the same class or in neighbouring ones."""
+    return math.floor(math.log(n) / max(1e-3, 1.0001 * math.log(100 / percent)))
 
-    A threshold too low for any band leaves the prefixes, for sets of every size.
 
-    A prefix may follow any order that is the same for all sets; rarest first, by the sketch's counts,
-    keeps shingles of passages that many documents share out of it.
+def meeting_keys(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """Keys of which two linked sets share one, whatever their sizes: shingles of the prefix, with a number for the size.
+
+    Two linked sets share so many shingles that neither can leave all of them to the part behind its
+    n - ceil(percent n / 100) + 1 first ones, in any order that is the same for all sets; rarest
+    first, by the sketch's counts, keeps shingles of passages that many documents share out of it.
+    Each set offers its keys to its own size class and to the one below, so that a shingle in common
+    brings sets together only if their sizes allow a link.
     """
-    keys = []
-    rows = band_rows(percent)
-    if rows and len(s) > SMALL * percent // 100 - 1:
-        m = min_hashes(s, rows)
-        h = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for row in m:
-            h = (h ^ row) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-        keys.append(h)
-    if not rows or len(s) <= SMALL:
-        least = -(-percent * len(s) // 100)
-        rare = s[np.lexsort((s, counts[sketched(s)]))]
-        keys.append(rare[: len(s) - least + 1] * np.uint64(0xD6E8FEB86659FD93))
-    return np.unique(np.concatenate(keys))
+    least = -(-percent * len(s) // 100)
+    prefix = s[np.lexsort((s, counts[sketched(s)]))][: len(s) - least + 1]
+    own = size_class(len(s), percent)
+    out = []
+    for c in (own, own - 1):
+        h = (prefix ^ np.uint64((c + 2) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(32)))
+    return np.concatenate(out)
 
 
 def linked(overlap: int, a: int, b: int, percent: int) -> bool:
@@ -113,14 +84,8 @@ def t_occurrence(sets: list[np.ndarray], percent: int, joined, queries: range |
             if len(own) >= floor:
                 long_ = min(floor - 1, len(own) - 1)
                 short, rest = own[: len(own) - long_], own[len(own) - long_ :]
-                found: dict[int, int] = {}
-                if len(short) <= 4 and sum(map(len, short)) < 64:
-                    for x in heapq.merge(*short):
-                        found[x] = found.get(x, 0) + 1
-                else:
-                    ids, many = np.unique(np.concatenate(short), return_counts=True)
-                    found = dict(zip(ids.tolist(), many.tolist(), strict=True))
-                for x, c in sorted(found.items(), key=lambda v: -v[1]):
+                found = [(x, sum(1 for _ in run)) for x, run in groupby(heapq.merge(*short))]
+                for x, c in sorted(found, key=lambda v: -v[1]):
                     j = order[x]
                     m = len(sets[j])
                     if 100 * m < percent * n or joined(i, j):
@@ -195,8 +160,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     percent * union; component_id is the smallest doc_id that links lead to, its own included.
 
     Equal sets become one class, whose documents are linked without comparing. Classes that share a
-    meeting key are brought together (band hashes for large sets, prefixes for small ones, rarest
-    shingles first by a sketch of all documents); their groups are searched exactly by
+    meeting key, a shingle of both their prefixes (rarest first by a sketch of all documents), are
+    brought together, which misses no link at any size; their groups are searched exactly by
     t_occurrence() in one task each, or block against block if they have more than block_sets
     classes or block_shingles shingles. Links are kept only as far as they join components, so no
     group emits its pairs, and components are sought among classes, so no copies enter them.
@@ -244,9 +209,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # One text stands for each class: the row of its smallest key.
     mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
-    same_key = Window.partitionBy("k")
-    met = mine.mapInArrow(keyed, "k long, c long").withColumns({"least": F.min("c").over(same_key), "most": F.max("c").over(same_key), "mark": F.bit_xor(F.xxhash64("c")).over(same_key)})
-    met = checkpointed(met.where("least <> most").select("c", "least", "mark").distinct())
+    offered = checkpointed(mine.mapInArrow(keyed, "k long, c long"))
+    # A key is summed up in the tasks first, and few keys have several classes, so no key gathers in one task.
+    shared = offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("least <> most")
+    met = checkpointed(offered.join(shared, "k").select("c", "least", "mark").distinct())
     groups = connected_components(met.where("c <> least"), "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c")
     placed = _cheaper(groups, met, block_sets, block_shingles)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
