@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
-from html import unescape
-from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,187 +11,33 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .common import batches, prepare, texts
+from .html_blocks import blocks, hashed
 
 #: Share of a host's pages that a class of template tokens is on, and pages that a host has at least for texts to be template.
 SUPPORT, LEAST_PAGES = 0.5, 4
 #: Pages and tokens that a class has at least; each word of a text is a token here.
 LEAST_ON, LEAST_TOKENS = 3, 3
-
-# How elements of HTML behave, and the names that pages give to what is no article.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-OUTSIDE = frozenset("nav header footer aside form menu dialog button select fieldset head figcaption".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|header|footer|foot|sidebar\w*|side|aside|widget\w*|"
-    r"cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe\w*|signup|login|comment\w*|disqus|reply|replies|respond|related|recommend\w*|"
-    r"share\w*|social\w*|toolbar|pagination|pager|copyright|legal|skip)(?:$|[\s_-])", re.I)
-MAIN = frozenset(("article", "main"))
-#: Elements of RAW whose content is text up to their own end tag or the end of the page.
-RAW_TEXT = frozenset("script style textarea title".split())
-
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_DIGITS = re.compile(r"\d+")
-#: Elements that end an open one of the same kind or of these kinds.
-_ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
-_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-
-
-def tidy(text: str) -> str:
-    return " ".join(unescape(text).split())
-
-
-def blocks(html: str):
-    """(path, text, in the main element, outside the article, share of link text) of each block of text, in page order.
-
-    A path names the open elements from the root, with class, id and role, digits left out, so that
-    a token has the same role on every page where its path is the same.
-    """
-    stack: list[tuple[str, str, bool, bool, bool, int, bool]] = []  # element, name in the path, main, outside, link, number, named as outside
-    found: list[tuple] = []
-    numbers = count()
-    sure: set[int] = set()
-    articles: dict[int, str] = {}
-    parts: list[str] = []
-    link = 0
-    at = 0
-
-    def block():
-        nonlocal link
-        text = tidy("".join(parts))
-        own = [s for s in stack if s[0] not in INLINE]
-        if text:
-            found.append(("/".join(s[1] for s in own), text, [s[5] for s in own if s[2]], any(s[3] for s in own), link / max(1, len(text)), [s[5] for s in own if s[6]], any(s[0] == "h1" for s in own)))
-        parts.clear()
-        link = 0
-
-    def close(name: str):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in MAIN and name in ("p", "li", "td", "b", "i", "span"):
-                return
-
-    while m := _MARKUP.search(html, at):
-        piece = html[at : m.start()]
-        at = m.end()
-        if piece:
-            parts.append(piece)
-            if any(s[4] for s in stack):
-                link += len(piece)
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if name in INLINE:
-            if name in ("br", "img", "wbr"):
-                parts.append(" " if name != "wbr" else "")
-            elif m[1]:
-                close(name)
-            else:
-                stack.append((name, name, False, False, name == "a", next(numbers), False))
-            continue
-        block()
-        if m[1]:
-            close(name)
-            continue
-        if name in _CLOSE_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        for other in _ENDS.get(name, ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == other:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body"):
-                    break
-        if name in VOID:
-            continue
-        if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                if end := re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at):
-                    at = end.end()
-                elif name in RAW_TEXT:
-                    at = len(html)
-            continue
-        if name in ("html", "body"):
-            stack.clear()
-        number, main = next(numbers), name in MAIN or 'role="main"' in m[3]
-        if name == "article":
-            articles[number] = named(name, m[3])
-        elif main:
-            sure.add(number)
-        outside = name in OUTSIDE and name != "form" and not (name == "header" and any(s[0] in MAIN for s in stack))
-        named_so = name == "form" or number not in sure and name not in ("html", "body") and odd(m[3])
-        stack.append((name, named(name, m[3]), main, outside, False, number, named_so))
-    parts.append(html[at:])
-    block()
-    ignored = around_content(found, sure, articles)
-    for path, text, mains, outside, share, names, _ in found:
-        yield path, text, bool(mains), outside or any(n not in ignored for n in names), share
-
-
-def around_content(found: list[tuple], sure: set[int], articles: dict[int, str]) -> set[int]:
-    """The numbers of elements whose name says nothing, as they enclose the main content.
-
-    That is the main element, or else the article, that holds the most text; articles named as the
-    longest one count with it, others (a comment, say) by their names. On a page with neither,
-    an element counts as enclosing it if it holds the page's heading and more than half of the text,
-    or, without a heading, all the text that no element's kind puts outside.
-    """
-    inside = [b for b in found if not b[3]]
-    held: Counter = Counter()
-    for b in inside:
-        for n in b[2]:
-            held[n] += len(b[1])
-    if held:
-        content = max(held, key=lambda n: (n in sure, held[n], -n))
-        longest = max((n for n in held if n in articles), key=lambda n: (held[n], -n), default=None)
-        alike = {n for n, x in articles.items() if longest is not None and x == articles[longest]}
-        return alike | {n for b in inside if content in b[2] for n in b[5] if n < content}
-    around: Counter = Counter()
-    for b in inside:
-        around.update(dict.fromkeys(b[5], len(b[1])))
-    total, headings = sum(len(b[1]) for b in inside), [b for b in inside if b[6]]
-    if headings:
-        return {n for b in headings for n in b[5] if 2 * around[n] > total}
-    return {n for n, size in around.items() if size == total}
-
-
-def named(name: str, attributes: str) -> str:
-    found = [f"{k.lower()}={_DIGITS.sub('', v.strip(chr(34) + chr(39)))}" for k, v in _ATTRIBUTE.findall(attributes)] if attributes else []
-    return f"{name}[{','.join(found)}]" if found else name
-
-
-def odd(attributes: str) -> bool:
-    """Whether an element's class, id or role names something that is no article."""
-    return any(NAMES.search(v.strip("\"'")) is not None for _, v in _ATTRIBUTE.findall(attributes))
+#: Template tokens that are broadcast, at most (16 bytes each), and hosts that count as large (each has more than this share of all pages).
+BROADCAST_TOKENS, LARGE_HOSTS = 500_000, 256
 
 
 def host_of(url) -> object:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def hashed(*x: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest("\0".join(x).encode("utf-8", "replace")) - (1 << 63)
-
-
 def token_sequence(html: str) -> list[tuple[int, int]]:
     """(token, size) in page order, outside elements left out: the role of each block, and its text in that role."""
     out = []
-    for path, text, _, outside, _ in blocks(html):
-        if not outside:
-            out += [(hashed(path), 1), (hashed(path, text), len(text.split()))]
+    for b in blocks(html):
+        if not b.outside:
+            out += [(b.path, 1), (text_token(b), len(b.text.split()))]
     return out
 
 
+def text_token(b) -> int:
+    return hashed(str(b.path), b.text)
+
+
 def checked_classes(sequence: list[int], classes: dict[int, int]) -> list[tuple[int, int, bool]]:
     """(class, hash of its order, whether it holds) of each class on a page; classes has the class of each token.
 
@@ -220,62 +63,78 @@ def checked_classes(sequence: list[int], classes: dict[int, int]) -> list[tuple[
     return out
 
 
-def template_tokens(pages: DataFrame, key: str, url: str, html: str, support: float = SUPPORT) -> DataFrame:
-    """(host, tokens): the constants of each host's template, as hashes of path and text.
+def with_host(rows: DataFrame, lists: DataFrame, sizes: DataFrame, what: str, how: str) -> DataFrame:
+    """rows joined to the list that their host has in the column what; sizes has (host, pages).
+
+    The lists go to where the rows lie if all of them together are small. If not, only those of the
+    few hosts with a large share of all pages do, and the other rows are dealt by host.
+    """
+    total = lists.agg(F.sum(F.size(what))).first()[0] or 0
+    if total <= BROADCAST_TOKENS:
+        return rows.join(F.broadcast(lists), "host", how)
+    least = (sizes.agg(F.sum("pages")).first()[0] or 0) // LARGE_HOSTS
+    large = F.broadcast(sizes.where(F.col("pages") > least).select("host"))  # fewer than LARGE_HOSTS hosts
+    here = rows.join(large, "host", "left_semi").join(F.broadcast(lists.join(large, "host", "left_semi")), "host", how)
+    dealt = rows.join(large, "host", "left_anti").join(lists.join(large, "host", "left_anti").hint("merge"), "host", how)
+    return here.select(*dealt.columns).union(dealt)
+
+
+def template_tokens(pages: DataFrame, url: str, html: str, support: float = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """((host, tokens), (host, pages)): the constants of each host's template, as hashes of path and text, and the hosts' numbers of distinct pages.
 
     Every token of a page, an element's role or a text in its role, gets an occurrence vector over
-    the host's pages: its fingerprint is the sum of a hash of the page and of how often the token is
-    on it, so tokens of equal fingerprints occur alike and form an equivalence class. A class is valid
+    the host's pages: its fingerprint joins the hashes of each page with how often the token is on
+    it, so tokens of equal fingerprints occur alike and form an equivalence class. A class is valid
     if it has LEAST_TOKENS tokens or more, is on LEAST_ON pages and on support of the host's pages or
     more (each counted once however many copies it has), keeps one order on every page and nests in
     the classes larger than it there (checked_classes). Tokens of valid classes are the constants.
     """
     prepare(pages.sparkSession)
 
-    def tokens(items):
-        for batch in batches(items):
-            out: dict[str, list] = {"host": [], "token": [], "vector": [], "size": []}
-            for host, x in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                sequence = token_sequence(x)
-                page, size = hashed(x), dict(sequence)
-                for t, n in Counter(t for t, _ in sequence).items():
-                    out["host"].append(host)
-                    out["token"].append(t)
-                    out["vector"].append(hashed(str(page), str(n)) >> 20)
-                    out["size"].append(size[t])
-                out["host"].append(host)
-                out["token"].append(None)
-                out["vector"].append(page)
-                out["size"].append(0)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()), "token": pa.array(out["token"], pa.int64()), "vector": pa.array(out["vector"], pa.int64()), "size": pa.array(out["size"], pa.int64())})
-
     def sequences(items):
         for batch in batches(items):
-            out = [[t for t, _ in token_sequence(x)] for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"host": batch.column(0), "sequence": pa.array(out, pa.list_(pa.int64()))})
+            found = [token_sequence(x) for x in texts(batch.column(1))]
+            counts = [Counter(t for t, _ in s) for s in found]
+            size = [dict(s) for s in found]
+            yield pa.RecordBatch.from_pydict({
+                "host": batch.column(0),
+                "page": pa.array([hashed(x) for x in texts(batch.column(1))], pa.int64()),
+                "sequence": pa.array([[t for t, _ in s] for s in found], pa.list_(pa.int64())),
+                "tokens": pa.array([[{"token": t, "n": n, "size": z[t]} for t, n in c.items()] for c, z in zip(counts, size, strict=True)], pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("size", pa.int32())]))),
+            })
 
     def checked(items):
         for batch in batches(items):
             found: set[tuple] = set()
-            for host, sequence, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for host, sequence, members in zip(batch.column("host").to_pylist(), batch.column("sequence").to_pylist(), batch.column("members").to_pylist(), strict=True):
                 classes = {m["token"]: m["class"] for m in members}
                 found.update((host, *c) for c in checked_classes(sequence, classes))
             columns = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_pydict({"host": pa.array(columns[0], pa.string()), "class": pa.array(columns[1], pa.int64()), "order": pa.array(columns[2], pa.int64()), "ok": pa.array(columns[3], pa.bool_())})
 
     slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    seen = slim.mapInArrow(tokens, "host string, token long, vector long, size long")
-    # Copies of a page give equal vectors and count once; a token's rows are summed in the tasks first.
-    held = seen.where("token is not null").groupBy("host", "token", "vector").agg(F.max("size").alias("size")).groupBy("host", "token").agg(F.count(F.lit(1)).alias("on"), F.max("size").alias("size"), F.sum("vector").alias("class"))
-    sizes = seen.where("token is null").groupBy("host", "vector").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    # Only the tokens' hashes cross the network, not the pages; copies of a page count once.
+    seen = slim.mapInArrow(sequences, "host string, page long, sequence array<long>, tokens array<struct<token:long,n:int,size:int>>")
+    seen = checkpointed(seen.groupBy("host", "page").agg(F.first("sequence").alias("sequence"), F.first("tokens").alias("tokens")))
+    sizes = checkpointed(seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    each = seen.select("host", "page", F.explode("tokens").alias("t")).select("host", "t.token", F.xxhash64("page", "t.n").alias("vector"), "t.size")
+    held = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("on"), F.max("size").alias("size"), F.bit_xor("vector").alias("class"))
     often = held.join(sizes, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("on") >= F.greatest(F.lit(LEAST_ON), F.lit(support) * F.col("pages"))))
     likely = checkpointed(often.groupBy("host", "class").agg(F.sum("size").alias("size"), F.collect_list("token").alias("tokens")).where(F.col("size") >= LEAST_TOKENS).select("host", "class", "tokens"))
     members = likely.select("host", "class", F.explode("tokens").alias("token")).groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("members"))
-    # Only the tokens' hashes cross the network for this, not the pages.
-    ordered = slim.mapInArrow(sequences, "host string, sequence array<long>")
-    found = ordered.join(members, "host").select("host", "sequence", "members").mapInArrow(checked, "host string, class long, order long, ok boolean")
+    found = with_host(seen.select("host", "sequence"), members, sizes, "members", "inner").mapInArrow(checked, "host string, class long, order long, ok boolean")
     valid = found.groupBy("host", "class").agg(F.min("order").alias("least"), F.max("order").alias("most"), F.min("ok").alias("ok")).where("ok and least = most")
-    return likely.join(valid.select("host", "class"), ["host", "class"]).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    template = likely.join(valid.select("host", "class"), ["host", "class"]).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return checkpointed(template), sizes
+
+
+def slots(html: str, constants: frozenset) -> list[str]:
+    """The texts of a page's slots that hold the article, in page order."""
+    held = [b for b in blocks(html) if not b.outside and (b.main or not b.links)]
+    if any(b.main for b in held):
+        held = [b for b in held if b.main]
+    kept = [b.text for b in held if not constants or text_token(b) not in constants]
+    return kept or [b.text for b in held]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -284,31 +143,26 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     Pages of one host share a template. Its constants are deduced from equivalence classes of tokens
     (template_tokens); the gaps between them, where the other blocks stand, are the slots.
     Slots under elements that stand for menus, headers, footers, sidebars, notices, adverts, forms
-    or comments, by element, class, id or role, hold no article, nor do blocks made of links; if the
-    page has an article or main element, only slots in it count. The blocks of the remaining slots
-    are the text, joined by an empty line, with character references decoded and white space
-    inside a block as one space. Constant texts are left out unless nothing else would remain.
+    or comments, by element, class, id or role, hold no article, nor do blocks made of links that are
+    no paragraphs or headings; if the page has an article or main element, only slots in it count. The
+    blocks of the remaining slots are the text, joined by an empty line, with character references
+    decoded and white space inside a block as one space; an advert inside a line is left out of it.
+    Constant texts are left out unless nothing else would remain.
 
     A host with fewer than LEAST_PAGES distinct pages has no deduced texts. Copies of a page count
     once. Null, empty and broken pages give what text they have, or an empty one; a null url is a
-    host of its own; rows repeat as in pages; other columns are not returned. Pages are not grouped:
-    the tokens are summed in the tasks, then each page is joined to its host's few template tokens,
-    a join that Spark splits for a host with many pages.
+    host of its own; rows repeat as in pages; other columns are not returned. The time for a page is
+    linear in its length. Pages are never grouped and, unless the templates are many, never moved:
+    hashes of their tokens are summed up, and the few constants of each host go to its pages.
     """
-    template = template_tokens(pages, key, url, html)
+    template, sizes = template_tokens(pages, url, html)
     kinds = dict(pages.dtypes)
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host")).join(template, "host", "left").drop("host")
+    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
+    rows = with_host(rows, template, sizes, "tokens", "left").select("page_id", "url", "html", "tokens")
 
     def extracted(items):
         for batch in batches(items):
-            out = []
-            for x, known in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                known = frozenset(known or ())
-                slots = [b for b in blocks(x) if not b[3] and (b[4] < 0.8 or b[2])]
-                if any(b[2] for b in slots):
-                    slots = [b for b in slots if b[2]]
-                kept = [b[1] for b in slots if not known or hashed(b[0], b[1]) not in known]
-                out.append("\n\n".join(kept or [b[1] for b in slots]))
+            out = ["\n\n".join(slots(x, frozenset(known or ()))) for x, known in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())})
 
     return rows.mapInArrow(extracted, f"page_id {kinds[key]}, url {kinds[url]}, text string, n_chars long")
