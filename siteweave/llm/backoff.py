@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
 
-#: The cap of words in OP8_SQL; score() has none.
-VOCABULARY = 65_535
+#: Words of which a task sums up the n-grams before it hands them on.
+HELD_WORDS = 2_000_000
 
 
-def ending(texts: list[bytes], order: int, memo: dict, table: bytes = lowered_spaces_table()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For all words of texts: the text of each, its place there from 0, and for each order up to `order` the hash of the n-gram that ends with it.
+def ending(texts: list[bytes], order: int, memo: dict, table: bytes = lowered_spaces_table()) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For all words of texts: the text of each, its place there from 0, how many words follow it there, and for each order up to `order` the hash of the n-gram that ends with it.
 
     A hash of order k means nothing at places before k - 1.
     """
@@ -29,29 +31,40 @@ def ending(texts: list[bytes], order: int, memo: dict, table: bytes = lowered_sp
         h = np.zeros(len(flat), np.uint64)
         h[k - 1 :] = sequence_hashes(flat, k)
         hashes.append(h)
-    return doc, place, hashes
+    return doc, place, np.repeat(n, n) - place - 1, hashes
 
 
-def gram_counts(docs: DataFrame, order: int, text: str = "text", weight: int = 1) -> DataFrame:
-    """(k, gram, prefix, suffix, n) of n-grams of each order k up to `order`: what each batch of texts has, times weight.
+def held(items, most: int = HELD_WORDS):
+    """Lists of texts of about so many words each, from the first column of Arrow batches."""
+    now, size = [], 0
+    for batch in batches(items):
+        for x in utf8(batch.column(0)):
+            now.append(x)
+            size += len(x)
+            if size > 6 * most:
+                yield now
+                now, size = [], 0
+    if now:
+        yield now
 
-    prefix and suffix are the n-gram without its last and without its first word, by their hashes.
-    """
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
+    """(k, gram, n) of n-grams of each order k up to `order`, summed up in the tasks as far as HELD_WORDS goes."""
     prepare(docs.sparkSession)
-    signed = lambda x: pa.array(x.view(np.int64))
 
     def counted(items):
         memo: dict = {}
-        for batch in batches(items):
-            _, place, hashes = ending(utf8(batch.column(0)), order, memo)
+        for some in held(items):
+            _, place, _, hashes = ending(some, order, memo)
             for k, h in enumerate(hashes, 1):
-                at = np.flatnonzero(place >= k - 1)
-                grams, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                at = at[first]
-                parts = [hashes[k - 2][at - 1], hashes[k - 2][at]] if k > 1 else [np.zeros(len(at), np.uint64)] * 2
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "gram": signed(grams), "prefix": signed(parts[0]), "suffix": signed(parts[1]), "n": pa.array(n * weight)})
+                grams, n = np.unique(h[place >= k - 1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(grams), k, np.int32)), "gram": _signed(grams), "n": pa.array(n)})
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, prefix long, suffix long, n long")
+    return docs.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, n long")
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", order: int = 3, least: int = 1, alpha: float = 0.4) -> DataFrame:
@@ -63,11 +76,10 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id",
     corpus; else log(alpha) and its score by the n-gram without the first word. A lone word scores
     log(c / N); one without any count counts as seen once.
 
-    Relationally: n-grams are 64-bit hashes. Each task explodes its texts into n-grams of each order
-    with their numbers; a count table for each order, dealt out by hash, sums them and is joined to
-    the table of the order below for the counts of contexts and, where something can back off, for
-    the lower scores. The documents' own n-grams, one row for each distinct one of a document, are
-    joined to the scores and summed by document. Nothing that grows with the corpus is broadcast.
+    Relationally: n-grams are 64-bit hashes. Tasks explode texts into n-grams of each order with
+    their numbers; a count table, dealt out by hash, sums them. The documents' own n-grams, one row
+    for each distinct one of a document, are joined to it and summed by document. Nothing that grows
+    with the corpus is broadcast.
 
     corpus is docs unless given. Rows that share a key are one document, whose n-grams stay inside
     their rows; a null key is a document. Null and empty texts have no words, log_score 0 and a null
@@ -76,25 +88,89 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id",
     if order < 1:
         raise ValueError("an order of 1 at least")
     prepare(docs.sparkSession)
-    own = corpus is None or corpus is docs
-    exploded = gram_counts(docs if own else corpus, order, text)
-    if not own:
-        exploded = exploded.union(gram_counts(docs, order, text, 0))
-    # Where no n-gram can be missing, no lower score is asked for.
-    back = not own or least > 1
-    columns = ["prefix", "suffix"] if back else ["prefix"]
-    grams = checkpointed(exploded.groupBy("gram").agg(F.min("k").alias("k"), *(F.min(c).alias(c) for c in columns), F.sum("n").alias("c")))
+    if (corpus is None or corpus is docs) and least <= 1:
+        got = _own_scores(docs, key, text, order)
+    else:
+        got = _scores(docs, docs if corpus is None else corpus, key, text, order, least, alpha)
+    return got.select("doc_id", "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+
+
+def _own_scores(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
+    """Scores of the corpus itself, which has each of its n-grams, so that nothing backs off.
+
+    Then the score of a document is a sum of log counts: plus one for each n-gram that scores a word,
+    less one for each that is the context of one. Each order is summed on its own, and an n-gram that
+    occurs once in the corpus adds log 1, so only the counts from 2 on are kept and joined.
+    """
+    counts = gram_counts(docs, order, text).groupBy("gram").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
+    often = stored(counts.where("c > 1 or k = 1"))
+    total = often.where("k = 1").agg(F.sum("c")).first()[0] or 0
+    log_n = float(np.log(max(total, 1)))
+    kind = dict(docs.dtypes)[key]
+
+    def rows(first_order: int, last_order: int) -> DataFrame:
+        def run(items):
+            """(document, n-gram, how often its log count is added)."""
+            memo: dict = {}
+            for batch in batches(items):
+                doc, place, after, hashes = ending(utf8(batch.column(1)), last_order, memo)
+                for k in range(first_order, last_order + 1):
+                    scores = np.minimum(order, place + 1) == k
+                    context = (after > 0) & (np.minimum(order - 1, place + 1) == k)
+                    sign = scores.astype(np.int64) - context
+                    at = np.flatnonzero(sign)
+                    grams = hashes[k - 1][at]
+                    _, first, which = np.unique(grams + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+                    n = np.bincount(which, sign[at], len(first)).astype(np.int64)
+                    out = {"doc_id": batch.column(0).take(pa.array(doc[at[first]], pa.int64())), "gram": _signed(grams[first]), "n": pa.array(n)}
+                    yield pa.RecordBatch.from_pydict(out).filter(pa.array(n != 0))
+
+        return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, gram long, n long")
+
+    def lengths(items):
+        table = lowered_spaces_table()
+        for batch in batches(items):
+            n = [len(x.translate(table).split()) for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "s": pa.array([-log_n if x else 0.0 for x in n])})
+
+    parts = [docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).mapInArrow(lengths, f"doc_id {kind}, n_words long, s double")]
+    # Almost all rows are of the two highest orders. Each part is stored before the next, so that its exchanges need not be kept.
+    for low, high in ((1, order - 1), (order, order)):
+        table = often.where(F.col("k").between(low, high) & (F.col("c") > 1)).select("gram", "c")
+        joined = rows(low, high).join(table.hint("shuffle_hash"), "gram")
+        parts.append(stored(joined.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.col("n") * F.log("c")).alias("s"))))
+    return reduce(lambda a, b: a.union(b), parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
+
+
+def _scores(docs: DataFrame, corpus: DataFrame, key: str, text: str, order: int, least: int, alpha: float) -> DataFrame:
+    """Scores by another corpus, or with a least count: the table of each order is joined to that of the order below, for contexts and lower scores."""
+
+    def linked(df: DataFrame, weight: int) -> DataFrame:
+        """(k, gram, prefix, suffix, n): prefix and suffix are the n-gram without its last and without its first word, by their hashes."""
+
+        def counted(items):
+            memo: dict = {}
+            for some in held(items):
+                _, place, _, hashes = ending(some, order, memo)
+                for k, h in enumerate(hashes, 1):
+                    at = np.flatnonzero(place >= k - 1)
+                    grams, first, n = np.unique(h[at], return_index=True, return_counts=True)
+                    at = at[first]
+                    parts = [hashes[k - 2][at - 1], hashes[k - 2][at]] if k > 1 else [np.zeros(len(at), np.uint64)] * 2
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "gram": _signed(grams), "prefix": _signed(parts[0]), "suffix": _signed(parts[1]), "n": pa.array(n * weight)})
+
+        return df.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, prefix long, suffix long, n long")
+
+    exploded = linked(corpus, 1) if corpus is docs else linked(corpus, 1).union(linked(docs, 0))
+    grams = checkpointed(exploded.groupBy("gram").agg(F.min("k").alias("k"), F.min("prefix").alias("prefix"), F.min("suffix").alias("suffix"), F.sum("n").alias("c")))
     total = grams.where("k = 1").agg(F.sum("c")).first()[0] or 0
     log_n, log_alpha = float(np.log(max(total, 1))), float(np.log(alpha))
     below = grams.where("k = 1").select("gram", "c", (F.log(F.greatest("c", F.lit(1))) - F.lit(log_n)).alias("s"))
     scores = below.select("gram", "s")
     for k in range(2, order + 1):
         context = below.select(F.col("gram").alias("prefix"), F.col("c").alias("of"))
-        found = grams.where(F.col("k") == k).join(context, "prefix")
-        hit = F.log("c") - F.log("of")
-        if back:
-            found = found.join(below.select(F.col("gram").alias("suffix"), F.col("s").alias("lower")), "suffix")
-            hit = F.when(F.col("c") >= max(least, 1), hit).otherwise(F.col("lower") + F.lit(log_alpha))
+        found = grams.where(F.col("k") == k).join(context, "prefix").join(below.select(F.col("gram").alias("suffix"), F.col("s").alias("lower")), "suffix")
+        hit = F.when(F.col("c") >= max(least, 1), F.log("c") - F.log("of")).otherwise(F.col("lower") + F.lit(log_alpha))
         below = checkpointed(found.select("gram", "c", hit.alias("s")))
         # Of lower orders, only the first words of a row are scored by themselves; all are offered.
         scores = scores.union(below.select("gram", "s"))
@@ -105,7 +181,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id",
         """The distinct n-grams by which each document's words are scored; a document without words has a row that finds nothing."""
         memo: dict = {}
         for batch in batches(items):
-            doc, place, hashes = ending(utf8(batch.column(1)), order, memo)
+            doc, place, _, hashes = ending(utf8(batch.column(1)), order, memo)
             top = hashes[0].copy()
             for k in range(2, order + 1):
                 np.copyto(top, hashes[k - 1], where=place >= k - 1)
@@ -116,5 +192,4 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id",
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(at, pa.int64())), "gram": pa.array(gram), "n": pa.array(np.concatenate([n, np.zeros(len(none), np.int64)]))})
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, gram long, n long")
-    got = rows.join(scores, "gram", "left").groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.coalesce(F.sum(F.col("n") * F.col("s")), F.lit(0.0)).alias("log_score"))
-    return got.select("doc_id", "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+    return rows.join(scores, "gram", "left").groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.coalesce(F.sum(F.col("n") * F.col("s")), F.lit(0.0)).alias("log_score"))
