@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -13,14 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import checkpointed
-from .common import COUNT_TYPES, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, utf8, word_hashes
+from ..session import checkpointed, stored
+from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
 
 #: Sets and shingles of one block; a larger group is searched block against block.
-BLOCK_SETS, BLOCK_SHINGLES = 4000, 2_000_000
-#: Counters of the sketch of shingle frequencies: what is sent to every task.
-SKETCH = 1 << 20
-
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 
 def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_table()) -> np.ndarray:
     """The set of hashes of n-word shingles, ascending; of the whole sequence, if it is shorter."""
@@ -30,33 +28,60 @@ def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_tabl
     return np.unique(sequence_hashes(word_hashes(words, memo), min(n, len(words))))
 
 
-def sketched(s: np.ndarray) -> np.ndarray:
-    """The counter of each shingle."""
-    return (s >> np.uint64(17)).astype(np.int64) & (SKETCH - 1)
-
-
 def size_class(n: int, percent: int) -> int:
     """Sets that link are in the same class or in neighbouring ones."""
     return math.floor(math.log(n) / max(1e-3, 1.0001 * math.log(100 / percent)))
 
 
-def meeting_keys(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
-    """Keys of which two linked sets share one, whatever their sizes: shingles of the prefix, with a number for the size.
+@cache
+def largest_of(c: int, percent: int) -> int:
+    """The largest size of a class; 0 if none is in it or below."""
+    n = max(1, math.floor(math.exp((c + 1) * max(1e-3, 1.0001 * math.log(100 / percent)))) + 2)
+    while n and size_class(n, percent) > c:
+        n -= 1
+    return n
+
+
+@cache
+def segments(c: int, percent: int) -> tuple[int, int, int]:
+    """(most, m, spare) for two sets that link, of which the smaller is in class c: they differ in `most` shingles at most, so of m segments, one for each difference and spare + 1 more, they agree in more than spare."""
+    most = largest_of(c, percent) * (100 - percent) // percent
+    spare = 1 + most // 50
+    return most, most + 1 + spare, spare
+
+
+def mixed(x: np.ndarray, by: int) -> np.ndarray:
+    h = (x ^ np.uint64(by * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which any two different sets that link share one, whatever their sizes.
 
-    Two linked sets share so many shingles that neither can leave all of them to the part behind its
-    n - ceil(percent n / 100) + 1 first ones, in any order that is the same for all sets; rarest
-    first, by the sketch's counts, keeps shingles of passages that many documents share out of it.
-    Each set offers its keys to its own size class and to the one below, so that a shingle in common
-    brings sets together only if their sizes allow a link.
+    A set offers keys to its own size class and to the one below, in which it meets smaller sets. For
+    a class, the shingles are dealt by hash into so many segments that two sets that link agree in
+    more of them than spare; a key is what one segment holds. Segments that are empty say nothing, so
+    a set with more than spare of those offers the shingles of its prefix too (its first by hash, of
+    which two sets that link share one); so do all sets where segments would hold hardly anything.
     """
-    least = -(-percent * len(s) // 100)
-    prefix = s[np.lexsort((s, counts[sketched(s)]))][: len(s) - least + 1]
-    own = size_class(len(s), percent)
-    out = []
+    own, out = size_class(len(s), percent), []
     for c in (own, own - 1):
-        h = (prefix ^ np.uint64((c + 2) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(h ^ (h >> np.uint64(32)))
-    return np.concatenate(out)
+        most, m, spare = segments(c, percent)
+        if not most:
+            continue  # only equal sets link
+        few = 2 * m > largest_of(c, percent)
+        if not few:
+            h = mixed(s, 3)
+            at = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+            held, sums = np.bincount(at, minlength=m), np.zeros(m, np.uint64)
+            np.add.at(sums, at, h * (h | np.uint64(1)))
+            full = np.flatnonzero(held)
+            out.append(mixed(sums[full] + full.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019), 2 * c + 8))
+            few = m - len(full) > spare
+        if few:
+            least = -(-percent * len(s) // 100)
+            out.append(mixed(np.sort(mixed(s, 5))[: len(s) - least + 1], 2 * c + 9))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def linked(overlap: int, a: int, b: int, percent: int) -> bool:
@@ -160,8 +185,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     percent * union; component_id is the smallest doc_id that links lead to, its own included.
 
     Equal sets become one class, whose documents are linked without comparing. Classes that share a
-    meeting key, a shingle of both their prefixes (rarest first by a sketch of all documents), are
-    brought together, which misses no link at any size; their groups are searched exactly by
+    meeting key (one segment of their shingles is the same, see meeting_keys) are brought together,
+    which misses no link at any size; their groups are searched exactly by
     t_occurrence() in one task each, or block against block if they have more than block_sets
     classes or block_shingles shingles. Links are kept only as far as they join components, so no
     group emits its pairs, and components are sought among classes, so no copies enter them.
@@ -176,21 +201,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def shingled(items):
         memo: dict = {}
-        counts = np.zeros(SKETCH, np.int64)
         for batch in batches(items):
             sets = [shingles(x, shingle, memo) for x in utf8(batch.column(1))]
             names = [int(np.bitwise_xor.reduce((s * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (s >> np.uint64(32))) ^ np.uint64(len(s))) if len(s) else 0 for s in sets]
             other = [int(np.add.reduce(s * (s | np.uint64(1)))) if len(s) else 0 for s in sets]
-            counts += np.bincount(np.concatenate([sketched(s) for s in sets]), minlength=SKETCH)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": signed(names), "h2": signed(other), "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
-        blocks, held = count_blocks(counts)
-        none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "h1": none, "h2": none, "block": pa.array(blocks, pa.int32()), "counts": pa.array(held, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": signed(names), "h2": signed(other)})
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    passed = checkpointed(slim.mapInArrow(shingled, f"doc_id long, n_shingles long, h1 long, h2 long, {COUNT_TYPES}"))
-    sketch = spark.sparkContext.broadcast(summed_counts(passed.where("block is not null"), SKETCH))
-    sized = passed.where("block is null").select("doc_id", "n_shingles", "h1", "h2")
+    sized = checkpointed(slim.mapInArrow(shingled, "doc_id long, n_shingles long, h1 long, h2 long"))
 
     def keyed(items):
         memo: dict = {}
@@ -198,7 +216,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             ids, keys = [], []
             for i, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if len(s := shingles(x, shingle, memo)):
-                    keys.append(meeting_keys(s, percent, sketch.value).view(np.int64))
+                    keys.append(meeting_keys(s, percent).view(np.int64))
                     ids.append(np.full(len(keys[-1]), i, np.int64))
             if ids:
                 yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(keys)), "c": pa.array(np.concatenate(ids))})
@@ -209,10 +227,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # One text stands for each class: the row of its smallest key.
     mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
-    offered = checkpointed(mine.mapInArrow(keyed, "k long, c long"))
+    offered = stored(mine.mapInArrow(keyed, "k long, c long"))
     # A key is summed up in the tasks first, and few keys have several classes, so no key gathers in one task.
     shared = offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("least <> most")
-    met = checkpointed(offered.join(shared, "k").select("c", "least", "mark").distinct())
+    met = stored(offered.join(shared, "k").select("c", "least", "mark").distinct())
     groups = connected_components(met.where("c <> least"), "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c")
     placed = _cheaper(groups, met, block_sets, block_shingles)
     placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
