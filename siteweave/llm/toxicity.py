@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,12 @@ from .common import appended, batches, prepare, texts, with_schema
 
 #: Labelled documents that the fit reads of either label, at most; drawn by a hash of their ids.
 FIT_ROWS = 4000
-#: Toxic documents that a term is in at least, and how often its rate there is that of the others.
-LEAST_DOCS, LIFT = 5, 8
-#: Letters that a term has at least and at most.
+#: Toxic documents that a term is in at least, how often its rate there is that of the others, and its log-likelihood ratio at least.
+LEAST_DOCS, LIFT, EVIDENCE = 5, 8, 25.0
+#: Letters that a word start has at least and at most; whole words may be longer.
 SHORTEST, LONGEST = 3, 14
+#: A longer form of a term is taken if it has this share of the evidence.
+ENOUGH = 0.8
 #: Phrases in which a term is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "loser bracket", "stupid easy", "idiot proof")
 
@@ -84,11 +88,14 @@ def features(automaton, text: str) -> tuple[float, float]:
     hits = [(end - size + 1, end, weight) for end, (weight, size) in automaton.iter(t)]
     if not hits:
         return 0.0, 0.0
-    shields = [(a, b) for a, b, w in hits if not w]
+    shields = sorted((a, b) for a, b, w in hits if not w)
+    starts, ends = [a for a, _ in shields], list(accumulate((b for _, b in shields), max))
     best: dict[int, float] = {}
     for a, b, w in hits:
-        if w and not any(x <= a and b <= y for x, y in shields):
-            best[a] = max(w, best.get(a, 0.0))
+        if w:
+            k = bisect_right(starts, a)
+            if not k or ends[k - 1] < b:
+                best[a] = max(w, best.get(a, 0.0))
     total = sum(best.values())
     words = t.count(" ") or 1
     return float(np.log1p(total)), float(np.log1p(1000 * total / words))
@@ -98,12 +105,42 @@ def terms_of(text: str) -> set[str]:
     """The whole words and the word starts of a text, each as the pattern that finds it."""
     out = set()
     for w in set(folded(text).split()):
-        if SHORTEST <= len(w) <= 40:
-            out.add(f" {w} " if len(w) <= LONGEST else f" {w[:LONGEST]}")
-            out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST)))
+        if len(w) >= SHORTEST:
+            out.add(f" {w} ")
+            out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST + 1)))
     return out
 
 
+def evidence(a: int, b: int, p: int, q: int) -> float:
+    """The log-likelihood ratio of a term in a of p toxic and b of q other documents."""
+    part = lambda x, n, r: x * np.log(x / (n * r)) if x else 0.0
+    r = (a + b) / (p + q)
+    return 2 * float(part(a, p, r) + part(b, q, r) + part(p - a, p, 1 - r) + part(q - b, q, 1 - r))
+
+
+def chosen(toxic: dict[str, int], clean: dict[str, int], p: int, q: int) -> dict[str, float]:
+    """Weights of the terms to keep, of those in toxic[t] of p toxic and clean[t] of q other documents.
+
+    A term counts if it passes LEAST_DOCS, LIFT and EVIDENCE. Of a word and its starts one is kept:
+    the longest whose evidence is ENOUGH of the most, so that a start is taken only where several
+    words bear it out. The weight is the smoothed log ratio of the rates.
+    """
+    weight = {t: float(np.log((a + 0.5) / (p + 1)) - np.log((clean.get(t, 0) + 0.5) / (q + 1))) for t, a in toxic.items() if a >= LEAST_DOCS and clean.get(t, 0) * p * LIFT <= a * q}
+    known = {t: e for t in weight if (e := evidence(toxic[t], clean.get(t, 0), p, q)) >= EVIDENCE}
+    names = sorted(known)
+    weights: dict[str, float] = {}
+    taken: set[str] = set()
+    for term in sorted(known, key=lambda t: (-known[t], -len(t), t)):
+        bare = term.rstrip()
+        if bare in taken or any(bare[:k] in weights for k in range(SHORTEST + 1, len(bare) + 1)) or bare + " " in weights:
+            continue
+        family = names[bisect_left(names, bare) : bisect_left(names, bare + "\U0010ffff")]
+        best = max((t for t in family if known[t] >= ENOUGH * known[term]), key=lambda t: (len(t), known[t], t))
+        weights[best] = weight[best]
+        taken.update(best.rstrip()[:k] for k in range(SHORTEST + 1, len(best.rstrip()) + 1))
+    return weights
+
+
 def _sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
     """Labelled documents, at most rows of either label; equal texts count once. Bounded, so broadcast."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null").dropDuplicates(["k"])
@@ -115,12 +152,11 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int)
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon whose terms and weights come from labelled documents.
 
-    At most rows documents of either label are read. A term (a word, or the start of words) is kept
-    when it occurs in at least 2 % of the toxic sample, in LEAST_DOCS documents at least, and its rate
-    there is LIFT times that in the other sample; of a word and its starts the one with the most
-    evidence is kept. The weight is the smoothed log ratio of the rates. A logistic curve over two features, the
-    matched weight and the weight per length, is then fitted to the same sample. Without documents
-    of both labels the lexicon is empty and every score is low.
+    At most rows documents of either label are read. The terms, words or starts of words, are those
+    of chosen(). A logistic curve over two features, the matched weight and the weight per length, is
+    then fitted to the same sample. Labels without a document, nulls among keys and labels, and
+    repeated labels of a key but one are ignored; equal texts count once. Without documents of both
+    labels the lexicon is empty and every score is low.
     """
     from ..session import checkpointed
 
@@ -142,8 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     p, q = sizes.get(1, 0), sizes.get(0, 0)
     if not p or not q:
         return Lexicon(exceptions=exceptions)
-    least = max(LEAST_DOCS, round(0.02 * p))
-    often = sample.where("y = 1").select("x").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = sample.where("y = 1").select("x").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
     toxic = {r["term"]: r["n"] for r in often.collect()}  # each document has a bounded share of a bounded sample's terms
     known = frozenset(toxic)
 
@@ -156,15 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_pydict({"term": list(n), "n": pa.array(list(n.values()), pa.int64())})
 
     clean = {r["term"]: r["n"] for r in sample.where("y = 0").select("x").mapInArrow(checked, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    weights: dict[str, float] = {}
-    rate = {t: float(np.log((a + 0.5) / (p + 1)) - np.log((clean.get(t, 0) + 0.5) / (q + 1))) for t, a in toxic.items() if clean.get(t, 0) * p * LIFT <= a * q}
-    taken: set[str] = set()
-    for term in sorted(rate, key=lambda t: (-toxic[t] * rate[t], len(t), t)):
-        bare = term.rstrip()
-        starts = [bare[:k] for k in range(SHORTEST + 1, len(bare) + 1)]
-        if bare not in taken and not any(x in weights or x + " " in weights for x in starts):
-            weights[term] = rate[term]
-            taken.update(starts)
+    weights = chosen(toxic, clean, p, q)
     lexicon = Lexicon(weights, exceptions)
 
     def measured(items):
