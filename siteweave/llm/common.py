@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch brings to a Python worker; with whole texts of a few kB some MB.
-BATCH_ROWS = 2000
+#: Rows and bytes that one Arrow batch brings to a Python worker, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, as a batch of long texts would otherwise fill a worker."""
+    """Keeps the session's Arrow batches small, as a batch of long texts would otherwise fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def fresh(name: str) -> str:
@@ -56,13 +57,6 @@ def with_schema(df: DataFrame, ddl: dict[str, str]) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.fields), *(f"`{n}` {t}" for n, t in ddl.items())])
 
 
-def portable_hash(key: Column, seed: int) -> Column:
-    """Two steps of a Lehmer generator modulo 2^31 - 1, the same in any SQL engine; null as 0."""
-    k = F.pmod(F.coalesce(key.cast("long"), F.lit(0)), F.lit(2147483647))
-    one = (k * 48271 + (seed * 9176 + 11)) % 2147483647
-    return (one * 48271 + 12345) % 2147483647
-
-
 def word_hashes(words: list[bytes], memo: dict[bytes, int], most: int = 400_000) -> np.ndarray:
     """64-bit hashes of words. The memo only saves time and is emptied when it has grown."""
     import xxhash

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import appended, batches, lowered_words_table, prepare, utf8, with_schema
+from .common import appended, batches, fresh, lowered_words_table, prepare, utf8, with_schema
 
 #: Test windows that one pass holds; more are searched in further passes.
 BLOCK_WINDOWS = 500_000
@@ -22,7 +22,7 @@ class WuManber:
 
     A block is two words (one, if least is 1). shift says how far the search may move when a block
     ends at the current word; blocks that end some window's first least words lead to the bucket of
-    those windows, which are then compared word by word.
+    those windows, a dictionary for each length: a hash of the words picks one, whose words are then compared.
     """
 
     def __init__(self, windows: dict[tuple, set], least: int):
@@ -37,7 +37,7 @@ class WuManber:
                 if move < self.shift.get(b, self.free):
                     self.shift[b] = move
                 if move == 0:
-                    self.bucket.setdefault(b, []).append((words, items))
+                    self.bucket.setdefault(b, {}).setdefault(len(words), {})[words] = items
 
     def search(self, words: list[bytes]):
         """(first word, word after the last, items) of every occurrence."""
@@ -49,9 +49,9 @@ class WuManber:
                 end += move
                 continue
             first = end - least
-            for window, items in self.bucket[b]:
-                if words[first + least - 1] == window[least - 1] and tuple(words[first : first + len(window)]) == window:
-                    yield first, first + len(window), items
+            for size, windows in self.bucket[b].items():
+                if (items := windows.get(tuple(words[first : first + size]))) is not None:
+                    yield first, first + size, items
             end += 1
 
 
@@ -73,6 +73,17 @@ def searchers(items: list[tuple[int, bytes]], window: int) -> list[WuManber]:
     return out
 
 
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+def built(name: str, items: list[tuple[int, bytes]], window: int) -> list[WuManber]:
+    """searchers(), built once in each worker process for the pass of this name; those of other passes are let go."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = searchers(items, window)
+    return _BUILT[name]
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs (or its columns in keep) with n_words, spans and items.
 
@@ -102,10 +113,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     for k in range(blocks):
         mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in mine.toLocalIterator()])
-        last = k == blocks - 1
+        last, name = k == blocks - 1, fresh("pass")
 
-        def scanned(items, k=k, shared=shared, last=last):
-            search = searchers(shared.value, window)
+        def scanned(items, k=k, shared=shared, last=last, name=name):
+            search = built(name, shared.value, window)
             for batch in batches(items):
                 n, spans, names = [], [], []
                 old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if k else None

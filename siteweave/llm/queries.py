@@ -56,7 +56,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = importance.fit(docs, labels.where(~held_out()))
-    return importance.resample(docs, model).select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), "gumbel_key", "kept")
+    return importance.resample(docs, model, keep=["doc_id"]).select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), "gumbel_key", "kept")
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,16 +106,15 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS10.format("text")} AS w FROM documents),
-t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-c0 AS (SELECT b AS x, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, b) AS r FROM t GROUP BY b),
-v AS (SELECT x, CASE WHEN r <= {backoff.VOCABULARY} THEN r ELSE 0 END AS id, c FROM c0),
-c1 AS (SELECT id, sum(c) AS c FROM v GROUP BY id),
-total AS (SELECT sum(c) AS n FROM c0),
-p AS (SELECT t.doc_id, t.i, vb.id AS b, va.id AS a FROM t JOIN v vb ON t.b = vb.x LEFT JOIN v va ON t.a = va.x),
-c2 AS (SELECT a, b, count(*) AS c FROM p WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n1 AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+n2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
 s AS (
-  SELECT p.doc_id, CASE WHEN p.a IS NULL THEN ln(cb.c / n) WHEN c2.c IS NOT NULL THEN ln(c2.c / ca.c) ELSE ln(0.4e0 * cb.c / n) END AS g
-  FROM p CROSS JOIN total JOIN c1 cb ON p.b = cb.id LEFT JOIN c1 ca ON p.a = ca.id LEFT JOIN c2 ON p.a = c2.a AND p.b = c2.b)
+  SELECT t.doc_id, CASE WHEN t.a IS NOT NULL THEN ln(n3.n / x2.n) WHEN t.b IS NOT NULL THEN ln(n2.n / x1.n) ELSE ln(n1.n / (SELECT sum(n) FROM n1)) END AS g
+  FROM t LEFT JOIN n1 ON t.c = n1.c LEFT JOIN n1 x1 ON t.b = x1.c LEFT JOIN n2 ON t.b = n2.b AND t.c = n2.c
+  LEFT JOIN n2 x2 ON t.a = x2.b AND t.b = x2.c LEFT JOIN n3 ON t.a = n3.a AND t.b = n3.b AND t.c = n3.c)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(sum(s.g), 0e0), 3) + 0e0 AS log_score,
        round(sum(s.g) / nullif(len(d.w), 0), 6) + 0e0 AS mean_log_score
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, d.w

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, portable_hash
+from .common import fresh
 
 #: Phases that a source's ranks may start from, so that small sources do not all stand at one place.
 PHASES = 1024
@@ -23,9 +23,9 @@ def interleave(docs: DataFrame, shards: int = 8, source: str = "source", key: st
     counts give each bucket the rank it starts from, and the global order into fraction buckets
     whose starts follow from the sources' sizes alone. Rows cross the network twice.
 
-    A null source is a source of its own (as is the text "\\0"). A null key sorts as 0. Rows with
-    equal keys are ordered by a hash of all their columns; wholly equal rows are interchangeable.
-    Texts play no part, so null, empty and long ones need nothing. An empty table gives an empty
+    The shuffle order is that of a hash of the seed and all of a row's columns, so that rows with
+    null or repeated keys spread over the buckets too; wholly equal rows are interchangeable. A null
+    source is a source of its own (as is the text "\\0"). Null, empty and long texts need nothing. An empty table gives an empty
     result. Columns named shard or slot are replaced. At most 2^37 rows (ANSI mode reports more).
     """
     docs = docs.drop("shard", "slot")
@@ -33,14 +33,14 @@ def interleave(docs: DataFrame, shards: int = 8, source: str = "source", key: st
     parts = max(1, min(most_buckets, -(-total // bucket_rows)))
     s, h, b, r, n, u, at, g, tie = (fresh(x) for x in ("source", "hash", "bucket", "rank", "rows", "phase", "start", "fraction", "tie"))
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
-    keyed = docs.withColumns({s: F.coalesce(F.col(source).cast("string"), F.lit("\0")), h: portable_hash(F.col(key), seed)})
-    keyed = keyed.withColumn(b, F.expr(f"`{h}` * {parts} div 2147483647"))
+    keyed = docs.withColumns({s: F.coalesce(F.col(source).cast("string"), F.lit("\0")), h: F.xxhash64(F.lit(seed), F.col(key), *plain)})
+    keyed = keyed.withColumn(b, F.expr(f"shiftrightunsigned(`{h}`, 33) * {parts} div 2147483648"))
 
     counts = keyed.groupBy(s, b).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(s, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(at), F.sum(n).over(Window.partitionBy(s)).alias(n))
 
-    order = Window.partitionBy(s, b).orderBy(h, F.col(key), F.xxhash64(*plain) if plain else F.lit(0))
+    order = Window.partitionBy(s, b).orderBy(h, F.col(key))
     ranked = keyed.withColumn(r, F.row_number().over(order).cast("long")).join(starts, [s, b])
     ranked = ranked.withColumn(r, F.col(r) + F.col(at)).drop(at, b, h)
     ranked = ranked.withColumn(u, _phase(s, seed)).withColumn(g, F.expr(f"({PHASES} * `{r}` - `{u}`) * {parts} div ({PHASES} * `{n}`)"))

@@ -13,21 +13,23 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     For a byte-level .json vocabulary, the vocabulary strings that encode alone as one token are
-    proved first, by encoding each; a text's pre-tokens found among them count one, and only the
+    proved on the driver, by encoding each, and sent out; a text's pre-tokens found among them count one, and only the
     rest are merged by the library. Any other .json or .model file is counted by its library.
-    tokenizer is a path that exists on every executor. A map over whole texts: nothing is shuffled.
+    tokenizer is a path that exists on the driver and on every executor. A map over whole texts: nothing is shuffled.
 
     Null texts count as empty: 0 bytes, 0 tokens. Columns of the result's names are replaced; rows
     repeat as they do in docs; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
+    # One short string for each token of the vocabulary at most.
+    proved = None if tokenizer.endswith(".model") else docs.sparkSession.sparkContext.broadcast(byte_bpe(tokenizer).alone())
 
     def counted(items):
-        if tokenizer.endswith(".model"):
+        if proved is None:
             pieces = sentence_pieces(tokenizer)
             many = lambda xs: [len(x) for x in pieces.encode(xs, num_threads=1)]
         else:
-            one = byte_bpe(tokenizer).count
+            one = byte_bpe(tokenizer).assume(proved.value).count
             many = lambda xs: [one(x) for x in xs]
         for batch in batches(items):
             column = batch.column(text)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from siteweave.llm import backoff, decontamination, html_template, importance, lsh_forest, packing, set_join, sharding, token_counts, toxicity
+from siteweave.llm import backoff, decontamination, html_blocks, html_template, importance, lsh_forest, packing, set_join, sharding, token_counts, toxicity
 from siteweave.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, shard string, score string"
@@ -181,8 +181,7 @@ def test_forest_recall_ties_and_bad_vectors(spark):
 
 def test_html_keeps_the_article():
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One <b>two<br>three<p>Four</p><div class="comments"><p>Nice</p></div><form><input>Go</form></article><footer>&copy; x</footer>'
-    got = [b for b in html_template.blocks(page) if not b[3]]
-    assert [b[1] for b in got if b[2]] == ["Head & line", "One two three", "Four"]
+    assert [b.text for b in html_blocks.blocks(page) if not b.outside and b.main] == ["Head & line", "One two three", "Four"]
 
 
 def test_html_rows_and_nulls(spark):

@@ -1,13 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from siteweave.llm import backoff, html_template, set_join
+from siteweave.llm import backoff, html_blocks, html_template, set_join
 
 
 def test_pipeline_drops_near_copies_at_08_of_5_words(spark):
@@ -17,6 +18,20 @@ def test_pipeline_drops_near_copies_at_08_of_5_words(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
 
 
+@pytest.mark.parametrize(("percent", "sizes"), [(85, range(1, 60)), (85, (130, 200, 431, 1000)), (80, (7, 45, 300)), (50, (10, 90)), (100, (5, 50))])
+def test_linked_sets_share_a_key_at_the_threshold(percent, sizes):
+    rng = np.random.default_rng(10)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    for n in sizes:
+        for _ in range(40):
+            a = draw(n)
+            extra = int(rng.integers(0, n * (100 - percent) // percent + 1))  # as many as still link, lost from a or added to it
+            lost = max(0, next(k for k in range(len(a), -1, -1) if 100 * (n - k) >= percent * (n + extra)))
+            b = np.sort(np.concatenate([a[rng.permutation(n)[lost:]], draw(extra)]))
+            if len(b) and set_join.linked(n - lost, len(a), len(b), percent) and (lost or extra):
+                assert np.intersect1d(set_join.meeting_keys(a, percent), set_join.meeting_keys(b, percent)).size
+
+
 @pytest.mark.parametrize("percent", [20, 50, 80])
 def test_lower_thresholds_lose_no_links_of_large_sets(spark, percent):
     rng = np.random.default_rng(8)
@@ -94,10 +109,67 @@ def test_backoff_uses_every_count_above_0_up_to_trigrams(spark):
         '<body><main><article class="post has-share"><p>Own text</p></article><article class="comment">Nice</article></main></body>',
         "<body><form><article><p>Own text</p></article></form></body>",
         "<body><noscript><p>Own text</p></body>",
+        "<script>if(a<b){x=1}</script><p>Own text</p>",
+        '<body class="comments-open"><article class="post header-image"><p>Own <span class="ad">Buy now</span> text</p></article></body>',
+        '<article class="legal"><p title=\'it\'s\'>Own text</p></article><!-- open',
+        '<div><p class="has-notice">Own text</p><div class="site-header">Name</div><ul id="main-menu2"><li>Menu</li></ul><div class="cookieNotice">We</div></div>',
+        '<body><p title="no end>Own <b>text</b>',
     ],
 )
 def test_html_keeps_the_text_of_named_wrappers_and_after_scripts(page):
-    assert [b[1] for b in html_template.blocks(page) if not b[3]] == ["Own text"]
+    assert [b.text for b in html_blocks.blocks(page) if not b.outside] == ["Own text"]
+
+
+def test_html_time_is_linear():
+    for piece in ('<p title="x>', "<p title='it's'>", "<canvas>", "<!--", "<div class='ad'>a", "<b>", "</p>", "<article><p>", "<a href=", "<"):
+        began = time.time()
+        html_blocks.blocks(piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 30, piece
+
+
+def brute_constants(pages):
+    """Texts of a host's pages that occur alike with others, in one order everywhere: the constants, from whole pages and all pairs."""
+    vectors, size = {}, {}
+    lists = [html_template.token_sequence(x) for x in pages]
+    for i, sequence in enumerate(lists):
+        for t, n in Counter(t for t, _ in sequence).items():
+            vectors.setdefault(t, {})[i] = n
+            size[t] = dict(sequence)[t]
+    out, classes = set(), {}
+    for t, v in vectors.items():
+        classes.setdefault(tuple(sorted(v.items())), []).append(t)
+    often = {k: c for k, c in classes.items() if len(k) >= max(3, len(pages) / 2) and sum(size[t] for t in c) >= 3}
+    of = {t: i for i, (k, c) in enumerate(often.items()) for t in c}
+    held = {}
+    for sequence in lists:
+        for c, order, ok in html_template.checked_classes([t for t, _ in sequence], of):
+            held.setdefault(c, set()).add((order, ok))
+    for i, c in enumerate(often.values()):
+        if len(held[i]) == 1 and next(iter(held[i]))[1]:
+            out.update(c)
+    return frozenset(out)
+
+
+def test_template_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows, by = [], {}
+    for i in range(200):
+        host = f"h{int(rng.choice(5, p=[0.5, 0.2, 0.2, 0.08, 0.02]))}"
+        parts = [f"<div>{host} {name} of the site</div>" for name in ("top", "middle", "end")]
+        parts.insert(int(rng.integers(1, 3)), f"<article><h1>Title {i}</h1><p>{' '.join(rng.choice(['a', 'b', 'c'], 6))}</p><p>By a writer of ours</p></article>")
+        x = f"<body>{''.join(parts)}{'<p>Sometimes this line</p>' * int(rng.integers(0, 3))}</body>"
+        rows.append((i, f"http://{host}/{i}", x))
+        by.setdefault(host, []).append(x)
+    rows += [(1000 + i, f"http://h0/{i}", by["h0"][0]) for i in range(50)]  # copies
+    known = {h: brute_constants(list(dict.fromkeys(xs))) if len(set(xs)) >= 4 else frozenset() for h, xs in by.items()}
+    for limit in (html_template.BROADCAST_TOKENS, 0):
+        html_template.BROADCAST_TOKENS, before = limit, html_template.BROADCAST_TOKENS
+        try:
+            got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        finally:
+            html_template.BROADCAST_TOKENS = before
+        assert len(got) == len(rows)
+        assert all(got[i] == "\n\n".join(html_template.slots(x, known[u.split("/")[2]])) for i, u, x in rows)
 
 
 def test_html_classes_decide_what_is_template(spark):
