@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-
-#: A node is a hub if it ends more than this share of the edges; so there are HUB_SHARE hubs at most.
-HUB_SHARE = 256
+from ..session import stored
+from .skew import hub_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,36 +15,24 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """edges with m, the least (u, m, n) of their u.
-
-    The rows of hubs stay where they are, as the few hubs are broadcast; only the rest is dealt by u.
-    """
-    hub = F.col("n") > n_edges // HUB_SHARE
-    # Every edge ends at two nodes, so this has 2 * HUB_SHARE rows at most.
-    hubs = F.broadcast(least.where(hub).select("u", "m"))
-    rest = edges.join(hubs, "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
-    return edges.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Labels the nodes of an undirected edge table with the smallest node of their component.
 
     Returns (node, component), one row for each node that has an edge to another node. Nulls and
     loops are ignored, repeated edges count once, an empty table gives an empty result. A node's
     neighbours are reduced by a partial aggregate and a join, never gathered into one row, and the
-    edges of a hub are joined where they lie. Every round is checkpointed.
+    edges of a hub are joined where they lie. Every round is stored and lets the exchanges of the last one go.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
     for _ in range(max_rounds if before[0] else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _with_least(both, least, before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = hub_join(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, least, before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(least.select("u", F.col("m").alias("v")).union(small).distinct())
+        small = hub_join(large, least, "u", before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(least.select("u", F.col("m").alias("v")).union(small).distinct())
         after = _state(edges)
         if after == before:
             break
