@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import hub_join
 from ..session import checkpointed, stored
 from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
 
@@ -151,32 +152,6 @@ class Unions:
         self.parent[b] = a
 
 
-def _parted(groups: DataFrame, block_sets: int, block_shingles: int, *ids: str) -> DataFrame:
-    """groups with the number of parts of each, so that a part holds about a block at most."""
-    sizes = groups.groupBy(*ids).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("parts"))
-    return groups.join(sizes, list(ids))
-
-
-def _cheaper(groups: DataFrame, met: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
-    """(kind, g, c, n_shingles, parts): the groups to search.
-
-    A component of classes that fits in a block is one group (kind 0). A larger one is searched by
-    whichever sends fewer sets to tasks: block against block as a whole, or each distinct set of
-    classes that share a key on its own (kind 1), as chains of keys can lead through many classes
-    of which few share one. Either way every two classes that share a key meet.
-    """
-    whole = checkpointed(_parted(groups, block_sets, block_shingles, "g").select(F.lit(0).alias("kind"), "g", "c", "n_shingles", "parts"))
-    large = whole.where("parts > 1")
-    if large.isEmpty():
-        return whole
-    alike = met.join(large.select("c", "n_shingles", F.col("g").alias("of")), "c").select("of", F.col("mark").alias("g"), "c", "n_shingles").distinct()
-    alike = checkpointed(_parted(alike, block_sets, block_shingles, "g"))
-    sent = large.groupBy("g").agg(F.sum("parts").alias("n")).join(alike.groupBy(F.col("of").alias("g")).agg(F.sum("parts").alias("m")), "g")
-    split = sent.where("m < n").select("g")
-    inner = alike.join(split, F.col("of") == split["g"], "left_semi").select(F.lit(1).alias("kind"), "g", "c", "n_shingles", "parts")
-    return whole.join(split, "g", "left_anti").select(*inner.columns).union(inner)
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -229,17 +204,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
     offered = stored(mine.mapInArrow(keyed, "k long, c long"))
     # A key is summed up in the tasks first, and few keys have several classes, so no key gathers in one task.
-    shared = offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("least <> most")
-    met = stored(offered.join(shared, "k").select("c", "least", "mark").distinct())
-    groups = connected_components(met.where("c <> least"), "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c")
-    placed = _cheaper(groups, met, block_sets, block_shingles)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    shared = offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most")
+    met = stored(offered.join(shared, "k").where("c <> least").select("c", "least").distinct())
+    groups = stored(connected_components(met, "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c"))
+    # A component is searched in parts of about a block at most.
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"))
+    placed = hub_join(groups.select("c", "g"), sizes, "g", groups.count()).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     # A set goes to every pair of parts that has its own part in it.
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")))
-    placed = placed.withColumn("pair", F.explode(pairs)).select("kind", "g", "c", "part", "pair.p", "pair.q")
+    placed = placed.withColumn("pair", F.explode(pairs)).select("g", "c", "part", "pair.p", "pair.q")
 
     def searched(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        p, q = key_[2].as_py(), key_[3].as_py()
+        p, q = key_[1].as_py(), key_[2].as_py()
         table = table.sort_by([("c", "ascending")])
         labels, part = table.column("c").to_pylist(), table.column("part").to_pylist()
         memo: dict = {}
@@ -251,8 +228,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             out.append((labels[i], labels[j]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    block = slim.join(placed, F.col("doc_id") == F.col("c")).select("kind", "g", "p", "q", "c", "part", "t")
-    links = block.groupBy("kind", "g", "p", "q").applyInArrow(searched, "a long, b long")
+    block = slim.join(placed, F.col("doc_id") == F.col("c")).select("g", "p", "q", "c", "part", "t")
+    links = block.groupBy("g", "p", "q").applyInArrow(searched, "a long, b long")
     # The classes of each key; a key whose rows have several texts links their classes.
     copies = classes.where("most <> c").join(real, ["n_shingles", "h1", "h2"]).select("doc_id", "c")
     members = checkpointed(copies.union(classes.where("most = c").select(F.col("c").alias("doc_id"), "c")).distinct())
