@@ -52,19 +52,21 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
-    """(k, gram, n) of n-grams of each order k up to `order`, summed up in the tasks as far as HELD_WORDS goes."""
+def gram_counts(docs: DataFrame, low: int, high: int, text: str = "text") -> DataFrame:
+    """(gram, c) of n-grams of orders low to high. Tasks sum them up first, as far as HELD_WORDS goes, so a common one has few rows."""
     prepare(docs.sparkSession)
 
     def counted(items):
         memo: dict = {}
         for some in held(items):
-            _, place, _, hashes = ending(some, order, memo)
-            for k, h in enumerate(hashes, 1):
-                grams, n = np.unique(h[place >= k - 1], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(grams), k, np.int32)), "gram": _signed(grams), "n": pa.array(n)})
+            _, place, _, hashes = ending(some, high, memo)
+            for k in range(low, high + 1):
+                grams, n = np.unique(hashes[k - 1][place >= k - 1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"gram": _signed(grams), "n": pa.array(n)})
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, n long")
+    rows = docs.select(F.col(text).alias("t")).mapInArrow(counted, "gram long, n long")
+    # Dealt out before the sum: a task's rows are distinct already, and summing them once more would only fill its memory.
+    return rows.repartition("gram").groupBy("gram").agg(F.sum("n").alias("c"))
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", order: int = 3, least: int = 1, alpha: float = 0.4) -> DataFrame:
@@ -102,11 +104,19 @@ def _own_scores(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
     less one for each that is the context of one. Each order is summed on its own, and an n-gram that
     occurs once in the corpus adds log 1, so only the counts from 2 on are kept and joined.
     """
-    counts = gram_counts(docs, order, text).groupBy("gram").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
-    often = stored(counts.where("c > 1 or k = 1"))
-    total = often.where("k = 1").agg(F.sum("c")).first()[0] or 0
-    log_n = float(np.log(max(total, 1)))
     kind = dict(docs.dtypes)[key]
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
+
+    def lengths(items):
+        table = lowered_spaces_table()
+        for batch in batches(items):
+            n = [len(x.translate(table).split()) for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64())})
+
+    words = stored(slim.mapInArrow(lengths, f"doc_id {kind}, n_words long"))
+    total = words.agg(F.sum("n_words")).first()[0] or 0
+    start = F.when(F.col("n_words") > 0, F.lit(-float(np.log(max(total, 1))))).otherwise(0.0)
+    parts = [words.select("doc_id", "n_words", start.alias("s"))]
 
     def rows(first_order: int, last_order: int) -> DataFrame:
         def run(items):
@@ -125,19 +135,12 @@ def _own_scores(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
                     out = {"doc_id": batch.column(0).take(pa.array(doc[at[first]], pa.int64())), "gram": _signed(grams[first]), "n": pa.array(n)}
                     yield pa.RecordBatch.from_pydict(out).filter(pa.array(n != 0))
 
-        return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, gram long, n long")
-
-    def lengths(items):
-        table = lowered_spaces_table()
-        for batch in batches(items):
-            n = [len(x.translate(table).split()) for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "s": pa.array([-log_n if x else 0.0 for x in n])})
+        return slim.mapInArrow(run, f"doc_id {kind}, gram long, n long")
 
-    parts = [docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).mapInArrow(lengths, f"doc_id {kind}, n_words long, s double")]
     # Almost all rows are of the two highest orders. Each part is stored before the next, so that its exchanges need not be kept.
     for low, high in ((1, order - 1), (order, order)):
-        table = often.where(F.col("k").between(low, high) & (F.col("c") > 1)).select("gram", "c")
-        joined = rows(low, high).join(table.hint("shuffle_hash"), "gram")
+        often = stored(gram_counts(docs, low, high, text).where("c > 1"))
+        joined = rows(low, high).join(often.hint("shuffle_hash"), "gram")
         parts.append(stored(joined.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.col("n") * F.log("c")).alias("s"))))
     return reduce(lambda a, b: a.union(b), parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
 
