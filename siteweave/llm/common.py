@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes that one Arrow batch brings to a Python worker, whichever is reached first.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -36,7 +37,11 @@ def utf8(array: pa.Array) -> list[bytes]:
 
 
 def texts(array: pa.Array) -> list[str]:
-    return [x or "" for x in array.to_pylist()]
+    """The texts of an Arrow column; null: empty. Bytes that are no UTF-8 become replacement characters."""
+    try:
+        return [x or "" for x in array.to_pylist()]
+    except UnicodeDecodeError:
+        return [x.decode("utf-8", "replace") for x in utf8(array)]
 
 
 def batches(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,12 +54,10 @@ def appended(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns.values()], names=[*kept, *columns])
 
 
-def with_schema(df: DataFrame, ddl: dict[str, str]) -> str:
-    """DDL of df's columns followed by ddl's, the latter in place of columns of the same name."""
-    from pyspark.sql.types import StructType
-
-    rest = StructType([f for f in df.schema.fields if f.name not in ddl])
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.fields), *(f"`{n}` {t}" for n, t in ddl.items())])
+def with_schema(df: DataFrame, ddl: dict[str, str]) -> StructType:
+    """df's columns followed by ddl's, the latter in place of columns of the same name."""
+    more = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in ddl.items()))
+    return StructType([*(f for f in df.schema.fields if f.name not in ddl), *more.fields])
 
 
 def word_hashes(words: list[bytes], memo: dict[bytes, int], most: int = 400_000) -> np.ndarray:

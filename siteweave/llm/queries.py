@@ -25,24 +25,29 @@ def held_out(key: str = "doc_id"):
 
 
 def op1_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards by the law `rows`. Null texts are empty ones; repeated rows and rows without an id or source are placed like any other; no rows, no result."""
     placed = sharding.interleave(table(spark, sf_dir, "documents"), shards=8)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return placed.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null, empty and broken pages give what text they have; repeated rows repeat; no rows, no result."""
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for each row whose id is divisible by 20; ties go to the smaller id. Unfit vectors and null ids take no part; repeated rows count once."""
     return lsh_forest.neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 1024. A null or empty text is the end id alone; repeated rows are packed as often as they occur."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Null and empty texts have no words; null items match nothing; repeated rows repeat; ids of equal items are each named once."""
     found = decontamination.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -50,27 +55,32 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document. Null texts count as empty; repeated rows repeat; no rows, no result."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of every document and what the sample keeps. Null and empty texts have weight 1; rows that tie with the last one kept stay; repeated rows get equal keys."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = importance.fit(docs, labels.where(~held_out()))
     return importance.resample(docs, model, keep=["doc_id"]).select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), "gumbel_key", "kept")
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by trigrams of all documents. Null and empty texts have no words, score 0 and a null mean; rows that share an id are one document."""
     got = backoff.score(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", (F.round("log_score", 3) + 0.0).alias("log_score"), (F.round("mean_log_score", 6) + 0.0).alias("mean_log_score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows that are not held out. Null and empty texts get the score of no match; rows with a null id are not held out (null) and are scored; repeated rows repeat."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     lexicon = toxicity.fit(docs, labels.where(~held_out()))
     return toxicity.score(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of linked documents, a row for each document. Null and empty texts link with nothing; a null id has a null component; rows that share an id share their links."""
     return set_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
@@ -105,8 +115,8 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 OP8_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS10.format("text")} AS w FROM documents),
-t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS10.format("text")} AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 n1 AS (SELECT c, count(*) AS n FROM t GROUP BY c),
 n2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),

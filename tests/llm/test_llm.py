@@ -179,6 +179,20 @@ def test_forest_recall_ties_and_bad_vectors(spark):
     assert found[0] == list(range(1000, 1020))
 
 
+def test_forest_recall_on_a_whole_forest(spark):
+    x = np.random.default_rng(12).standard_normal((16_384, 64)) / 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in lsh_forest.neighbours(df, "vec_id % 160 = 0").collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, len(x), 160):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / (20 * len(range(0, len(x), 160))) >= 0.9
+
+
 def test_html_keeps_the_article():
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1><p>One <b>two<br>three<p>Four</p><div class="comments"><p>Nice</p></div><form><input>Go</form></article><footer>&copy; x</footer>'
     assert [b.text for b in html_blocks.blocks(page) if not b.outside and b.main] == ["Head & line", "One two three", "Four"]
