@@ -19,8 +19,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def relative_l2(a: Column, b: Column, eps: float = 1e-9) -> Column:
+    """The distance of a from b by the length of b, the base."""
     d = F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
-    return F.sqrt(d) / (l2(a) + eps)
+    return F.sqrt(d) / (l2(b) + eps)
 
 
 def centre_crop(patch: Column, p: int, q: int, c: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import acos, cos, pi, sqrt, tan
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,19 @@ def p_two_sided(z: Column) -> Column:
 
 
 def t_crit(df: Column) -> Column:
-    """The 97.5 % point of Student's t by its expansion in 1 / df."""
+    """The 97.5 % point of Student's t: in closed form for 1, 2 and 4 degrees of freedom, else by its expansion in 1 / df (within 0.005 at 3, 1e-4 from 6 on)."""
     z = 1.959963984540054
-    g = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
-    return F.lit(z) + g[0] / df + g[1] / (df * df) + g[2] / (df * df * df)
+    g = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    series = F.lit(z) + sum((c / F.pow(df.cast("double"), F.lit(float(i + 1))) for i, c in enumerate(g)), F.lit(0.0))
+    p = 0.95  # the mass between both points
+    a = 1 - p * p
+    exact = {1: tan(pi * p / 2), 2: p * sqrt(2 / a), 4: 2 * sqrt(cos(acos(sqrt(a)) / 3) / sqrt(a) - 1)}
+    out = F.when(df <= 0, None)
+    for n, t in exact.items():
+        out = out.when(df == n, F.lit(t))
+    return out.otherwise(series)

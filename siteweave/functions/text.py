@@ -35,7 +35,7 @@ def category(feature: Column) -> Column:
 
 def block_of(feature: Column) -> Column:
     return (
-        F.when(feature.startswith("patch_") | feature.startswith("pca_") | feature.startswith("umap_"), "Satellite")
+        F.when(feature.startswith("patch_") | feature.startswith("pca_") | feature.startswith("umap_"), "Satellite (SSL)")
         .when(feature.isin("latitude", "longitude"), "Coordinates")
         .when(feature.startswith("soil_") | feature.startswith("wc_class") | feature.contains("wrb"), "Soil / land cover")
         .otherwise("Climate")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def quantiles(value: str, qs: list[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(q) for q in qs]))
@@ -106,15 +110,15 @@ def interval_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str = "
 
 def interval_by_stratum(preds: DataFrame, p: str = "yhat", least: int = 10) -> DataFrame:
     """interval_metrics by quartile of the prediction, the last one closed."""
-    edges = preds.agg(quantiles(p, [0.25, 0.5, 0.75]).alias("__e"))
-    stratum = F.when(F.col(p) < F.col("__e")[0], 0).when(F.col(p) < F.col("__e")[1], 1).when(F.col(p) < F.col("__e")[2], 2).otherwise(3)
-    return interval_metrics(preds.crossJoin(F.broadcast(edges)).withColumn("stratum", stratum), ["stratum"]).where(F.col("n") >= least)  # one row
+    a, b, c = ranking.quantiles(preds, p, [0.25, 0.5, 0.75])
+    stratum = F.when(F.col(p) < F.lit(a), 0).when(F.col(p) < F.lit(b), 1).when(F.col(p) < F.lit(c), 2).otherwise(3)
+    return interval_metrics(preds.withColumn("stratum", stratum), ["stratum"]).where(F.col("n") >= least)
 
 
 def flag_outliers(preds: DataFrame, q: float = 0.9, y: str = "y", p: str = "yhat") -> DataFrame:
     e = F.abs(F.col(p) - F.col(y))
-    cut = preds.agg(F.percentile(e, F.lit(q)).alias("__cut"))
-    return preds.crossJoin(F.broadcast(cut)).withColumn("outlier", e >= F.col("__cut")).drop("__cut")  # one row
+    cut = ranking.quantiles(preds.select(e.alias("e")), "e", [q])[0]
+    return preds.withColumn("outlier", e >= F.lit(cut))
 
 
 def error_table(preds: DataFrame, y: str = "y", p: str = "yhat") -> DataFrame:
@@ -131,9 +135,9 @@ def group_enrichment(flagged: DataFrame, key: str, least: int = 50, y: str = "y"
 
 def decile_profile(flagged: DataFrame, y: str = "y", p: str = "yhat") -> DataFrame:
     """Rows, mean, share of outliers and mean residual by decile of the observation; equal edges are one, bins are closed on the right."""
-    edges = flagged.agg(F.array_distinct(quantiles(y, [i / 10 for i in range(11)])).alias("__e"))
-    below = F.size(F.filter("__e", lambda e: e < F.col(y)))
-    b = flagged.crossJoin(F.broadcast(edges)).withColumn("decile", F.greatest(F.lit(0), below - 1))  # one row
+    edges = sorted({e for e in ranking.quantiles(flagged, y, [i / 10 for i in range(11)]) if e is not None})
+    below = sum((F.when(F.col(y) > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
+    b = flagged.withColumn("decile", F.greatest(F.lit(0), below - 1))
     return b.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y"), F.avg(F.col("outlier").cast("double")).alias("outlier_rate"), F.avg(F.col(y) - F.col(p)).alias("mean_residual"))
 
 
@@ -153,13 +157,26 @@ def hist_density(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def kde_grid(df: DataFrame, column: str, points: int = 200) -> DataFrame:
-    """(x, density): Gaussian kernel density on a fixed grid, Scott's bandwidth; each task sums for all grid points."""
-    s = df.agg(F.min(column).alias("__a"), F.max(column).alias("__b"), F.count(column).alias("__n"), (F.stddev_samp(column) * F.pow(F.count(column).cast("double"), F.lit(-0.2))).alias("__h"))
-    g = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(s)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))  # one row
-    x = F.col("__a") + F.col("i") * (F.col("__b") - F.col("__a")) / (points - 1)
-    z = (x - F.col(column)) / F.col("__h")
-    dens = F.exp(-0.5 * z * z) / (F.col("__n") * F.col("__h") * 2.5066282746310002)
-    return g.groupBy("i", x.alias("x")).agg(F.sum(dens).alias("density")).select("x", "density")
+    """(x, density): Gaussian kernel density on a fixed grid, Scott's bandwidth; each task sums its rows at all grid points."""
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    a, b, n, sd = known.agg(F.min("v"), F.max("v"), F.count("v"), F.stddev_samp("v")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "x double, density double")
+    h = (sd or 0.0) * n**-0.2
+    grid = a + np.arange(points) * (b - a) / (points - 1)
+
+    def summed(items):
+        total = np.zeros(points)
+        for batch in items:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(v), 4096):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    total += np.exp(-0.5 * ((grid[None, :] - v[at : at + 4096, None]) / h) ** 2).sum(0)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(points), pa.int32()), "s": pa.array(total)})
+
+    got = known.mapInArrow(summed, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    x = F.lit(float(a)) + F.col("i") * float(b - a) / (points - 1)
+    return got.select(x.alias("x"), (F.col("s") / F.lit(n * h * 2.5066282746310002)).alias("density") if h else F.lit(None).cast("double").alias("density"))
 
 
 def mean_ci(runs: DataFrame, metric: str, config: str = "config", model: str | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.geo import metric_block
-from ..functions.hashing import portable_hash, uniform
+from ..functions.hashing import RANGE, portable_hash, uniform
 from .components import connected_components
 from .joins import within_radius
 
@@ -15,20 +19,48 @@ def random_folds(df: DataFrame, k: int, seed: int, key: str = "k") -> DataFrame:
     return df.withColumn("fold", F.pmod(portable_hash(F.col(key), seed), F.lit(k)).cast("int"))
 
 
+#: A group counts as large if it holds this share of a fold or more: so there are at most LARGE_SHARE large ones for each fold.
+LARGE_SHARE = 1000
+#: Groups of one hash bucket on the average.
+BUCKET_GROUPS = 2000
+
+
+def least_loaded(sizes: list[int], k: int) -> tuple[list[int], list[int]]:
+    """(fold of each size, load of each fold): each in turn goes to the fold with the least load, the first of equals."""
+    heap = [(0, f) for f in range(k)]
+    out, loads = [], [0] * k
+    for n in sizes:
+        load, f = heapq.heappop(heap)
+        out.append(f)
+        loads[f] = load + n
+        heapq.heappush(heap, (load + n, f))
+    return out, loads
+
+
 def pack_groups(sizes: DataFrame, group: str, k: int, seed: int) -> DataFrame:
-    """(group, fold): groups by size, largest first and equal sizes shuffled, dealt in a k-long snake.
+    """(group, fold): groups by size, largest first and equal sizes shuffled, each to the fold with the least load.
 
-    sizes has (group, n), group a number. The deal needs ranks alone: rows are bucketed by size, so
-    that no window holds all groups unless all have one size.
+    sizes has (group, n), group a number. Only the large groups, of which there can't be many, are
+    dealt one by one; the others, shuffled, fill the folds up to equal loads by their running sums.
     """
-    h = portable_hash(F.col(group), seed)
-    counts = sizes.groupBy("n", (h * 64 / 2147483647).cast("int").alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    ahead = counts.withColumn("__a", F.sum("__c").over(Window.orderBy(F.desc("n"), "__b")) - F.col("__c")).select(F.col("n").alias("__n"), F.col("__b").alias("__bb"), "__a")  # 64 rows for each size
-    own = sizes.withColumn("__h", h).withColumn("__b", (F.col("__h") * 64 / 2147483647).cast("int"))
-    ranked = own.withColumn("__r", F.row_number().over(Window.partitionBy("n", "__b").orderBy("__h", group)) - 1)
-    at = ranked.join(ahead, (F.col("n") == F.col("__n")) & (F.col("__b") == F.col("__bb"))).withColumn("__r", F.col("__r") + F.col("__a"))
-    m = F.pmod(F.col("__r"), F.lit(2 * k))
-    return at.select(group, F.when(m < k, m).otherwise(2 * k - 1 - m).cast("int").alias("fold"))
+    spark = sizes.sparkSession
+    sizes = sizes.select(group, F.col("n").cast("long").alias("n"), portable_hash(F.col(group), seed).alias("__h"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * (k * LARGE_SHARE) >= total
+    first = sizes.where(large).orderBy(F.desc("n"), "__h", group).collect()  # k * LARGE_SHARE rows at most
+    dealt, loads = least_loaded([r["n"] for r in first], k)
+    placed = spark.createDataFrame([(r[group], f) for r, f in zip(first, dealt, strict=True)], StructType([sizes.schema[group], StructField("fold", IntegerType())]))
+    count, rest = sizes.where(~large).agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not count:
+        return placed
+    buckets = max(1, min(65_536, count // BUCKET_GROUPS))
+    small = sizes.where(~large).withColumn("__b", F.floor(F.col("__h") * buckets / RANGE))
+    starts = small.groupBy("__b").agg(F.sum("n").alias("__s")).withColumn("__s", F.sum("__s").over(Window.orderBy("__b")) - F.col("__s"))  # a row for each bucket
+    at = small.join(F.broadcast(starts), "__b").withColumn("__at", F.col("__s") + F.sum("n").over(Window.partitionBy("__b").orderBy("__h", group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    wanted = [max(0.0, total / k - x) for x in loads]
+    cuts = [rest * x / sum(wanted) for x in accumulate(wanted)][:-1]
+    fold = sum((F.when(F.col("__at") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return placed.union(at.select(group, fold.cast("int").alias("fold")))
 
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
@@ -36,20 +68,25 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     return df.join(pack_groups(sizes, group, k, seed), group)
 
 
+def place_number(lat: str, lon: str, decimals: int) -> Column:
+    """One number for each place, of coordinates rounded to at most 7 decimals; null if either is."""
+    part = lambda c, most: F.round((F.round(c, decimals) + most) * 10**decimals).cast("long")
+    return part(lat, 90) * (1 << 32) + part(lon, 180)
+
+
 def _numbered(df: DataFrame, name: str, parts: list[Column]) -> DataFrame:
-    # Two 31-bit integers of a place make one group number without overflow.
     return df.withColumn(name, F.pmod(F.xxhash64(*parts), F.lit(1 << 52)))
 
 
 def location_folds(df: DataFrame, k: int, seed: int, decimals: int = 6) -> DataFrame:
-    """Rows of one place (coordinates rounded) share a fold."""
-    return group_folds(_numbered(df, "group", [F.lit(seed), F.round("latitude", decimals), F.round("longitude", decimals)]), "group", k, seed)
+    """Rows of one place (coordinates rounded) share a fold; rows without a place share one as well."""
+    at = df.withColumn("group", F.coalesce(place_number("latitude", "longitude", decimals), F.lit(-1).cast("long")))
+    return group_folds(at, "group", k, seed)
 
 
 def distance_groups(df: DataFrame, link_m: float, decimals: int = 7) -> DataFrame:
     """df with group: places that links of at most link_m join, of the smallest place number each."""
-    at = df.withColumns({"__la": F.round("latitude", decimals), "__lo": F.round("longitude", decimals)})
-    at = _numbered(at, "place", [F.col("__la"), F.col("__lo")])
+    at = df.withColumns({"__la": F.round("latitude", decimals), "__lo": F.round("longitude", decimals), "place": place_number("latitude", "longitude", decimals)})
     places = at.groupBy("place").agg(F.first("__la").alias("lat"), F.first("__lo").alias("lon"))
     if link_m <= 0:
         return at.withColumn("group", F.col("place")).drop("__la", "__lo", "place")
@@ -97,9 +134,9 @@ def apply_buffer(df: DataFrame, fold: int, km: float, least: int = 10, key: str
     return kept.crossJoin(F.broadcast(enough)).drop("__n")  # one row or none
 
 
-#: Fold schemes by name. The seed enters the hash itself, so that folds of two seeds are independent.
+#: Fold schemes by name.
 SCHEMES = {
-    "random": lambda df, k, seed: df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(k)).cast("int")),
+    "random": random_folds,
     "location": lambda df, k, seed: location_folds(df, k, seed),
     "linked_25m": lambda df, k, seed: group_folds(_numbered(distance_groups(df, 25.0), "group", [F.lit(seed), F.col("group")]), "group", k, seed),
     "block_25m": lambda df, k, seed: block_folds(df, 25.0, k, seed),

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate
+from math import exp, factorial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.hashing import portable_hash
+from ..functions.hashing import RANGE, draw_hash, draw_hashes, portable_hash
 from ..functions.stats import p_two_sided, t_crit
-from .ranking import avg_rank
+from .ranking import with_avg_rank
 
 
 def paired_compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,7 +27,7 @@ def paired_compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Signed-rank test of own - ref, zeros left out: W+, and p by the normal law with correction for ties."""
     d = pairs.withColumn("d", F.round(F.col("own") - F.col("ref"), 12)).where("d <> 0").withColumn("__a", F.abs("d"))
-    ranked = d.withColumn("__r", avg_rank("__a", *keys)).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "__a")))
+    ranked = with_avg_rank(d, "__a", keys, "__r", "__t")
     g = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("__r")).otherwise(0.0)).alias("w_plus"), F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.pow("__t", F.lit(2.0)) - 1).alias("tie"))
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
@@ -30,7 +36,7 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def mann_whitney(long: DataFrame, keys: list[str], value: str = "value", group: str = "group") -> DataFrame:
     """Two-sided test of value between group true and false for each variable: U of the true group and p, corrected for ties."""
-    r = long.where(F.col(value).isNotNull()).withColumn("__r", avg_rank(value, *keys)).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*keys, value)))
+    r = with_avg_rank(long.where(F.col(value).isNotNull()), value, keys, "__r", "__t")
     g = r.groupBy(*keys).agg(F.count_if(group).cast("double").alias("n1"), F.count_if(~F.col(group)).cast("double").alias("n0"), F.sum(F.when(F.col(group), F.col("__r"))).alias("r1"), F.sum(F.pow("__t", F.lit(2.0)) - 1).alias("tie"))
     n1, n0 = F.col("n1"), F.col("n0")
     n, u = n1 + n0, F.col("r1") - n1 * (n1 + 1) / 2
@@ -38,61 +44,101 @@ def mann_whitney(long: DataFrame, keys: list[str], value: str = "value", group:
     return g.select(*keys, n1.cast("long").alias("n_true"), n0.cast("long").alias("n_false"), u.alias("u"), p_two_sided(F.try_divide(u - n1 * n0 / 2, F.sqrt(F.nullif(var, F.lit(0.0))))).alias("p"))
 
 
+#: Distribution of Poisson(1) numbers, up to where a 32-bit hash can't tell more apart.
+CUTS = tuple(accumulate(exp(-1) / factorial(i) for i in range(13)))
+#: Draws that a task makes at a time.
+DRAWS = 1 << 21
+
+
 def boot_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """A row for each row and replicate it is drawn in, with weight w: Poisson(1) numbers from a portable hash."""
-    r = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = portable_hash(F.pmod(F.col(key).cast("long"), F.lit(1000003)) * 1009 + F.col("rep"), seed) / 2147483647.0
-    cuts, total, term = [], 0.0, 0.36787944117144233  # exp(-1)
-    for i in range(8):
-        total += term
-        cuts.append(total)
-        term /= i + 1
+    """A row for each row and replicate it is drawn in, with weight w: Poisson(1) numbers from a hash of seed, key and replicate."""
+    r = df.withColumns({"__h": portable_hash(F.col(key), seed), "rep": F.explode(F.sequence(F.lit(1), F.lit(replicates)))})
+    u = draw_hash(F.col("__h"), F.col("rep")) / float(RANGE)
     w = F.lit(0)
-    for c in cuts:
+    for c in CUTS:
         w = w + (u >= c).cast("int")
-    return r.withColumn("w", w).where("w > 0")
+    return r.withColumn("w", w).where("w > 0").drop("__h")
+
+
+def boot_sums(df: DataFrame, keys: list[str], key: str, sums: dict[str, Column], replicates: int, seed: int) -> DataFrame:
+    """(keys, rep, n, sums): the weighted sums of boot_weights() in each replicate, added up in the tasks, so that no row is repeated.
+
+    A replicate that draws none of a task's rows of a key has zeros from it. Terms are doubles, not null.
+    """
+    names = list(sums)
+    slim = df.select(*keys, portable_hash(F.col(key), seed).alias("__h"), *[x.cast("double").alias(n) for n, x in sums.items()])
+    reps, cuts = np.arange(1, replicates + 1), np.array(CUTS) * RANGE
+
+    def summed(items):
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in items:
+            h = batch.column("__h").to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.ones(len(h)), *(batch.column(n).to_numpy(zero_copy_only=False) for n in names)])
+            who = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(h)
+            rows: dict[tuple, list[int]] = {}
+            for i, g in enumerate(who):
+                rows.setdefault(g, []).append(i)
+            for g, own in rows.items():
+                total = totals.setdefault(g, np.zeros((len(names) + 1, replicates)))
+                for a in range(0, len(own), step := max(1, DRAWS // replicates)):
+                    at = own[a : a + step]
+                    w = np.searchsorted(cuts, draw_hashes(h[at], reps).ravel(), "right").reshape(len(at), -1)
+                    total += x[at].T @ w.astype(np.float64)
+        for g, total in totals.items():
+            own = {k: pa.array([v] * replicates, schema.field(k).type) for k, v in zip(keys, g, strict=True)}
+            yield pa.RecordBatch.from_pydict(own | {"rep": pa.array(reps, pa.int32())} | {n: pa.array(t) for n, t in zip(["n", *names], total, strict=True)})
+
+    schema = to_arrow_schema(slim.schema)
+    ddl = ", ".join([*(f"`{k}` {dict(slim.dtypes)[k]}" for k in keys), "rep int", *(f"`{n}` double" for n in ["n", *names])])
+    return slim.mapInArrow(summed, ddl).groupBy(*keys, "rep").agg(*[F.sum(n).alias(n) for n in ["n", *names]])
+
+
+def _group_moments(value: Column, group: Column) -> dict[str, Column]:
+    part = lambda g, x: F.when(g, x).otherwise(0.0)
+    return {f"__{n}{i}": part(g, x) for n, g in (("a", group), ("b", ~group)) for i, x in enumerate((F.lit(1.0), value, value * value))}
+
+
+def _cohens_d(sums: DataFrame, keys: list[str], least: int) -> DataFrame:
+    n1, n0 = F.col("__a0"), F.col("__b0")
+    ss = lambda n: F.col(f"__{n}2") - F.try_divide(F.col(f"__{n}1") * F.col(f"__{n}1"), F.col(f"__{n}0"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(ss("a") + ss("b"), n1 + n0 - 2)))
+    d = F.when((n1 >= least) & (n0 >= least) & (sd > 1e-12), F.try_divide(F.try_divide(F.col("__a1"), n1) - F.try_divide(F.col("__b1"), n0), sd))
+    return sums.select(*keys, d.alias("d"))
 
 
-def cohens_d(long: DataFrame, keys: list[str], value: str = "value", group: str = "group", weight: str | None = None, least: int = 5) -> DataFrame:
+def cohens_d(long: DataFrame, keys: list[str], value: str = "value", group: str = "group", least: int = 5) -> DataFrame:
     """Difference of the group means (true less false) over the pooled deviation; null below least rows or without spread."""
-    w = F.col(weight) if weight else F.lit(1)
-    v = F.col(value)
-    part = lambda g: (F.sum(F.when(g, w)), F.sum(F.when(g, w * v)), F.sum(F.when(g, w * v * v)))
-    a, b = part(F.col(group)), part(~F.col(group))
-    s = long.where(v.isNotNull()).groupBy(*keys).agg(*[x.alias(f"__{n}{i}") for n, xs in (("a", a), ("b", b)) for i, x in enumerate(xs)])
-    n1, n0 = F.col("__a0").cast("double"), F.col("__b0").cast("double")
-    ss = lambda n: F.col(f"__{n}2") - F.try_divide(F.col(f"__{n}1") * F.col(f"__{n}1"), F.col(f"__{n}0").cast("double"))
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(ss("a") + ss("b"), n1 + n0 - 2)))
-    d = F.when((n1 >= least) & (n0 >= least) & (sd > 1e-12), F.try_divide(F.try_divide(F.col("__a1"), n1) - F.try_divide(F.col("__b1"), n0), sd))
-    return s.select(*keys, d.alias("d"))
+    known = long.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    sums = {n: F.sum(x).alias(n) for n, x in _group_moments(F.col(value).cast("double"), F.col(group)).items()}
+    return _cohens_d(known.groupBy(*keys).agg(*sums.values()), keys, least)
 
 
-def cohens_d_boot(long: DataFrame, keys: list[str], key: str, replicates: int, seed: int) -> DataFrame:
+def cohens_d_boot(long: DataFrame, keys: list[str], key: str, replicates: int = 1000, seed: int = 0, value: str = "value", group: str = "group", least: int = 5) -> DataFrame:
     """cohens_d() with a percentile interval over bootstrap replicates."""
-    d = cohens_d(long, keys)
-    b = cohens_d(boot_weights(long, key, replicates, seed), [*keys, "rep"], weight="w")
+    known = long.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    b = _cohens_d(boot_sums(known, keys, key, _group_moments(F.col(value).cast("double"), F.col(group)), replicates, seed), [*keys, "rep"], least)
     q = b.groupBy(*keys).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
-    return d.join(q, keys, "left").select(*keys, "d", F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
+    return cohens_d(long, keys, value, group, least).join(q, keys, "left").select(*keys, "d", F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
 
 
-def corr_boot(df: DataFrame, keys: list[str], x: str, y: str, key: str, replicates: int, seed: int, ranks: bool = False) -> DataFrame:
+def corr_boot(df: DataFrame, keys: list[str], x: str, y: str, key: str, replicates: int = 2000, seed: int = 0, ranks: bool = False) -> DataFrame:
     """Pearson's correlation (of ranks, with ranks) and a percentile interval, from weighted moments."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if ranks:
-        both = both.withColumns({"__x": avg_rank(x, *keys), "__y": avg_rank(y, *keys)})
+        both = with_avg_rank(with_avg_rank(both, x, keys, "__x"), y, keys, "__y")
     else:
         both = both.withColumns({"__x": F.col(x).cast("double"), "__y": F.col(y).cast("double")})
-    w = F.col("w")
-    b = boot_weights(both, key, replicates, seed).groupBy(*keys, "rep").agg(F.sum(w).cast("double").alias("n"), F.sum(w * F.col("__x")).alias("sx"), F.sum(w * F.col("__y")).alias("sy"), F.sum(w * F.col("__x") * F.col("__x")).alias("xx"), F.sum(w * F.col("__y") * F.col("__y")).alias("yy"), F.sum(w * F.col("__x") * F.col("__y")).alias("xy"))
+    x_, y_ = F.col("__x"), F.col("__y")
+    b = boot_sums(both, keys, key, {"sx": x_, "sy": y_, "xx": x_ * x_, "yy": y_ * y_, "xy": x_ * y_}, replicates, seed)
     r = F.try_divide(F.col("xy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(F.nullif((F.col("xx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")), F.lit(0.0))))
     q = b.withColumn("r", r).groupBy(*keys).agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
     return both.groupBy(*keys).agg(F.corr("__x", "__y").alias("r")).join(q, keys, "left").select(*keys, "r", F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))
 
 
-def paired_boot_mae(a: DataFrame, b: DataFrame, key: str, error: str, replicates: int, seed: int) -> DataFrame:
+def paired_boot_mae(a: DataFrame, b: DataFrame, key: str, error: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """MAE of a less MAE of b on the samples of both, with a percentile interval and a verdict by its sign."""
     both = a.select(key, F.abs(error).alias("__a")).join(b.select(key, F.abs(error).alias("__b")), key).withColumn("__d", F.col("__a") - F.col("__b"))
-    r = boot_weights(both, key, replicates, seed).groupBy("rep").agg((F.sum(F.col("w") * F.col("__d")) / F.sum("w")).alias("m"))
+    r = boot_sums(both, [], key, {"__s": F.col("__d")}, replicates, seed).select(F.try_divide("__s", "n").alias("m"))
     q = r.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
     out = both.agg(F.avg("__d").alias("diff"), F.count(F.lit(1)).alias("n")).crossJoin(q).select("diff", "n", F.col("__q")[0].alias("lo"), F.col("__q")[1].alias("hi"))  # one row each
     return out.withColumn("verdict", F.when(F.col("hi") < 0, "a better").when(F.col("lo") > 0, "b better").otherwise("no difference"))

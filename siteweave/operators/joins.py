@@ -50,10 +50,17 @@ def polygons(vertices: DataFrame, key: str = "poly_id", carry: list[str] | None
 def pip_join(points: DataFrame, polys: DataFrame, how: str = "left", x: str = "longitude", y: str = "latitude", cell: float = 5.0, first_only: bool = False) -> DataFrame:
     """Points with the polygons they lie in. polys as polygons() makes it.
 
+    With first_only the candidates are sought once for each place, and every row of it gets them.
     Polygons are dealt into the grid cells of their boxes, so candidates come from an equi-join; the
     even-odd rule then decides. A point in several polygons gives several rows, or with first_only
     the one with the smallest poly_id; how="left" keeps points in none.
     """
+    if first_only:
+        names = [c for c in polys.columns if c not in ("edges", "x0", "x1", "y0", "y1", *points.columns)]
+        at = points.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
+        first = pip_join(at, polys, "inner", x, y, cell).groupBy(x, y).agg(F.min_by(F.struct(*names), "poly_id").alias("__first"))
+        first = first.withColumnsRenamed({x: "__x", y: "__y"})
+        return points.join(first, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), how).select(*points.columns, *[F.col(f"__first.{c}").alias(c) for c in names])
     cells = polys.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
     cells = cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
     placed = points.withColumns({"cx": F.floor(F.col(x) / cell), "cy": F.floor(F.col(y) / cell)})
@@ -61,11 +68,7 @@ def pip_join(points: DataFrame, polys: DataFrame, how: str = "left", x: str = "l
     names = [c for c in polys.columns if c not in ("edges", "x0", "x1", "y0", "y1")]
     extra = [c for c in names if c not in points.columns]
     cond = (placed["cx"] == cells["cx"]) & (placed["cy"] == cells["cy"]) & hit
-    out = placed.join(cells, cond, how).select(*[placed[c] for c in points.columns], *[cells[c] for c in extra])
-    if first_only:
-        w = Window.partitionBy(*points.columns).orderBy(F.asc_nulls_last("poly_id"))
-        out = out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return out
+    return placed.join(cells, cond, how).select(*[placed[c] for c in points.columns], *[cells[c] for c in extra])
 
 
 def within_radius(a: DataFrame, b: DataFrame, km: float, key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import centre_crop
 from ..session import checkpointed
-from . import aggregates, filters, folds, joins, raster
+from . import aggregates, filters, folds, joins, ranking, raster
 
 #: The 13 penalties that ridge chooses from, 1e-2 to 1e4.
 ALPHAS = tuple(10 ** (-2 + i / 2) for i in range(13))
@@ -116,7 +116,7 @@ class Ridge:
                     x = np.stack(p["x"].to_numpy()) - mean
                     x, y = x[:, :-1], x[:, -1]
                     for i, inv in enumerate(inverses):
-                        h = np.einsum("ij,jk,ik->i", x, inv, x) + 1 / n
+                        h = ((x @ inv) * x).sum(1) + 1 / n
                         total[i] += (((y - x @ (inv @ cross)) / np.maximum(1 - h, 1e-12)) ** 2).sum()
             yield pd.DataFrame({"i": range(len(total)), "sse": total})
 
@@ -174,9 +174,9 @@ def conformal(calibration: DataFrame, preds: DataFrame, low: float = 0.05, high:
     The quantiles are those of the prediction's stratum, by quartiles of the calibration rows'
     predictions. This stands in for a quantile objective, which spark.ml has not.
     """
-    edges = calibration.agg(F.percentile("yhat", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("__e"))  # one row
-    stratum = sum((F.coalesce((F.col("yhat") > F.col("__e")[i]).cast("int"), F.lit(0)) for i in range(3)), F.lit(0))
-    placed = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("__s", stratum).drop("__e")
+    edges = ranking.quantiles(calibration, "yhat", [0.25, 0.5, 0.75])
+    stratum = sum((F.coalesce((F.col("yhat") > F.lit(e)).cast("int"), F.lit(0)) for e in edges), F.lit(0))
+    placed = lambda df: df.withColumn("__s", stratum)
     q = placed(calibration).groupBy("__s").agg(F.percentile(F.col("y") - F.col("yhat"), F.array(F.lit(low), F.lit(high))).alias("__q"))  # four rows
     out = placed(preds).join(F.broadcast(q), "__s", "left")
     return out.withColumns({"lo": F.col("yhat") + F.col("__q")[0], "hi": F.col("yhat") + F.col("__q")[1]}).drop("__s", "__q")
@@ -244,10 +244,10 @@ def report_cv(preds: DataFrame) -> DataFrame:
 
 
 def transfer(df: DataFrame, domain: str, model: Callable[[int], object] | str = "boosted", reducer: str = "pca", k: int | None = None, seed: int = 1, least: int = 30) -> DataFrame:
-    """(source, target, r2, rmse, n, transfer_drop): fitted on one domain, scored on each other.
+    """(source, target, r2, rmse, n, rho, transfer_drop): fitted on one domain, scored on each other.
 
-    For source = target a fifth of the domain is held out; transfer_drop is what a target's r2
-    loses against its own model. Domains with fewer than least rows are left out.
+    For source = target a fifth of the domain is held out; rho is Spearman's; transfer_drop is a
+    target's r2 less that of its own model. Domains with fewer than least rows are left out.
     """
     names = sorted(r[domain] for r in filters.guard(df.where(F.col(domain).isNotNull()), [domain], least).select(domain).collect())  # few by their nature
     split, parts = checkpointed(folds.split_within(df, domain, seed)), []
@@ -257,10 +257,11 @@ def transfer(df: DataFrame, domain: str, model: Callable[[int], object] | str =
             got = predict(fit_pipeline(rows, model, reducer, k, seed), held)
             parts.append(got.select(F.lit(name).alias("source"), F.col(domain).alias("target"), "y", "yhat"))
     if not parts:
-        return df.sparkSession.createDataFrame([], "source string, target string, r2 double, rmse double, n long, transfer_drop double")
-    m = aggregates.regression_metrics(checkpointed(reduce(DataFrame.unionByName, parts)), ["source", "target"]).select("source", "target", "r2", "rmse", "n")
+        return df.sparkSession.createDataFrame([], "source string, target string, r2 double, rmse double, n long, rho double, transfer_drop double")
+    preds, pair = checkpointed(reduce(DataFrame.unionByName, parts)), ["source", "target"]
+    m = aggregates.regression_metrics(preds, pair).select(*pair, "r2", "rmse", "n").join(ranking.spearman(preds, "y", "yhat", pair), pair)
     own = m.where("source = target").select("target", F.col("r2").alias("__own"))
-    return m.join(own, "target", "left").withColumn("transfer_drop", F.col("__own") - F.col("r2")).drop("__own").select("source", "target", "r2", "rmse", "n", "transfer_drop")
+    return m.join(own, "target", "left").withColumn("transfer_drop", F.col("r2") - F.col("__own")).select(*pair, "r2", "rmse", "n", "rho", "transfer_drop")
 
 
 def cross_year(df: DataFrame, base_year: int, model: Callable[[int], object] | str = "boosted", reducer: str = "pca", k: int | None = None, seed: int = 1, year: str = "year") -> DataFrame:

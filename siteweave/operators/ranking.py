@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
 
-def avg_rank(value: str, *keys: str) -> Column:
-    """Rank within keys, equal values sharing their mean rank; nulls have none."""
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(value))
-    return F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+def counted_values(df: DataFrame, value: str, keys: list[str], n: str = "__n", before: str = "__before") -> DataFrame:
+    """(keys, value, n, before): how often each value occurs, and how many smaller ones its key has. Nulls take no part.
+
+    Values are counted first, so ties cost nothing; the counts are dealt by ranges of keys and
+    value, and each range adds what the ranges before it hold of the same key, so that no key is
+    sorted by one task. The dealt rows are checkpointed, as a range's number must not change.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+    dealt = checkpointed(counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "__p").agg(F.sum(n).alias("__s"))  # a row for each range and key in it
+    offset = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__p")) - F.col("__s")
+    at = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), offset.alias("__o"))
+    within = F.sum(n).over(Window.partitionBy("__p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+    ranked = dealt.withColumn("__w", within)
+    return ranked.join(at, _alike(keys, F.col("__p") == F.col("__q"))).select(*keys, value, n, (F.col("__w") + F.col("__o")).alias(before))
+
+
+def _alike(keys: list[str], and_: Column) -> Column:
+    """The join of keys, nulls alike, with the columns __k0, __k1, ..."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], and_)
+
+
+def with_avg_rank(df: DataFrame, value: str, keys: list[str], out: str, ties: str | None = None) -> DataFrame:
+    """df with the rank of value within keys, equal values sharing their mean rank (nulls have none), and in ties how many share it."""
+    counted = counted_values(df, value, keys)
+    r = counted.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), "__n", "__before")
+    more = [F.col("__n").alias(ties)] if ties else []
+    return df.join(r, _alike(keys, F.col(value) == F.col("__v")), "left").select(*df.columns, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out), *more)
+
+
+def quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """Exact quantiles over the whole table with linear interpolation, without gathering its values; nulls and NaN take no part."""
+    known = df.select(F.col(value).cast("double").alias("__v")).where(~F.isnan("__v"))
+    values = checkpointed(counted_values(known, "__v", []))
+    n = values.agg(F.sum("__n")).first()[0]
+    if not n:
+        return [None] * len(qs)
+    at = [q * (n - 1) for q in qs]
+    ranks = sorted({r for x in at for r in (floor(x), ceil(x))})
+    holds = [(F.col("__before") <= r) & (F.col("__before") + F.col("__n") > r) for r in ranks]
+    found = values.where(reduce(lambda a, b: a | b, holds)).collect()  # a row for each rank at most
+    of = {r: next(x["__v"] for x in found if x["__before"] <= r < x["__before"] + x["__n"]) for r in ranks}
+    return [of[floor(x)] + (of[ceil(x)] - of[floor(x)]) * (x - floor(x)) for x in at]
 
 
 def global_rank(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
@@ -32,8 +74,9 @@ def global_rank(df: DataFrame, column: str, descending: bool = False) -> DataFra
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.withColumns({"__x": avg_rank(x, *keys), "__y": avg_rank(y, *keys)}).groupBy(*keys).agg(F.coalesce(F.nullif(F.corr("__x", "__y"), F.lit(float("nan"))), F.lit(0.0)).alias("rho"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("__a"), F.col(y).alias("__b"))
+    ranked = with_avg_rank(with_avg_rank(both, "__a", keys, "__x"), "__b", keys, "__y")
+    return ranked.groupBy(*keys).agg(F.coalesce(F.nullif(F.corr("__x", "__y"), F.lit(float("nan"))), F.lit(0.0)).alias("rho"))
 
 
 def bh_fdr(df: DataFrame, p: str, *keys: str) -> DataFrame:

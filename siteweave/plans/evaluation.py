@@ -6,23 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.geo import tile_centre
+from ..functions.hashing import RANGE, mixed_sql, portable_hash_sql
 from ..operators import aggregates as agg
 from ..operators import folds, inference, joins, ranking
 from .registry import query, rounded
 from .relational import FLAGGED, KM, SITES, sites
 
 
-def h(k: str, seed: int) -> str:
-    return f"(((((({k}) % 2147483647) * 48271 + {seed * 9176 + 11}) % 2147483647) * 48271 + 12345) % 2147483647)"
-
-
+h = portable_hash_sql
 RANK = "rank() OVER (PARTITION BY {k} ORDER BY {v}) + (count(*) OVER (PARTITION BY {k}, {v}) - 1) / 2e0"
 PHI = "CASE WHEN {z} IS NULL THEN NULL ELSE least(1e0, ((((1.061405429e0 * t - 1.453152027e0) * t + 1.421413741e0) * t - 0.284496736e0) * t + 0.254829592e0) * t * exp(-{z} * {z} / 2)) END"
 
 
 @query("W1_avg_rank", "f_preds", sql=f"SELECT sample_k, round({RANK.format(k='config', v='tied_covariate')}, 6) AS r FROM f_preds")
 def _(p):
-    return rounded(p.select("sample_k", ranking.avg_rank("tied_covariate", "config").alias("r")))
+    return rounded(ranking.with_avg_rank(p, "tied_covariate", ["config"], "r").select("sample_k", "r"))
 
 
 @query("W2_spearman", "f_preds", sql=f"WITH r AS (SELECT config, {RANK.format(k='config', v='y')} AS a, {RANK.format(k='config', v='yhat')} AS b FROM f_preds) SELECT config, round(corr(a, b), 6) AS rho FROM r GROUP BY config")
@@ -172,12 +170,23 @@ def _(s):
     return b.agg(F.max("f").alias("folds_per_block"), F.count(F.lit(1)).alias("blocks"))
 
 
-@query("V5_pack_groups", "f_samples", sql=f"WITH g AS (SELECT site, count(*) AS n FROM f_samples GROUP BY site), r AS (SELECT site, (row_number() OVER (ORDER BY n DESC, {h('site', 3)}, site) - 1) % 10 AS m FROM g) SELECT site, CAST(CASE WHEN m < 5 THEN m ELSE 9 - m END AS INT) AS fold FROM r")
+def lpt(sizes: str, group: str, k: int, seed: int) -> str:
+    """Common table expressions that end in dealt (group, fold), of sizes (group, n): largest first, each to the least loaded fold."""
+    zeros, js = ", ".join(["0"] * k), ", ".join(map(str, range(1, k + 1)))
+    return (
+        f"lr AS (SELECT {group}, n, row_number() OVER (ORDER BY n DESC, {h(group, seed)}, {group}) AS i FROM {sizes}), "
+        f"ls AS (SELECT CAST(0 AS BIGINT) AS i, CAST([{zeros}] AS BIGINT[]) AS loads, CAST(NULL AS BIGINT) AS {group}, CAST(NULL AS INT) AS fold UNION ALL "
+        f"SELECT r.i, list_transform([{js}], lambda j: CASE WHEN j = s.f THEN s.loads[j] + r.n ELSE s.loads[j] END), r.{group}, CAST(s.f - 1 AS INT) "
+        f"FROM (SELECT *, list_position(loads, list_min(loads)) AS f FROM ls) s JOIN lr r ON r.i = s.i + 1), dealt AS (SELECT {group}, fold FROM ls WHERE i > 0)"
+    )
+
+
+@query("V5_pack_groups", "f_samples", sql=f"WITH RECURSIVE g AS (SELECT site, count(*) AS n FROM f_samples GROUP BY site), {lpt('g', 'site', 5, 3)} SELECT site, fold FROM dealt")
 def _(s):
     return folds.pack_groups(s.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "site", 5, 3)
 
 
-@query("V6_split3", "f_samples", sql=f"SELECT sample_id, CASE WHEN {h('k', 4)} / 2147483647e0 < 0.2 THEN 'test' WHEN {h('k', 4)} / 2147483647e0 < 0.3 THEN 'validation' ELSE 'train' END AS split FROM f_samples")
+@query("V6_split3", "f_samples", sql=f"SELECT sample_id, CASE WHEN {h('k', 4)} / 4294967296e0 < 0.2 THEN 'test' WHEN {h('k', 4)} / 4294967296e0 < 0.3 THEN 'validation' ELSE 'train' END AS split FROM f_samples")
 def _(s):
     return folds.split3(s, 4).select("sample_id", "split")
 
@@ -206,7 +215,8 @@ def _(s):
 
 
 RUN_PAIRS = "p AS (SELECT o.config, o.r2 AS own, r.r2 AS ref FROM f_runs o JOIN f_runs r USING (run_seed) WHERE o.config <> 'A_F' AND r.config = 'A_F')"
-TC = "(1.959963984540054e0 + 2.372271230e0 / (n - 1) + 2.822502630e0 / ((n - 1) * (n - 1)) + 2.555849830e0 / ((n - 1) * (n - 1) * (n - 1)))"
+# Seven seeds give six degrees of freedom, for which tables have 2.4469.
+TC = "2.4468043919795262e0"
 
 
 @query("I1_paired_compare", "f_runs", sql=f"WITH {RUN_PAIRS}, g AS (SELECT config, avg(own - ref) AS m, stddev_samp(own - ref) AS s, count(*) AS n, count(*) FILTER (WHERE own > ref) AS wins FROM p GROUP BY config) SELECT config, round(m, 6) + 0e0 AS mean_diff, round(s, 6) AS sd_diff, n, wins, round(m - {TC} * s / sqrt(n), 4) + 0e0 AS lo, round(m + {TC} * s / sqrt(n), 4) + 0e0 AS hi, round(wins / n, 6) AS win_rate, CASE WHEN m > 0 THEN 'better' WHEN m < 0 THEN 'worse' ELSE 'equal' END AS direction FROM g")
@@ -230,38 +240,77 @@ def _(p):
     return rounded(inference.cohens_d(agg.flag_outliers(p), ["config"], "tied_covariate", "outlier"))
 
 
-@query("I4_cohens_d_boot", "f_preds")
+CUTS = inference.CUTS
+WEIGHT = "CASE " + " ".join(f"WHEN u < {c * RANGE!r} THEN {i}" for i, c in enumerate(CUTS)) + f" ELSE {len(CUTS)} END"
+
+
+def drawn(source: str, key: str, replicates: int, seed: int) -> str:
+    """A subquery of source with rep and w, the Poisson weights of inference.boot_weights()."""
+    keyed = f"SELECT *, {h(key, seed)} AS hk FROM {source}"
+    reps = f"SELECT rep, {mixed_sql('rep')} AS hr FROM range(1, {replicates + 1}) t(rep)"
+    return f"(SELECT *, {WEIGHT} AS w FROM (SELECT *, {mixed_sql('xor(hk, hr)')} AS u FROM ({keyed}), ({reps})))"
+
+
+def d_of(weight: str) -> str:
+    """Cohen's d of value between the rows of a group and the others, each counted weight times."""
+    n, x, xx = (lambda c, v=v: f"sum(CASE WHEN {c} THEN {weight} * {v} ELSE 0e0 END)" for v in ("1e0", "value", "value * value"))
+    a, b = '"group"', 'NOT "group"'
+    ss = f"({xx(a)} - {x(a)} * {x(a)} / {n(a)} + {xx(b)} - {x(b)} * {x(b)} / {n(b)})"
+    return f"({x(a)} / {n(a)} - {x(b)} / {n(b)}) / sqrt({ss} / ({n(a)} + {n(b)} - 2))"
+
+
+def d_boot(source: str, key: str, replicates: int, seed: int) -> str:
+    """Common table expressions that end in db (key, d, lo, hi), of source (key, sample_k, value, group)."""
+    return (
+        f"dr AS (SELECT {key}, rep, {d_of('w')} AS d FROM {drawn(source, 'sample_k', replicates, seed)} GROUP BY {key}, rep), "
+        f"dq AS (SELECT {key}, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM dr GROUP BY {key}), "
+        f"dd AS (SELECT {key}, {d_of('1e0')} AS d FROM {source} GROUP BY {key}), db AS (SELECT {key}, d, lo, hi FROM dd JOIN dq USING ({key}))"
+    )
+
+
+@query("I4_cohens_d_boot", "f_preds", sql=f"WITH {FLAGGED}, l AS (SELECT config, sample_k, tied_covariate AS value, outlier AS \"group\" FROM o), {d_boot('l', 'config', 1000, 9)} SELECT config, round(d, 6) + 0e0 AS d, round(lo, 6) + 0e0 AS lo, round(hi, 6) + 0e0 AS hi FROM db")
 def _(p):
     long = agg.flag_outliers(p).withColumnsRenamed({"tied_covariate": "value", "outlier": "group"})
-    return rounded(inference.cohens_d_boot(long, ["config"], "sample_k", 200, 9))
+    return rounded(inference.cohens_d_boot(long, ["config"], "sample_k", 1000, 9))
+
+
+CONTRASTS = f"""WITH {FLAGGED},
+l AS (SELECT sample_k, outlier AS "group", abs(yhat - y) AS error, unnest(['tied_covariate', 'lo', 'hi']) AS variable, unnest([tied_covariate, lo, hi]) AS value FROM o),
+{d_boot('l', 'variable', 1000, 9)},
+k AS (SELECT variable, "group" AS g, {RANK.format(k='variable', v='value')} AS rv, {RANK.format(k='variable', v='error')} AS re, count(*) OVER (PARTITION BY variable, value) AS t FROM l),
+m AS (SELECT variable, count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n0, sum(rv) FILTER (WHERE g) AS r1, sum(t * t - 1e0) AS tie, corr(rv, re) AS rho FROM k GROUP BY variable),
+z AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, (r1 - n1 * (n1 + 1) / 2 - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1e0)))) AS z FROM m),
+tt AS (SELECT *, 1 / (1 + 0.3275911e0 * abs(z) / 1.4142135623730951e0) AS t FROM z),
+pp AS (SELECT *, {PHI.format(z='z')} AS p FROM tt),
+qq AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM pp)
+SELECT variable, round(d, 6) + 0e0 AS d, round(lo, 6) + 0e0 AS lo, round(hi, 6) + 0e0 AS hi, n1 AS n_true, n0 AS n_false, round(u, 6) AS u, round(p, 6) AS p, round(rho, 6) + 0e0 AS rho,
+       round(least(1e0, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) AS q
+FROM qq JOIN db USING (variable)"""
 
 
-@query("I5_contrasts", "f_preds")
+@query("I5_contrasts", "f_preds", sql=CONTRASTS)
 def _(p):
     o = agg.flag_outliers(p)
     long = o.unpivot(["sample_k", "outlier", F.abs(F.col("yhat") - F.col("y")).alias("error")], ["tied_covariate", "lo", "hi"], "variable", "value").withColumnRenamed("outlier", "group")
-    d = inference.cohens_d_boot(long, ["variable"], "sample_k", 100, 9)
+    d = inference.cohens_d_boot(long, ["variable"], "sample_k", 1000, 9)
     out = d.join(inference.mann_whitney(long, ["variable"]), "variable").join(ranking.spearman(long, "value", "error", ["variable"]), "variable")
     return rounded(ranking.bh_fdr(out, "p")).orderBy(F.desc_nulls_last(F.abs("d")))
 
 
-BOOT = "b AS (SELECT sample_k, config, y, yhat, rep, (CASE WHEN u >= 0.36787944117144233e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.73575888234288467e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.91969860292860584e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.98101184312384626e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.99634015317265638e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.99940581518241844e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.99991675885071211e0 THEN 1 ELSE 0 END + CASE WHEN u >= 0.99998975080332531e0 THEN 1 ELSE 0 END) AS w FROM (SELECT *, " + h("(sample_k % 1000003) * 1009 + rep", 9) + " / 2147483647e0 AS u FROM f_preds, range(1, 51) t(rep)))"
-
-
-@query("I7_boot_weights", "f_preds", sql=f"WITH {BOOT} SELECT rep, sum(w) AS n, count(*) AS n_rows FROM b WHERE w > 0 GROUP BY rep")
+@query("I7_boot_weights", "f_preds", sql=f"SELECT rep, sum(w) AS n, count(*) AS n_rows FROM {drawn('f_preds', 'sample_k', 2000, 9)} WHERE w > 0 GROUP BY rep")
 def _(p):
-    return inference.boot_weights(p, "sample_k", 50, 9).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    return inference.boot_weights(p.select("sample_k"), "sample_k", 2000, 9).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("I6_corr_boot", "f_preds", sql=f"WITH {BOOT}, m AS (SELECT config, rep, sum(w) * 1e0 AS n, sum(w * y) AS sx, sum(w * yhat) AS sy, sum(w * y * y) AS xx, sum(w * yhat * yhat) AS yy, sum(w * y * yhat) AS xy FROM b WHERE w > 0 GROUP BY config, rep), r AS (SELECT config, (xy - sx * sy / n) / sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) AS r FROM m), q AS (SELECT config, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM r GROUP BY config) SELECT f.config, round(corr(f.y, f.yhat), 5) AS r, round(any_value(q.lo), 5) AS lo, round(any_value(q.hi), 5) AS hi FROM f_preds f JOIN q USING (config) GROUP BY f.config")
+@query("I6_corr_boot", "f_preds", sql=f"WITH m AS (SELECT config, rep, sum(w) * 1e0 AS n, sum(w * y) AS sx, sum(w * yhat) AS sy, sum(w * y * y) AS xx, sum(w * yhat * yhat) AS yy, sum(w * y * yhat) AS xy FROM {drawn('(SELECT sample_k, config, y, yhat FROM f_preds)', 'sample_k', 2000, 9)} GROUP BY config, rep), r AS (SELECT config, (xy - sx * sy / n) / sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) AS r FROM m), q AS (SELECT config, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM r GROUP BY config) SELECT f.config, round(corr(f.y, f.yhat), 5) AS r, round(any_value(q.lo), 5) AS lo, round(any_value(q.hi), 5) AS hi FROM f_preds f JOIN q USING (config) GROUP BY f.config")
 def _(p):
-    return rounded(inference.corr_boot(p, ["config"], "y", "yhat", "sample_k", 50, 9), 5)
+    return rounded(inference.corr_boot(p, ["config"], "y", "yhat", "sample_k", 2000, 9), 5)
 
 
-@query("I8_paired_boot_mae", "f_preds")
+@query("I8_paired_boot_mae", "f_preds", sql=f"WITH e AS (SELECT sample_k, abs(yhat - y) - abs(lo - y) AS d FROM f_preds), r AS (SELECT rep, sum(w * d) / sum(w) AS m FROM {drawn('e', 'sample_k', 2000, 9)} GROUP BY rep), q AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM r) SELECT round(avg(d), 6) AS diff, count(*) AS n, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, CASE WHEN any_value(hi) < 0 THEN 'a better' WHEN any_value(lo) > 0 THEN 'b better' ELSE 'no difference' END AS verdict FROM e, q")
 def _(p):
     a = p.select("sample_k", (F.col("yhat") - F.col("y")).alias("e"))
-    return rounded(inference.paired_boot_mae(a, p.select("sample_k", (F.col("lo") - F.col("y")).alias("e")), "sample_k", "e", 200, 9))
+    return rounded(inference.paired_boot_mae(a, p.select("sample_k", (F.col("lo") - F.col("y")).alias("e")), "sample_k", "e", 2000, 9))
 
 
 @query("M11_oof_mean", "f_preds", sql="SELECT biome_name, fold, round(avg(yhat), 6) AS yhat FROM f_preds GROUP BY biome_name, fold")
@@ -271,7 +320,20 @@ def _(p):
     return rounded(oof_mean(p, ["biome_name", "fold"]))
 
 
-@query("Q1_error_outliers_by_biome", "f_samples")
+Q1_SQL = f"""WITH RECURSIVE st AS (SELECT biome_name, quantile_cont(rarefied, 0.25) AS q1, quantile_cont(rarefied, 0.5) AS q2, quantile_cont(rarefied, 0.75) AS q3 FROM f_samples GROUP BY biome_name),
+kept AS (SELECT f.*, CAST(round((round(latitude, 6) + 90) * 1000000) AS BIGINT) * 4294967296 + CAST(round((round(longitude, 6) + 180) * 1000000) AS BIGINT) AS place
+         FROM f_samples f JOIN st USING (biome_name) WHERE NOT rarefied > q2 + 5 * (q3 - q1)),
+g AS (SELECT place, count(*) AS n FROM kept GROUP BY place), {lpt('g', 'place', 5, 42)},
+f AS (SELECT kept.*, dealt.fold FROM kept JOIN dealt USING (place)),
+m AS (SELECT fold, ((SELECT sum(rarefied) FROM f) - sum(rarefied)) / ((SELECT count(*) FROM f) - count(*)) AS yhat FROM f GROUP BY fold),
+p AS (SELECT biome_name, abs(m.yhat - rarefied) AS e FROM f JOIN m USING (fold)),
+c AS (SELECT quantile_cont(e, 0.9) AS cut FROM p),
+b AS (SELECT avg(CASE WHEN e >= cut THEN 1e0 ELSE 0e0 END) AS base FROM p, c)
+SELECT biome_name, count(*) AS n, round(avg(e), 6) AS mae, round(avg(CASE WHEN e >= cut THEN 1e0 ELSE 0e0 END), 6) AS outlier_rate, round(avg(CASE WHEN e >= cut THEN 1e0 ELSE 0e0 END) / any_value(base), 6) AS enrichment
+FROM p, c, b GROUP BY biome_name HAVING count(*) >= 10"""
+
+
+@query("Q1_error_outliers_by_biome", "f_samples", sql=Q1_SQL)
 def _(s):
     kept = agg.iqr_filter(s, "biome_name", "rarefied")[0]
     f = folds.location_folds(kept, 5, 42)

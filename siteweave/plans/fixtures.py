@@ -22,7 +22,7 @@ JOIN region r ON n.n_regionkey = r.r_regionkey
 """,
     "f_patch": """
 SELECT CAST(c.c_custkey AS STRING) AS sample_id, e.embedding AS vec
-FROM customer c JOIN embeddings e ON e.vec_id = c.c_custkey % 500
+FROM customer c CROSS JOIN (SELECT count(*) AS n FROM embeddings) t JOIN embeddings e ON e.vec_id = c.c_custkey % t.n
 WHERE c.c_custkey % 13 <> 5
 """,
     "f_climate_monthly": """
@@ -86,10 +86,8 @@ SELECT poly_id, name, vi, x, y FROM (VALUES
   (3,'C',4,22e0,48e0),(3,'C',5,18e0,48e0)) AS p(poly_id, name, vi, x, y)
 """,
     "f_registry": """
-SELECT y.yr AS year, a.i * 10 + 505 AS lon_i, b.i * 20 + 4505 AS lat_i
-FROM (SELECT p_partkey AS i FROM part WHERE p_partkey < 200) a
-CROSS JOIN (SELECT p_partkey AS i FROM part WHERE p_partkey < 80) b
-CROSS JOIN (VALUES (2022), (2023), (2024)) AS y(yr)
+SELECT y.yr AS year, p_partkey % 200 * 10 + 505 AS lon_i, CAST(floor(p_partkey / 2e2) AS BIGINT) * 20 + 4505 AS lat_i
+FROM part CROSS JOIN (VALUES (2022), (2023), (2024)) AS y(yr)
 """,
     "f_preds": """
 SELECT o_orderkey AS sample_k, o_orderpriority AS config, o_orderkey % 5 + 1 AS seed, o_orderkey % 4 AS fold,
@@ -107,14 +105,14 @@ FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber
 """,
     "f_importance": """
 SELECT s.seed,
-       CASE p_partkey % 9 WHEN 0 THEN concat('patch_', CAST(p_partkey AS STRING))
+       CASE WHEN p_partkey = 7 THEN 'elev' WHEN p_partkey = 8 THEN 'latitude' ELSE CASE p_partkey % 9 WHEN 0 THEN concat('patch_', CAST(p_partkey AS STRING))
             WHEN 1 THEN concat('pca_', CAST(p_partkey AS STRING)) WHEN 2 THEN concat('soil_v', CAST(p_partkey AS STRING))
             WHEN 3 THEN concat('wrb_class_', CAST(p_partkey AS STRING)) WHEN 4 THEN concat('bio_', CAST(p_partkey AS STRING))
             WHEN 5 THEN concat('prec_annual_', CAST(p_partkey AS STRING)) WHEN 6 THEN concat('wc_class_', CAST(p_partkey AS STRING))
-            WHEN 7 THEN 'elev' ELSE 'latitude' END AS feature,
+            WHEN 7 THEN concat('umap_', CAST(p_partkey AS STRING)) ELSE concat('other_', CAST(p_partkey AS STRING)) END END AS feature,
        ((p_partkey * 31 + s.seed * 17) % 1000) / 1e3 AS importance
 FROM part CROSS JOIN (VALUES (1),(2),(3),(4),(5)) AS s(seed)
-WHERE p_partkey < 60 AND (s.seed < 5 OR p_partkey < 50) AND (p_partkey % 9 < 7 OR p_partkey < 9)
+WHERE s.seed < 5 OR p_partkey % 6 <> 0
 """,
     "f_files": """
 SELECT concat('2021_S', CAST(c.c_custkey AS STRING), '_', d.suffix) AS stem

@@ -28,10 +28,6 @@ def small_forest(seed: int):
     return learn.forest(seed, trees=20, depth=6)
 
 
-def small_boosted(seed: int):
-    return learn.boosted(seed, rounds=20, step=0.2)
-
-
 KNN = "WITH d AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d) SELECT vec_id, round(avg(d), 5) AS mean_distance, CAST(count(*) AS INT) AS n_neighbours FROM r WHERE r <= 10 GROUP BY vec_id"
 
 
@@ -79,14 +75,14 @@ def held_out(df: DataFrame, make, reducer: str = "none") -> tuple[DataFrame, obj
 @query("M5_forest", "f_samples", "f_patch")
 def _(s, p):
     df = frame(s, p)
-    fitted = held_out(df, lambda seed: learn.forest(seed, depth=8))[1]
+    fitted = held_out(df, learn.forest)[1]
     found = [(f"patch_{i}", float(v)) for i, v in enumerate(learn.importances(fitted))]
     return rounded(df.sparkSession.createDataFrame(found, "feature string, importance double"), 6)
 
 
 @query("M6_boosted", "f_samples", "f_patch")
 def _(s, p):
-    return rounded(held_out(frame(s, p), lambda seed: learn.boosted(seed, rounds=60, step=0.1))[0].select("k", "y", "yhat"), 4)
+    return rounded(held_out(frame(s, p), learn.boosted)[0].select("k", "y", "yhat"), 4)
 
 
 @query("M7_ridge", "f_samples", "f_patch")
@@ -119,13 +115,13 @@ def cv_preds(s: DataFrame, p: DataFrame, seeds: list[int]) -> DataFrame:
 
 @query("M10_evaluate_folds", "f_samples", "f_patch")
 def _(s, p):
-    got = learn.evaluate_folds(frame(s, p), {"block_50m": folds.SCHEMES["block_50m"]}, [1], small_forest, "pca", k=3)
+    got = learn.evaluate_folds(frame(s, p), folds.SCHEMES, [1], small_forest, "pca")
     return rounded(got, 4)
 
 
 @query("I13_cv_report", "f_samples", "f_patch")
 def _(s, p):
-    return rounded(learn.report_cv(cv_preds(s, p, [1, 2])), 4)
+    return rounded(learn.report_cv(cv_preds(s, p, [1, 2, 3, 4, 5])), 4)
 
 
 @query("M12_transfer", "f_samples", "f_patch")
@@ -138,7 +134,7 @@ def _(s, p):
     df = frame(s, p)
     drift = F.transform("vec", lambda v, i: v.cast("double") * F.lit(0.9) + F.sin(i + F.col("k")) * 0.02)
     years = df.withColumn("year", F.lit(2017)).unionByName(learn.vectors(df, drift).withColumn("year", F.lit(2024)))
-    return rounded(learn.cross_year(years, 2017, small_boosted, "none"), 4)
+    return rounded(learn.cross_year(years, 2017, learn.boosted, "none"), 4)
 
 
 @query("M14_patch_ablation", "f_samples", "f_patch")
@@ -151,7 +147,7 @@ def map_model(pixels: DataFrame):
 
     base = learn.vectors(raster.windows(pixels.where("yr = 2017"), 3, ["yr"]), "patch")
     y = F.aggregate("patch", F.lit(0.0), lambda a, v: a + v) / 9
-    return learn.fit_pipeline(base.select((F.col("row_i") * 1000 + F.col("col_i")).alias("k"), y.alias("y"), "features"), small_forest, "none")
+    return learn.fit_pipeline(base.select((F.col("row_i") * 1000 + F.col("col_i")).alias("k"), y.alias("y"), "features"), learn.forest, "none")
 
 
 @query("M15_predict_map", "f_pixels")
@@ -170,14 +166,14 @@ def _(s, c, px):
     annual = c.groupBy("sample_id").pivot("var", ["prec", "tavg", "wind"]).agg(F.avg("value"))
     train = s.join(annual, "sample_id").select("k", F.col("prec").alias("a"), F.col("wind").alias("b"), (F.col("prec") * 2 - F.col("wind")).alias("y"))
     cells = px.where("yr = 2017").select("row_i", "col_i", F.col("value").alias("a"), F.when(F.col("land_cover_class") != 80, F.col("value") / 2).alias("b"))
-    return rounded(learn.predict_grid(train, cells, ["a", "b"], ["row_i", "col_i"], small_forest), 4)
+    return rounded(learn.predict_grid(train, cells, ["a", "b"], ["row_i", "col_i"], learn.forest), 4)
 
 
 @query("I12_diagnostics", "f_samples", "f_patch")
 def _(s, p):
     df = frame(s, p)
     test, train = df.where("k % 5 = 0"), df.where("k % 5 <> 0")
-    preds = held_out(df, small_forest)[0].select("k", "y", "yhat")
+    preds = held_out(df, learn.forest)[0].select("k", "y", "yhat")
     novelty = neighbours.knn_mean_distance(test, train, 10, "k", "vec").drop("n_neighbours")
     whitened = learn.whitened_distance(test, train).select("k", "whitened")
     near = joins.nn_distance(test, train, "k", "latitude", "longitude")

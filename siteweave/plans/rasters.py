@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays, spectral
@@ -124,14 +126,20 @@ def _(p):
     return checksum(raster.extract_patches(points(p), p, 3, "id", "pad"))
 
 
-@query("M17_regrid_nearest", "f_pixels", sql="SELECT r, c, value FROM (SELECT r, c FROM range(40) a(r), range(50) b(c)) g LEFT JOIN (SELECT * FROM f_pixels WHERE yr = 2017) p ON p.row_i = floor((r + 0.5) * 0.5) AND p.col_i = floor((c + 0.5) * 0.5)")
+def target_size(p, scale: float) -> tuple[int, int]:
+    """Rows and columns of a target grid of this scale that covers all pixels."""
+    h, w = p.agg(F.max("row_i"), F.max("col_i")).first()
+    return tuple(math.ceil(((n if n is not None else -1) + 1) / scale) for n in (h, w))
+
+
+@query("M17_regrid_nearest", "f_pixels", sql="WITH s AS (SELECT 2 * max(row_i) + 2 AS h, 2 * max(col_i) + 2 AS w FROM f_pixels), a AS (SELECT unnest(range(h)) AS r FROM s), b AS (SELECT unnest(range(w)) AS c FROM s) SELECT r, c, value FROM (SELECT r, c FROM a, b) g LEFT JOIN (SELECT * FROM f_pixels WHERE yr = 2017) p ON p.row_i = floor((r + 0.5) * 0.5) AND p.col_i = floor((c + 0.5) * 0.5)")
 def _(p):
-    return raster.regrid(p.where("yr = 2017"), 40, 50, 0.5)
+    return raster.regrid(p.where("yr = 2017"), *target_size(p, 0.5), 0.5)
 
 
-@query("M17_regrid_bilinear", "f_pixels", sql="WITH g AS (SELECT r, c, (r + 0.5e0) * 0.8e0 - 0.5e0 AS y, (c + 0.5e0) * 0.8e0 - 0.5e0 AS x FROM range(24) a(r), range(30) b(c)), k AS (SELECT r, c, floor(y) + i AS yy, floor(x) + j AS xx, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM g, range(2) a(i), range(2) b(j)) SELECT r, c, round(sum(w * value) / nullif(sum(w) FILTER (WHERE value IS NOT NULL), 0), 6) AS value FROM k LEFT JOIN (SELECT * FROM f_pixels WHERE yr = 2017) p ON p.row_i = yy AND p.col_i = xx GROUP BY r, c")
+@query("M17_regrid_bilinear", "f_pixels", sql="WITH s AS (SELECT CAST(ceil((max(row_i) + 1) / 0.8e0) AS BIGINT) AS h, CAST(ceil((max(col_i) + 1) / 0.8e0) AS BIGINT) AS w FROM f_pixels), a AS (SELECT unnest(range(h)) AS r FROM s), b AS (SELECT unnest(range(w)) AS c FROM s), g AS (SELECT r, c, (r + 0.5e0) * 0.8e0 - 0.5e0 AS y, (c + 0.5e0) * 0.8e0 - 0.5e0 AS x FROM a, b), k AS (SELECT r, c, floor(y) + i AS yy, floor(x) + j AS xx, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM g, range(2) a(i), range(2) b(j)) SELECT r, c, round(sum(w * value) / nullif(sum(w) FILTER (WHERE value IS NOT NULL), 0), 6) AS value FROM k LEFT JOIN (SELECT * FROM f_pixels WHERE yr = 2017) p ON p.row_i = yy AND p.col_i = xx GROUP BY r, c")
 def _(p):
-    return rounded(raster.regrid(p.where("yr = 2017"), 24, 30, 0.8, "bilinear"))
+    return rounded(raster.regrid(p.where("yr = 2017"), *target_size(p, 0.8), 0.8, "bilinear"))
 
 
 @query("F13_slope_aspect", "f_pixels", sql="WITH p AS (SELECT * FROM f_pixels WHERE yr = 2017), w AS (SELECT c.row_i, c.col_i, sum(n.value * (n.col_i - c.col_i) * (CASE WHEN n.row_i = c.row_i THEN 2 ELSE 1 END)) / 8 AS dx, sum(n.value * (n.row_i - c.row_i) * (CASE WHEN n.col_i = c.col_i THEN 2 ELSE 1 END)) / 8 AS dy FROM p c JOIN p n ON abs(n.row_i - c.row_i) <= 1 AND abs(n.col_i - c.col_i) <= 1 GROUP BY c.row_i, c.col_i HAVING count(n.value) = 9) SELECT row_i, col_i, round(sqrt(dx * dx + dy * dy), 6) AS slope FROM w")
@@ -147,8 +155,9 @@ def _(p):
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * z[2]))"
 
 
-@query("A24_embedding_drift", "embeddings", sql="WITH e AS (SELECT vec_id, embedding AS a, list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) + CASE WHEN i % 2 = 0 THEN 0.01e0 ELSE -0.02e0 END) AS b FROM embeddings), d AS (SELECT vec_id, " + DOT.format(a="a", b="b") + " AS ab, " + DOT.format(a="a", b="a") + " AS aa, " + DOT.format(a="b", b="b") + " AS bb FROM e) SELECT round(avg(ab / sqrt(aa * bb)), 5) AS cosine_mean, round(quantile_cont(ab / sqrt(aa * bb), 0.05), 5) AS cosine_p05, count(*) AS n FROM d")
+@query("A24_embedding_drift", "embeddings", sql="WITH e AS (SELECT vec_id, embedding AS a, list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) + CASE WHEN i % 2 = 0 THEN 0.01e0 ELSE -0.02e0 END) AS b FROM embeddings), d AS (SELECT vec_id, " + DOT.format(a="a", b="b") + " AS ab, " + DOT.format(a="a", b="a") + " AS aa, " + DOT.format(a="b", b="b") + " AS bb FROM e) SELECT round(avg(ab / sqrt(aa * bb)), 5) AS cosine_mean, round(quantile_cont(ab / sqrt(aa * bb), 0.05), 5) AS cosine_p05, round(avg(sqrt(greatest(aa - 2 * ab + bb, 0)) / (sqrt(aa) + 1e-9)), 4) AS relative_l2_mean, count(*) AS n FROM d")
 def _(e):
     b = F.transform("embedding", lambda v, i: v.cast("double") + F.when(i % 2 == 1, 0.01).otherwise(-0.02))
-    c = e.select(arrays.cosine(F.col("embedding"), b).alias("c"))
-    return rounded(c.agg(F.avg("c").alias("cosine_mean"), F.percentile("c", F.lit(0.05)).alias("cosine_p05"), F.count(F.lit(1)).alias("n")), 5)
+    c = e.select(arrays.cosine(F.col("embedding"), b).alias("c"), arrays.relative_l2(b, F.col("embedding")).alias("d"))
+    out = c.agg(F.avg("c").alias("cosine_mean"), F.percentile("c", F.lit(0.05)).alias("cosine_p05"), F.round(F.avg("d"), 4).alias("relative_l2_mean"), F.count(F.lit(1)).alias("n"))
+    return rounded(out, 5)

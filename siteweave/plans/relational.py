@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geo, spectral, text
 from ..operators import aggregates as agg
 from ..operators import filters as flt
 from ..operators import joins
+from ..session import shared_folder
 from ..sources import files, samples
 from .registry import query, rounded
 
@@ -29,6 +35,77 @@ def _(s):
     return samples.unify_samples([a, s.where("k % 2 <> 0").select("sample_id", "latitude", "longitude", "rarefied")], optional=("continent",))
 
 
+def scratch(df, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def npy_files(e):
+    """(path, content) of an .npy file for each vector: 4 x 4 x 4 values; every seventh has a NaN, every eleventh lacks an axis, every thirteenth is no array file."""
+
+    def encoded(items):
+        for batch in items:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a = np.array(v, np.float32).reshape(4, 4, 4)
+                if k % 7 == 0:
+                    a[0, 0, 0] = np.nan
+                out.append(b"no array" if k % 13 == 0 else files.encode_npy(a[0] if k % 11 == 0 else a))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"/patches/{k}.npy" for k in batch.column(0).to_pylist()]), "content": pa.array(out, pa.binary())})
+
+    return e.select("vec_id", "embedding").mapInArrow(encoded, "path string, content binary")
+
+
+@query("S3_ingest_patches", "embeddings", sql="SELECT CAST(vec_id AS VARCHAR) AS sample_id, CAST(CASE WHEN w IS NULL THEN 4 END AS INT) AS p, CAST(CASE WHEN w IS NULL THEN 4 END AS INT) AS c, CASE WHEN w IS NULL THEN round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) + 0e0 END AS total, w AS reason FROM (SELECT *, CASE WHEN vec_id % 13 = 0 THEN 'unreadable: ValueError' WHEN vec_id % 11 = 0 THEN 'not three-dimensional' WHEN vec_id % 7 = 0 THEN 'not finite' END AS w FROM embeddings)")
+def _(e):
+    kept, skipped = files.decode_patches(npy_files(e))
+    total = F.aggregate("patch", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    none = F.lit(None)
+    rows = kept.select("sample_id", "p", "c", total.alias("total"), none.cast("string").alias("reason"))
+    return rounded(rows.union(skipped.select("id", none.cast("int"), none.cast("int"), none.cast("double"), "reason")), 5)
+
+
+@query("S4_feature_cache", "f_soil_raw", sql="SELECT sample_id, max(raw) FILTER (WHERE var = 'phh2o' AND depth = '0_5cm') AS phh2o, max(raw) FILTER (WHERE var = 'wrb') AS wrb FROM f_soil_raw GROUP BY sample_id")
+def _(r):
+    """Features written as JSON, each row twice, and read as a cache with a row for each sample."""
+    at = lambda v, d: F.max(F.when((F.col("var") == v) & (F.col("depth") == d), F.col("raw"))).alias(v)
+    wide = r.groupBy("sample_id").agg(at("phh2o", "0_5cm"), at("wrb", "all"))
+    folder = scratch(r, "cache")
+    wide.union(wide).write.json(folder)
+    return files.ingest_feature_cache(r.sparkSession, folder, "sample_id string, phh2o double, wrb double")
+
+
+@query("S10_bundles", "f_runs", "f_preds", sql="SELECT 'first' AS bundle, 'runs' AS \"table\", count(*) AS n, round(sum(r2), 6) AS total FROM f_runs UNION ALL SELECT 'second', 'preds', count(*), round(sum(yhat), 6) FROM f_preds UNION ALL SELECT 'second', 'runs', count(*), round(sum(rmse), 6) FROM f_runs")
+def _(r, p):
+    """Two bundles written, listed and read back."""
+    spark, root, value = r.sparkSession, scratch(r, "bundles"), {("first", "runs"): "r2", ("second", "runs"): "rmse", ("second", "preds"): "yhat"}
+    files.write_bundle(root, "first", {"runs": r})
+    files.write_bundle(root, "second", {"runs": r, "preds": p})
+    listed = files.list_bundles(spark, root).collect()  # a row for each table of the bundles
+    each = [files.read_bundle(spark, root, b, t).agg(F.lit(b).alias("bundle"), F.lit(t).alias("table"), F.count(F.lit(1)).alias("n"), F.sum(value[b, t]).alias("total")) for b, t in listed]
+    return rounded(reduce(lambda a, b: a.union(b), each))
+
+
+@query("S11_exports", "f_runs", sql="SELECT kind, config, run_seed, round(r2, 6) AS r2 FROM f_runs CROSS JOIN (VALUES ('csv'), ('json')) AS t(kind)")
+def _(r):
+    """A report written as CSV and as JSON and read back."""
+    spark, kinds = r.sparkSession, {"csv": scratch(r, "csv"), "json": scratch(r, "json")}
+    for kind, path in kinds.items():
+        files.export(r.select("config", "run_seed", "r2"), path, kind)
+    read = spark.read.schema("config string, run_seed bigint, r2 double")
+    both = [df.select(F.lit(k).alias("kind"), "*") for k, df in (("csv", read.option("header", True).csv(kinds["csv"])), ("json", spark.read.schema("config string, run_seed bigint, r2 double").json(kinds["json"])))]
+    return rounded(both[0].union(both[1]))
+
+
+@query("P3_split_blocks", "f_samples", "f_patch", "f_climate_monthly", sql="WITH c AS (SELECT sample_id, avg(value) FILTER (WHERE var = 'prec') AS prec, avg(value) FILTER (WHERE var = 'wind') AS wind FROM f_climate_monthly GROUP BY sample_id) SELECT s.sample_id, round(CAST(vec[1] AS DOUBLE) + vec[2], 5) + 0e0 AS satellite, round(latitude + longitude, 5) AS coords, round(coalesce(prec, 0) + coalesce(wind, 0), 5) AS environment FROM f_samples s JOIN f_patch p USING (sample_id) JOIN c USING (sample_id)")
+def _(s, p, c):
+    """The sum of each block's features."""
+    climate = c.groupBy("sample_id").pivot("var", ["prec", "wind"]).agg(F.avg("value"))
+    wide = s.select("sample_id", "latitude", "longitude").join(p.select("sample_id", *[F.col("vec")[i].cast("double").alias(f"patch_{i}") for i in (0, 1)]), "sample_id").join(climate, "sample_id")
+    blocks = flt.split_blocks([x for x in wide.columns if x != "sample_id"])
+    return rounded(wide.select("sample_id", *[sum((F.coalesce(F.col(x), F.lit(0.0)) for x in xs), F.lit(0.0)).alias(b) for b, xs in blocks.items()]), 5)
+
+
 @query("S5_scan_registry", "f_registry", sql="SELECT year, lon_i, lat_i FROM f_registry WHERE year = 2023")
 def _(r):
     return samples.registry_year(r, 2023)
@@ -84,12 +161,12 @@ def _(s):
     return flt.valid_coords(moved).select("sample_id")
 
 
-@query("P4_categorize", "f_importance", sql="SELECT seed, feature, CASE WHEN feature LIKE 'wc\\_class\\_%' ESCAPE '\\' THEN 'Land Cover' WHEN feature IN ('latitude','longitude') THEN 'Location' WHEN contains(feature, '_annual_') THEN 'Climate' WHEN feature IN ('elev','slope','aspect') THEN 'Topography' WHEN starts_with(feature, 'bio_') THEN 'Bioclimatic' WHEN starts_with(feature, 'soil_') OR starts_with(feature, 'wrb_') THEN 'Soil' WHEN starts_with(feature, 'patch_') THEN 'Satellite (Raw)' WHEN starts_with(feature, 'pca_') THEN 'Satellite' ELSE 'Other' END AS category FROM f_importance")
+@query("P4_categorize", "f_importance", sql="SELECT seed, feature, CASE WHEN feature LIKE 'wc\\_class\\_%' ESCAPE '\\' THEN 'Land Cover' WHEN feature IN ('latitude','longitude') THEN 'Location' WHEN contains(feature, '_annual_') THEN 'Climate' WHEN feature IN ('elev','slope','aspect') THEN 'Topography' WHEN starts_with(feature, 'bio_') THEN 'Bioclimatic' WHEN starts_with(feature, 'soil_') OR starts_with(feature, 'wrb_') THEN 'Soil' WHEN starts_with(feature, 'patch_') THEN 'Satellite (Raw)' WHEN starts_with(feature, 'pca_') OR starts_with(feature, 'umap_') THEN 'Satellite' ELSE 'Other' END AS category FROM f_importance")
 def _(i):
     return i.select("seed", "feature", text.category(F.col("feature")).alias("category"))
 
 
-@query("P5_block_of", "f_importance", sql="SELECT seed, feature, CASE WHEN starts_with(feature, 'patch_') OR starts_with(feature, 'pca_') THEN 'Satellite' WHEN feature IN ('latitude','longitude') THEN 'Coordinates' WHEN starts_with(feature, 'soil_') OR starts_with(feature, 'wc_class') OR contains(feature, 'wrb') THEN 'Soil / land cover' ELSE 'Climate' END AS block FROM f_importance")
+@query("P5_block_of", "f_importance", sql="SELECT seed, feature, CASE WHEN starts_with(feature, 'patch_') OR starts_with(feature, 'pca_') OR starts_with(feature, 'umap_') THEN 'Satellite (SSL)' WHEN feature IN ('latitude','longitude') THEN 'Coordinates' WHEN starts_with(feature, 'soil_') OR starts_with(feature, 'wc_class') OR contains(feature, 'wrb') THEN 'Soil / land cover' ELSE 'Climate' END AS block FROM f_importance")
 def _(i):
     return i.select("seed", "feature", text.block_of(F.col("feature")).alias("block"))
 
@@ -272,7 +349,7 @@ def _(lc):
     return agg.one_hot(lc, "land_cover_class", "wc_class_", [10, 20]).drop("land_cover_class")
 
 
-@query("A10_impute_mean", "f_climate_monthly", sql="SELECT sample_id, var, month, round(coalesce(value, (SELECT avg(value) FROM f_climate_monthly)), 6) AS value FROM f_climate_monthly")
+@query("A10_impute_mean", "f_climate_monthly", sql="WITH c AS MATERIALIZED (SELECT * FROM f_climate_monthly), m AS MATERIALIZED (SELECT avg(value) AS m FROM c) SELECT sample_id, var, month, round(coalesce(value, m), 6) AS value FROM c CROSS JOIN m")
 def _(c):
     return rounded(agg.impute_mean(c, ["value"]))
 
@@ -310,7 +387,7 @@ def _(i):
     return rounded(agg.importance_summary(i)[0])
 
 
-@query("A21_importance_shares", "f_importance", sql="WITH t AS (SELECT seed, CASE WHEN starts_with(feature, 'patch_') OR starts_with(feature, 'pca_') THEN 'Satellite' WHEN feature IN ('latitude','longitude') THEN 'Coordinates' WHEN starts_with(feature, 'soil_') OR starts_with(feature, 'wc_class') OR contains(feature, 'wrb') THEN 'Soil / land cover' ELSE 'Climate' END AS category, sum(importance) AS x FROM f_importance WHERE seed <= 4 GROUP BY 1, 2), s AS (SELECT category, x / sum(x) OVER (PARTITION BY seed) AS share FROM t) SELECT category, round(avg(share), 6) AS share_mean, round(stddev_samp(share), 6) AS share_sd, count(*) AS n FROM s GROUP BY category")
+@query("A21_importance_shares", "f_importance", sql="WITH t AS (SELECT seed, CASE WHEN starts_with(feature, 'patch_') OR starts_with(feature, 'pca_') OR starts_with(feature, 'umap_') THEN 'Satellite (SSL)' WHEN feature IN ('latitude','longitude') THEN 'Coordinates' WHEN starts_with(feature, 'soil_') OR starts_with(feature, 'wc_class') OR contains(feature, 'wrb') THEN 'Soil / land cover' ELSE 'Climate' END AS category, sum(importance) AS x FROM f_importance WHERE seed <= 4 GROUP BY 1, 2), s AS (SELECT category, x / sum(x) OVER (PARTITION BY seed) AS share FROM t) SELECT category, round(avg(share), 6) AS share_mean, round(stddev_samp(share), 6) AS share_sd, count(*) AS n FROM s GROUP BY category")
 def _(i):
     return rounded(agg.importance_summary(i, category=text.block_of(F.col("feature")))[1])
 
@@ -415,9 +492,15 @@ def _(o):
     return o.select("seq", spectral.amplitude_to_db(F.col("vv")).alias("db"))
 
 
-@query("F9_vector_functions", "f_patch", sql="SELECT sample_id, round(sqrt(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * x))), 5) AS l2 FROM f_patch")
+VECTORS = """WITH v AS (SELECT sample_id, list_transform(vec, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(list_reverse(vec), lambda x: CAST(x AS DOUBLE)) AS b FROM f_patch),
+d AS (SELECT sample_id, list_dot_product(a, a) AS aa, list_dot_product(a, b) AS ab, list_dot_product(b, b) AS bb FROM v)
+SELECT sample_id, round(sqrt(aa), 5) AS l2, round(ab / sqrt(aa * bb), 5) + 0e0 AS cosine, round(sqrt(greatest(aa - 2 * ab + bb, 0)) / (sqrt(bb) + 1e-9), 5) AS relative_l2 FROM d"""
+
+
+@query("F9_vector_functions", "f_patch", sql=VECTORS)
 def _(p):
-    return p.select("sample_id", F.round(arrays.l2(F.col("vec")), 5).alias("l2"))
+    a, b = F.col("vec"), F.reverse("vec")
+    return rounded(p.select("sample_id", arrays.l2(a).alias("l2"), arrays.cosine(a, b).alias("cosine"), arrays.relative_l2(a, b).alias("relative_l2")), 5)
 
 
 @query("F10_centre_crop", "f_patch", sql="SELECT sample_id, list_concat(list_concat(vec[21:24], vec[25:28]), list_concat(vec[37:40], vec[41:44])) AS crop FROM f_patch")
@@ -430,9 +513,11 @@ def _(s):
     return s.select("sample_id", geo.to_row(F.col("latitude"), 60.0, 0.25).alias("r"), geo.to_col(F.col("longitude"), 5.0, 0.25).alias("c"))
 
 
-@query("F14_aoi_bbox", "f_poly_vertices", sql="SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM f_poly_vertices")
-def _(v):
-    return v.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+@query("F14_aoi_bbox", "f_samples", sql="SELECT continent, min(longitude) AS x0, max(longitude) AS x1, min(latitude) AS y0, max(latitude) AS y1 FROM f_samples GROUP BY continent")
+def _(s):
+    """The box of each continent's area, whose vertices are its samples' places."""
+    x, y = F.col("longitude"), F.col("latitude")
+    return s.groupBy("continent").agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
 
 
 @query("F15_names", "f_files", sql="SELECT stem, regexp_extract(stem, '^[^_]*_([^_]*)', 1) AS id FROM f_files")

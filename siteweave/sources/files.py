@@ -27,8 +27,20 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.frombuffer(data[start + n :], kind).reshape(head["shape"], order="F" if head["fortran_order"] else "C")
 
 
+def encode_npy(a: np.ndarray) -> bytes:
+    """The array in the .npy format, version 1."""
+    head = repr({"descr": a.dtype.str, "fortran_order": False, "shape": a.shape})
+    head += " " * (-(len(head) + 11) % 64) + "\n"
+    return b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head.encode("latin-1") + np.ascontiguousarray(a).tobytes()
+
+
 def ingest_patches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(patches, skipped) of a folder of {sample_id}.npy files: three-dimensional and finite arrays, the others with a reason."""
+    """(patches, skipped) of a folder of {sample_id}.npy files."""
+    return decode_patches(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content"))
+
+
+def decode_patches(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patches, skipped) of (path, content): three-dimensional and finite arrays, the others with a reason."""
     def decoded(items):
         for batch in items:
             out = {"sample_id": [], "p": [], "c": [], "patch": [], "reason": []}
@@ -47,14 +59,16 @@ def ingest_patches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
                 out["patch"].append(a.astype(np.float32).ravel().tolist() if ok else None)
             yield pa.RecordBatch.from_arrays([pa.array(out["sample_id"]), pa.array(out["p"], pa.int32()), pa.array(out["c"], pa.int32()), pa.array(out["patch"], pa.list_(pa.float32())), pa.array(out["reason"], pa.string())], names=list(out))
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content")
-    rows = raw.mapInArrow(decoded, "sample_id string, p int, c int, patch array<float>, reason string")
+    rows = files.select("path", "content").mapInArrow(decoded, "sample_id string, p int, c int, patch array<float>, reason string")
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select(F.col("sample_id").alias("id"), "reason", F.lit("ingest").alias("stage"))
 
 
 def ingest_feature_cache(spark: SparkSession, folder: str, schema: str, key: str = "sample_id") -> DataFrame:
-    """Feature rows of a folder of JSON files, a row for each key."""
-    return spark.read.schema(schema).json(folder).dropDuplicates([key])
+    """Feature rows of a folder of JSON files, for each key the first by file and text."""
+    rows = spark.read.schema(schema).json(folder)
+    place = F.struct(F.col("_metadata.file_path"), F.to_json(F.struct(*rows.columns)))
+    first = rows.select(key, place.alias("__at"), F.struct(*rows.columns).alias("__row")).groupBy(key).agg(F.min_by("__row", "__at").alias("__row"))
+    return first.select("__row.*")
 
 
 def parse_run_names(runs: DataFrame, column: str) -> DataFrame:
@@ -109,7 +123,7 @@ def list_bundles(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/part-[^/]*$", 1).alias("bundle"), F.regexp_extract("path", r"([^/]+)/part-[^/]*$", 1).alias("table")).distinct()
 
 
-def export(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """A small report as one file."""
-    out = df.coalesce(1).write.mode("overwrite")
+def export(df: DataFrame, path: str, kind: str = "csv", files: int | None = None) -> None:
+    """A table as text: a file for each task, or the given number of files (1 for a small report)."""
+    out = (df if files is None else df.coalesce(files)).write.mode("overwrite")
     out.option("header", True).csv(path) if kind == "csv" else out.json(path)
