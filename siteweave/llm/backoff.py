@@ -6,46 +6,57 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, stored
-from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
+from .common import batches, prepare, sequence_hashes, word_hashes
 
 #: Words of which a task sums up the n-grams before it hands them on.
 HELD_WORDS = 2_000_000
 
 
-def ending(texts: list[bytes], order: int, memo: dict, table: bytes = lowered_spaces_table()) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For all words of texts: the text of each, its place there from 0, how many words follow it there, and for each order up to `order` the hash of the n-gram that ends with it.
+def word_array(texts: pa.Array, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word of an Arrow column of texts, in order; each distinct word of the column is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    n = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    at, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
+    full = np.array([len(w) > 0 for w in words], bool)  # splitting leaves an empty word where white space begins or ends a text
+    if not full.all():
+        kept = full[at]
+        at, doc = at[kept], doc[kept]
+    return word_hashes(words, memo)[at], doc
+
+
+def ending(texts: pa.Array, low: int, high: int, memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """For all words of texts: the text of each, its place there from 0, how many words follow it there, and for each order from low to high the hash of the n-gram that ends with it.
 
     A hash of order k means nothing at places before k - 1.
     """
-    lists = [word_hashes(x.translate(table).split(), memo) for x in texts]
-    n = np.array([len(x) for x in lists], np.int64)
-    flat = np.concatenate([*lists, np.empty(0, np.uint64)])
-    doc = np.repeat(np.arange(len(lists)), n)
+    flat, doc = word_array(texts, memo)
+    n = np.bincount(doc, minlength=len(texts))
     place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    hashes = []
-    for k in range(1, order + 1):
-        h = np.zeros(len(flat), np.uint64)
-        h[k - 1 :] = sequence_hashes(flat, k)
-        hashes.append(h)
+    hashes = {}
+    for k in range(low, high + 1):
+        hashes[k] = np.zeros(len(flat), np.uint64)
+        hashes[k][k - 1 :] = sequence_hashes(flat, k)
     return doc, place, np.repeat(n, n) - place - 1, hashes
 
 
 def held(items, most: int = HELD_WORDS):
-    """Lists of texts of about so many words each, from the first column of Arrow batches."""
+    """The texts of Arrow batches (their first column), some together until they have about so many words."""
     now, size = [], 0
     for batch in batches(items):
-        for x in utf8(batch.column(0)):
-            now.append(x)
-            size += len(x)
-            if size > 6 * most:
-                yield now
-                now, size = [], 0
+        now.append(batch.column(0))
+        size += batch.column(0).nbytes
+        if size > 6 * most:
+            yield pa.concat_arrays(now)
+            now, size = [], 0
     if now:
-        yield now
+        yield pa.concat_arrays(now)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -59,9 +70,9 @@ def gram_counts(docs: DataFrame, low: int, high: int, text: str = "text") -> Dat
     def counted(items):
         memo: dict = {}
         for some in held(items):
-            _, place, _, hashes = ending(some, high, memo)
-            for k in range(low, high + 1):
-                grams, n = np.unique(hashes[k - 1][place >= k - 1], return_counts=True)
+            _, place, _, hashes = ending(some, low, high, memo)
+            for k, h in hashes.items():
+                grams, n = np.unique(h[place >= k - 1], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": _signed(grams), "n": pa.array(n)})
 
     rows = docs.select(F.col(text).alias("t")).mapInArrow(counted, "gram long, n long")
@@ -79,9 +90,8 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id",
     log(c / N); one without any count counts as seen once.
 
     Relationally: n-grams are 64-bit hashes. Tasks explode texts into n-grams of each order with
-    their numbers; a count table, dealt out by hash, sums them. The documents' own n-grams, one row
-    for each distinct one of a document, are joined to it and summed by document. Nothing that grows
-    with the corpus is broadcast.
+    their numbers; a count table, dealt out by hash, sums them. The documents' own n-grams are joined
+    to it and summed by document. Nothing that grows with the corpus is broadcast.
 
     corpus is docs unless given. Rows that share a key are one document, whose n-grams stay inside
     their rows; a null key is a document. Null and empty texts have no words, log_score 0 and a null
@@ -108,10 +118,10 @@ def _own_scores(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
 
     def lengths(items):
-        table = lowered_spaces_table()
+        memo: dict = {}
         for batch in batches(items):
-            n = [len(x.translate(table).split()) for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64())})
+            n = np.bincount(word_array(batch.column(1), memo)[1], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n.astype(np.int64))})
 
     words = stored(slim.mapInArrow(lengths, f"doc_id {kind}, n_words long"))
     total = words.agg(F.sum("n_words")).first()[0] or 0
@@ -120,20 +130,16 @@ def _own_scores(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
 
     def rows(first_order: int, last_order: int) -> DataFrame:
         def run(items):
-            """(document, n-gram, how often its log count is added)."""
+            """(document, n-gram, whether its log count is added or taken off), in the order of documents, which an exchange packs best."""
             memo: dict = {}
             for batch in batches(items):
-                doc, place, after, hashes = ending(utf8(batch.column(1)), last_order, memo)
-                for k in range(first_order, last_order + 1):
+                doc, place, after, hashes = ending(batch.column(1), first_order, last_order, memo)
+                for k, h in hashes.items():
                     scores = np.minimum(order, place + 1) == k
                     context = (after > 0) & (np.minimum(order - 1, place + 1) == k)
                     sign = scores.astype(np.int64) - context
                     at = np.flatnonzero(sign)
-                    grams = hashes[k - 1][at]
-                    _, first, which = np.unique(grams + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
-                    n = np.bincount(which, sign[at], len(first)).astype(np.int64)
-                    out = {"doc_id": batch.column(0).take(pa.array(doc[at[first]], pa.int64())), "gram": _signed(grams[first]), "n": pa.array(n)}
-                    yield pa.RecordBatch.from_pydict(out).filter(pa.array(n != 0))
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(doc[at], pa.int64())), "gram": _signed(h[at]), "n": pa.array(sign[at])})
 
         return slim.mapInArrow(run, f"doc_id {kind}, gram long, n long")
 
@@ -154,12 +160,12 @@ def _scores(docs: DataFrame, corpus: DataFrame, key: str, text: str, order: int,
         def counted(items):
             memo: dict = {}
             for some in held(items):
-                _, place, _, hashes = ending(some, order, memo)
-                for k, h in enumerate(hashes, 1):
+                _, place, _, hashes = ending(some, 1, order, memo)
+                for k, h in hashes.items():
                     at = np.flatnonzero(place >= k - 1)
                     grams, first, n = np.unique(h[at], return_index=True, return_counts=True)
                     at = at[first]
-                    parts = [hashes[k - 2][at - 1], hashes[k - 2][at]] if k > 1 else [np.zeros(len(at), np.uint64)] * 2
+                    parts = [hashes[k - 1][at - 1], hashes[k - 1][at]] if k > 1 else [np.zeros(len(at), np.uint64)] * 2
                     yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "gram": _signed(grams), "prefix": _signed(parts[0]), "suffix": _signed(parts[1]), "n": pa.array(n * weight)})
 
         return df.select(F.col(text).alias("t")).mapInArrow(counted, "k int, gram long, prefix long, suffix long, n long")
@@ -184,10 +190,10 @@ def _scores(docs: DataFrame, corpus: DataFrame, key: str, text: str, order: int,
         """The distinct n-grams by which each document's words are scored; a document without words has a row that finds nothing."""
         memo: dict = {}
         for batch in batches(items):
-            doc, place, _, hashes = ending(utf8(batch.column(1)), order, memo)
-            top = hashes[0].copy()
+            doc, place, _, hashes = ending(batch.column(1), 1, order, memo)
+            top = hashes[1].copy()
             for k in range(2, order + 1):
-                np.copyto(top, hashes[k - 1], where=place >= k - 1)
+                np.copyto(top, hashes[k], where=place >= k - 1)
             _, first, n = np.unique(top + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_counts=True)
             none = np.setdiff1d(np.arange(batch.num_rows), doc)
             at = np.concatenate([doc[first], none])
