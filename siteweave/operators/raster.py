@@ -51,9 +51,8 @@ def phenology(obs: DataFrame, keys: list[str], value: Column, doy: str = "doy",
 
     A masked (null) observation parts its neighbours. A pixel without values has sum 0 and no days.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    v = obs.select(*keys, F.col(order).alias("__o"), F.col(doy).alias("__d"), value.alias("__v")).withColumn("__step", F.abs(F.col("__v") - F.lag("__v").over(Window.partitionBy(*keys).orderBy("__o"))))
-    del w
+    before = F.lag("__v").over(Window.partitionBy(*keys).orderBy("__o"))
+    v = obs.select(*keys, F.col(order).alias("__o"), F.col(doy).alias("__d"), value.alias("__v")).withColumn("__step", F.abs(F.col("__v") - before))
     day = lambda f, sign: f("__d", F.when(F.col("__v").isNotNull(), F.struct("__v", (sign * F.col("__o")).alias("o"))))
     return v.groupBy(*keys).agg(day(F.max_by, -1).alias("doy_max"), day(F.min_by, 1).alias("doy_min"), F.coalesce(F.sum("__v"), F.lit(0.0)).alias("integral"), F.avg("__step").alias("roughness"))
 
