@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
     offered = stored(mine.mapInArrow(keyed, "k long, c long"))
     # A key is summed up in the tasks first, and few keys have several classes, so no key gathers in one task.
-    shared = offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most")
+    shared = stored(offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most"))
     met = stored(offered.join(shared, "k").where("c <> least").select("c", "least").distinct())
     groups = stored(connected_components(met, "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c"))
     # A component is searched in parts of about a block at most.
