@@ -47,7 +47,8 @@ def largest_of(c: int, percent: int) -> int:
 def segments(c: int, percent: int) -> tuple[int, int, int]:
     """(most, m, spare) for two sets that link, of which the smaller is in class c: they differ in `most` shingles at most, so of m segments, one for each difference and spare + 1 more, they agree in more than spare."""
     most = largest_of(c, percent) * (100 - percent) // percent
-    spare = 1 + most // 50
+    each = (100 + percent) * percent / (200 * max(100 - percent, 1))  # shingles for each difference in a set of the class's middle size
+    spare = 1 + int(most * (0.02 + 2.5 * (1 + each) * math.exp(-each)))  # more than the segments that hold one shingle or none
     return most, most + 1 + spare, spare
 
 
@@ -61,9 +62,11 @@ def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
     A set offers keys to its own size class and to the one below, in which it meets smaller sets. For
     a class, the shingles are dealt by hash into so many segments that two sets that link agree in
-    more of them than spare; a key is what one segment holds. Segments that are empty say nothing, so
-    a set with more than spare of those offers the shingles of its prefix too (its first by hash, of
-    which two sets that link share one); so do all sets where segments would hold hardly anything.
+    more of them than spare; a key is what one segment holds. Segments of one shingle say little: a set
+    that has no more than spare of those and empty ones leaves them out, as it agrees with each of its
+    links in a larger one. Empty segments say nothing: a set with more than spare of them offers the
+    shingles of its prefix too (its first by hash, of which two sets that link share one); so do all
+    sets where segments would hold hardly anything.
     """
     own, out = size_class(len(s), percent), []
     for c in (own, own - 1):
@@ -76,7 +79,9 @@ def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
             at = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             held, sums = np.bincount(at, minlength=m), np.zeros(m, np.uint64)
             np.add.at(sums, at, h * (h | np.uint64(1)))
-            full = np.flatnonzero(held)
+            full = np.flatnonzero(held > 1)
+            if m - len(full) > spare:
+                full = np.flatnonzero(held)
             out.append(mixed(sums[full] + full.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019), 2 * c + 8))
             few = m - len(full) > spare
         if few:
