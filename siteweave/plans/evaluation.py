@@ -299,7 +299,7 @@ def _(p):
 
 @query("I7_boot_weights", "f_preds", sql=f"SELECT rep, sum(w) AS n, count(*) AS n_rows FROM {drawn('f_preds', 'sample_k', 2000, 9)} WHERE w > 0 GROUP BY rep")
 def _(p):
-    return inference.boot_weights(p.select("sample_k"), "sample_k", 2000, 9).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    return inference.boot_weights(p.select("sample_k").repartition(p.sparkSession.sparkContext.defaultParallelism), "sample_k", 2000, 9).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("I6_corr_boot", "f_preds", sql=f"WITH m AS (SELECT config, rep, sum(w) * 1e0 AS n, sum(w * y) AS sx, sum(w * yhat) AS sy, sum(w * y * y) AS xx, sum(w * yhat * yhat) AS yy, sum(w * y * yhat) AS xy FROM {drawn('(SELECT sample_k, config, y, yhat FROM f_preds)', 'sample_k', 2000, 9)} GROUP BY config, rep), r AS (SELECT config, (xy - sx * sy / n) / sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) AS r FROM m), q AS (SELECT config, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM r GROUP BY config) SELECT f.config, round(corr(f.y, f.yhat), 5) AS r, round(any_value(q.lo), 5) AS lo, round(any_value(q.hi), 5) AS hi FROM f_preds f JOIN q USING (config) GROUP BY f.config")
