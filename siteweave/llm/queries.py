@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontamination, html_template, importance, lsh_forest, packing, set_join, sharding, token_counts, toxicity
+from . import backoff, decontamination, html_template, importance, line_rules, lsh_forest, packing, set_join, sharding, spelling, token_counts, toxicity, turns
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,10 +84,39 @@ def op10_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and common lines of every document. Null and empty texts fail; every row is one document of its source; no rows, no result."""
+    return line_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conversations with deliberate faults, as crc32(`conv_id:turn`) % 20 says; nulls are one space."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.encode(F.concat(told("conv_id"), F.lit(":"), told("turn")), "UTF-8")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text"))
+    rows = conversations.where(h != 0).select("conv_id", "turn", F.when(h == 4, "user").otherwise(told("role")).alias("role"), text.alias("text"), F.when(h == 3, 2).otherwise(1).alias("times"))
+    return rows.withColumn("times", F.explode(F.expr("sequence(1, times)"))).drop("times")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of every conversation after damage. A null conv_id is a conversation; rows that tie by turn come by role and text; a conversation without rows left has zeros and the digest of nothing."""
+    given = table(spark, sf_dir, "conversations")
+    found = turns.repair_report(damaged(given)).withColumnRenamed("conv_id", "id")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    out = [F.coalesce(c, nothing.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "id"]
+    return given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select("conv_id", *out)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of all documents, of which some runs have lost a letter. Null texts have no words; rows that repeat count as often as they occur."""
+    words = spelling.count_words(table(spark, sf_dir, "documents"), letters=6, least=5, lose=199)
+    return spelling.variant_groups(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_interleaved_shards, op2_template_extraction, op3_prefix_forest, op4_packing, op5_decontamination, op6_token_counts, op7_importance_resampling, op8_stupid_backoff, op9_toxicity, op10_t_occurrence_join)
+    own = (op1_interleaved_shards, op2_template_extraction, op3_prefix_forest, op4_packing, op5_decontamination, op6_token_counts, op7_importance_resampling, op8_stupid_backoff, op9_toxicity, op10_t_occurrence_join, op11_line_frequency, op12_turn_repair, op13_spelling_variants)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -144,8 +173,99 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS c FROM r GROUP
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+      FROM (SELECT r, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM (SELECT r, string_split(t, chr(10)) AS x FROM d))),
+ls AS (SELECT r, i, line, len(lw) AS n, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k,
+       array_to_string(regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^\x20\x09-\x0D]+'), ' ') AS norm
+       FROM l WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) AS n FROM ls WHERE k > 1 GROUP BY r),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+common AS (SELECT source, norm FROM ls JOIN d USING (r) JOIN hosts h USING (source) GROUP BY source, norm, docs
+           HAVING count(DISTINCT r) > {line_rules.COMMON_DOCS} AND count(DISTINCT r) * 100 > docs * {line_rules.COMMON_PERCENT}),
+gone AS (SELECT r, sum(n) AS n FROM ls JOIN d USING (r) JOIN common USING (source, norm) GROUP BY r),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8)),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM often) GROUP BY r),
+f AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_common_words
+      FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+b AS (SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.REPEAT_PERCENT} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - n_common_words >= {line_rules.LEFT_WORDS} AND 100 * (n_words - n_common_words) >= {line_rules.LEFT_PERCENT} * n_words AS kept FROM b
+"""
+
+#: CRC-32 of the texts k of a table keys, byte by byte, as crc(k, h).
+_CRC = """
+crc_steps(b, c, i) AS (SELECT b, b, 0 FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM crc_steps WHERE i < 8),
+crc_table AS MATERIALIZED (SELECT b, c FROM crc_steps WHERE i = 8),
+crc_walk(k, x, i, h) AS (
+  SELECT k, hex(encode(k)), 0, CAST(4294967295 AS BIGINT) FROM keys
+  UNION ALL
+  SELECT k, x, i + 1, xor(h >> 8, c) FROM crc_walk JOIN crc_table ON b = xor(h & 255, CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)) WHERE 2 * i < length(x)),
+crc AS MATERIALIZED (SELECT k, xor(h, 4294967295) AS h FROM crc_walk WHERE 2 * i = length(x))"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE c AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+keys AS (SELECT DISTINCT k FROM c),{_CRC},
+m AS (SELECT conv_id, turn, CASE WHEN h % 20 = 4 THEN 'user' ELSE role END AS role, CASE h % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN h % 20 = 3 THEN 2 ELSE 1 END)) AS copy FROM c JOIN crc USING (k) WHERE h % 20 <> 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[ 	-]+$', '') AS said FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY v, role, text ORDER BY i) AS nth, role[1] AS ini, lag(role[1]) OVER (PARTITION BY v ORDER BY i) AS before FROM o),
+f AS MATERIALIZED (SELECT *, said = '' AS blank, said <> '' AND nth > 1 AS dup, said <> '' AND nth = 1 AND NOT regexp_matches(said, '[.!?]$') AS trunc FROM p),
+nxt(q, q2, r) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+ins(q, k, q2, t) AS (
+  SELECT q, 0, q, CAST([] AS VARCHAR[]) FROM nxt UNION ALL SELECT q, 1, q2, [r || ':'] FROM nxt
+  UNION ALL SELECT a.q, 2, b.q2, [a.r || ':', b.r || ':'] FROM nxt a JOIN nxt b ON a.q2 = b.q),
+w AS (
+  SELECT 0 AS v, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s WHERE false
+  UNION ALL SELECT DISTINCT v, CAST(0 AS BIGINT), 0, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} FROM f),
+walk(v, i, q, s) AS (
+  SELECT v, i, q, s FROM w
+  UNION ALL
+  SELECT v, i, q, min(s) FROM (
+    SELECT k.v, f.i, e.q, {{'c': k.s.c + 2 * ins.k + e.c + CASE WHEN f.trunc AND e.op <> 'D' THEN 1 ELSE 0 END, 'a': k.s.a || repeat('I', ins.k) || e.op,
+                        't': k.s.t || ins.t || CASE e.op WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [f.role || ':' || f.text] ELSE [nxt.r || ':' || f.text] END}} AS s
+    FROM walk k JOIN f ON f.v = k.v AND f.i = k.i + 1 JOIN ins ON ins.q = k.q JOIN nxt ON nxt.q = ins.q2,
+    LATERAL (SELECT 'D' AS op, 3 AS c, ins.q2 AS q UNION ALL SELECT 'R', 2, nxt.q2 WHERE NOT f.blank AND NOT f.dup
+             UNION ALL SELECT 'K', 0, nxt.q2 WHERE NOT f.blank AND NOT f.dup AND f.ini = nxt.r[1]
+             UNION ALL SELECT 'K', 0, 1 WHERE NOT f.blank AND NOT f.dup AND f.ini = 's' AND ins.q2 = 0) e)
+  GROUP BY v, i, q),
+ends AS (
+  SELECT v, min({{'c': s.c + 2 * ins.k, 'a': s.a || repeat('I', ins.k), 't': s.t || ins.t}}) AS s
+  FROM walk JOIN (SELECT v, max(i) AS i FROM f GROUP BY v) USING (v, i) JOIN ins USING (q) WHERE ins.q2 IN (0, 3) GROUP BY v),
+g AS (SELECT v, min(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+             count(*) FILTER (WHERE trunc) AS truncated, count(*) FILTER (WHERE i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY v)
+SELECT x.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(ends.s.c, 0) AS cost, coalesce(ends.s.a, '') AS audit, sha256(coalesce(array_to_string(ends.s.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN g ON x.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN ends ON ends.v = g.v
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY doc_id, run),
+keys AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM runs),{_CRC},
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n
+      FROM runs JOIN crc ON k = coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+one AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+        UNION SELECT c.word, v.word FROM cut c JOIN v ON c.d = v.word UNION SELECT v.word, c.word FROM cut c JOIN v ON c.d = v.word),
+near AS (SELECT one.word, count(*) AS n_near, min({{'less': -v.n, 'form': v.word}}) AS best FROM one JOIN v ON v.word = one.other GROUP BY one.word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * v.n THEN best.form END AS form, CASE WHEN -best.less >= 5 * v.n THEN -best.less END AS form_n
+      FROM v LEFT JOIN near USING (word)),
+way(word, root) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f z ON z.word = way.root WHERE z.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op5_decontamination": OP5_SQL, "op8_stupid_backoff": OP8_SQL, "op10_t_occurrence_join": OP10_SQL}
+    own = {"op5_decontamination": OP5_SQL, "op8_stupid_backoff": OP8_SQL, "op10_t_occurrence_join": OP10_SQL, "op11_line_frequency": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
