@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hub_join
 from ..session import stored
-from .common import appended, batches, fresh, lowered_spaces_table, prepare, sequence_hashes, utf8, with_schema, word_hashes
+from .common import appended, batches, fresh, lowered_spaces_table, prepare, sequence_hashes, utf8, with_schema
 
 #: A line is common if more documents of its host than this have it, and more than COMMON_PERCENT of them.
 COMMON_DOCS, COMMON_PERCENT = 20, 1
@@ -30,11 +30,11 @@ def normal_line(line: bytes) -> bytes:
     return b" ".join(_DIGITS.sub(b"0", line.translate(_LOWER)).split())
 
 
-def repeated_words(words: list[bytes], memo: dict, window: int = WINDOW) -> int:
-    """Words inside windows of so many words that occur twice or more in the text."""
+def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
+    """Words inside windows of so many words that occur twice or more in the text. The process's own 64-bit hashes do, as they stay in one text."""
     if len(words) <= window:
         return 0
-    h = sequence_hashes(word_hashes(words, memo), window)
+    h = sequence_hashes(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), window)
     s = np.sort(h)
     again = s[1:][s[1:] == s[:-1]]
     if not len(again):
@@ -62,7 +62,7 @@ def measure(docs: DataFrame, host: str = "source", text: str = "text", keep: lis
     kinds = {"__lines": pa.list_(pa.int64()), "__line_words": pa.list_(pa.int64())}
 
     def measured(items):
-        number, memo = TaskContext.get().partitionId() << 40, {}
+        number = TaskContext.get().partitionId() << 40
         for batch in batches(items):
             out = {c.split()[0]: [] for c in own.split(", ")}
             for h, t in zip(utf8(batch.column(0)), utf8(batch.column(1)), strict=True):
@@ -79,7 +79,7 @@ def measure(docs: DataFrame, host: str = "source", text: str = "text", keep: lis
                 chars = sum(map(len, words))
                 if not t.isascii():
                     chars -= sum(0x80 <= b < 0xC0 for b in t) if len(t) < 64 else int(np.count_nonzero((np.frombuffer(t, np.uint8) & 0xC0) == 0x80))
-                row = (number, xxhash.xxh3_64_intdigest(h) - (1 << 63), len(words), chars, len(t) - len(t.translate(None, _SYMBOLS)), again, repeated_words(words, memo), list(lines), list(lines.values()))
+                row = (number, xxhash.xxh3_64_intdigest(h) - (1 << 63), len(words), chars, len(t) - len(t.translate(None, _SYMBOLS)), again, repeated_words(words), list(lines), list(lines.values()))
                 for column, value in zip(out.values(), row, strict=True):
                     column.append(value)
                 number += 1
