@@ -2,70 +2,98 @@
 
 from __future__ import annotations
 
-import heapq
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.geo import metric_block
-from ..functions.hashing import RANGE, portable_hash, uniform
+from ..functions.hashing import portable_hash, uniform
+from ..session import checkpointed
 from .components import connected_components
 from .joins import within_radius
+from .skew import hub_join
 
 
 def random_folds(df: DataFrame, k: int, seed: int, key: str = "k") -> DataFrame:
     return df.withColumn("fold", F.pmod(portable_hash(F.col(key), seed), F.lit(k)).cast("int"))
 
 
-#: A group counts as large if it holds this share of a fold or more: so there are at most LARGE_SHARE large ones for each fold.
-LARGE_SHARE = 1000
-#: Groups of one hash bucket on the average.
-BUCKET_GROUPS = 2000
-
+def deal_equal(loads: list[int], size: int, count: int) -> tuple[list[int], list[list[int]], list[int]]:
+    """(starts, orders, loads after) of dealing `count` groups of one size, each to the fold with the least load, the first of equals.
 
-def least_loaded(sizes: list[int], k: int) -> tuple[list[int], list[int]]:
-    """(fold of each size, load of each fold): each in turn goes to the fold with the least load, the first of equals."""
-    heap = [(0, f) for f in range(k)]
-    out, loads = [], [0] * k
-    for n in sizes:
-        load, f = heapq.heappop(heap)
-        out.append(f)
-        loads[f] = load + n
-        heapq.heappush(heap, (load + n, f))
-    return out, loads
+    The loads at which a fold takes a group are its own, and that plus 1, 2, ... times the size; the
+    groups take them in order. In a window as wide as the size every fold whose load is not beyond it
+    takes one, always in the same order, so group number t from starts[i] on goes to
+    orders[i][(t - starts[i]) % len(orders[i])]: at most one run for each fold, whatever the count.
+    """
+    least = min(loads)
+    window = [(x - least) // size for x in loads]
+    starts, orders, t = [], [], 0
+    steps = sorted(set(window))
+    for w, after in zip(steps, [*steps[1:], None], strict=True):
+        order = sorted((f for f in range(len(loads)) if window[f] <= w), key=lambda f: ((loads[f] - least) % size, f))
+        starts.append(t)
+        orders.append(order)
+        if after is None or (t := t + (after - w) * len(order)) >= count:
+            break
+    out = list(loads)
+    for first, last, order in zip(starts, [*starts[1:], count], orders, strict=True):
+        rounds, more = divmod(last - first, len(order))
+        for i, f in enumerate(order):
+            out[f] += size * (rounds + (i < more))
+    return starts, orders, out
+
+
+def numbered_within(df: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    """df with the number from 0 of each row among those of its key, in order, without a task that holds a whole key.
+
+    Rows are dealt by ranges of key and order and checkpointed, as a range's number must not change;
+    each range numbers its own and adds what the ranges before it hold of the key. order decides ties.
+    """
+    dealt = checkpointed(df.repartitionByRange(F.col(key), *order).withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__s"))  # a row for each range and key in it
+    before = F.sum("__s").over(Window.partitionBy(key).orderBy("__p")) - F.col("__s")
+    at = sizes.select(F.col(key).alias("__key"), F.col("__p").alias("__q"), before.alias("__b"))
+    own = F.row_number().over(Window.partitionBy("__p", key).orderBy(*order)) - 1
+    ranked = dealt.withColumn("__w", own)
+    return ranked.join(at, (F.col(key) == F.col("__key")) & (F.col("__p") == F.col("__q"))).withColumn(out, F.col("__w") + F.col("__b")).drop("__p", "__q", "__key", "__w", "__b")
 
 
 def pack_groups(sizes: DataFrame, group: str, k: int, seed: int) -> DataFrame:
-    """(group, fold): groups by size, largest first and equal sizes shuffled, each to the fold with the least load.
+    """(group, fold): groups by size, largest first and equal sizes shuffled, each to the fold with the least load, the first of equals.
 
-    sizes has (group, n), group a number. Only the large groups, of which there can't be many, are
-    dealt one by one; the others, shuffled, fill the folds up to equal loads by their running sums.
+    sizes has (group, n), group a number, n at least 1. Loads differ by the largest size at most.
+    Where a group goes depends on its size and on its place among those of the same size alone
+    (deal_equal), so the driver deals sizes, not groups: n rows have fewer than sqrt(2 n) different
+    sizes. The groups are numbered within their size by ranges, and a size that many groups have is joined
+    where they lie. One rule at every size; empty input gives no rows.
     """
     spark = sizes.sparkSession
-    sizes = sizes.select(group, F.col("n").cast("long").alias("n"), portable_hash(F.col(group), seed).alias("__h"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = F.col("n") * (k * LARGE_SHARE) >= total
-    first = sizes.where(large).orderBy(F.desc("n"), "__h", group).collect()  # k * LARGE_SHARE rows at most
-    dealt, loads = least_loaded([r["n"] for r in first], k)
-    placed = spark.createDataFrame([(r[group], f) for r, f in zip(first, dealt, strict=True)], StructType([sizes.schema[group], StructField("fold", IntegerType())]))
-    count, rest = sizes.where(~large).agg(F.count(F.lit(1)), F.sum("n")).first()
-    if not count:
-        return placed
-    buckets = max(1, min(65_536, count // BUCKET_GROUPS))
-    small = sizes.where(~large).withColumn("__b", F.floor(F.col("__h") * buckets / RANGE))
-    starts = small.groupBy("__b").agg(F.sum("n").alias("__s")).withColumn("__s", F.sum("__s").over(Window.orderBy("__b")) - F.col("__s"))  # a row for each bucket
-    at = small.join(F.broadcast(starts), "__b").withColumn("__at", F.col("__s") + F.sum("n").over(Window.partitionBy("__b").orderBy("__h", group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    wanted = [max(0.0, total / k - x) for x in loads]
-    cuts = [rest * x / sum(wanted) for x in accumulate(wanted)][:-1]
-    fold = sum((F.when(F.col("__at") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return placed.union(at.select(group, fold.cast("int").alias("fold")))
+    sizes = sizes.select(group, F.col("n").cast("long").alias("__size"), portable_hash(F.col(group), seed).alias("__h"))
+    counts = sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("__size")).collect()
+    loads, rows = [0] * k, []
+    for r in counts:
+        starts, orders, loads = deal_equal(loads, r["__size"], r["n"])
+        rows.append((r["__size"], r["n"], starts, orders))
+    dealt = spark.createDataFrame(rows, "__size long, n long, __starts array<long>, __orders array<array<int>>")
+    placed = numbered_within(sizes, "__size", [F.col("__h"), F.col(group)], "__t")
+    joined = hub_join(placed, dealt, "__size", sum(r["n"] for r in counts))
+    run = F.size(F.filter("__starts", lambda x: x <= F.col("__t")))
+    order, start = F.element_at("__orders", run), F.element_at("__starts", run)
+    return joined.select(group, F.element_at(order, (F.pmod(F.col("__t") - start, F.size(order)) + 1).cast("int")).alias("fold"))
+
+
+def both_sides(df: DataFrame, fold: str = "fold") -> DataFrame:
+    """df without the rows of folds whose complement is empty: one fold that has all rows has nothing to train on."""
+    sizes = df.groupBy(fold).agg(F.count(F.lit(1)).alias("__n"))  # a row for each fold
+    all_rows = sizes.agg(F.sum("__n").alias("__all"))
+    usable = sizes.crossJoin(F.broadcast(all_rows)).where("__n < __all").select(fold)
+    return df.join(F.broadcast(usable), fold, "left_semi")
 
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
+    """df with fold: the rows of a group share one, folds are as even as pack_groups() makes them, and one without a row to train on is left out."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return df.join(pack_groups(sizes, group, k, seed), group)
+    return both_sides(df.join(pack_groups(sizes, group, k, seed), group))
 
 
 def place_number(lat: str, lon: str, decimals: int) -> Column:
@@ -96,7 +124,10 @@ def distance_groups(df: DataFrame, link_m: float, decimals: int = 7) -> DataFram
 
 
 def block_folds(df: DataFrame, metres: float, k: int, seed: int) -> DataFrame:
-    return group_folds(_numbered(df, "group", [F.lit(seed), metric_block(F.col("latitude"), F.col("longitude"), metres)]), "group", k, seed)
+    """Rows of one square of a local metric grid share a fold; rows without a place share one as well. metres is 0.02 or more."""
+    at = metric_block(F.col("latitude"), F.col("longitude"), metres)
+    number = (at["bx"] + (1 << 30)) * (1 << 31) + at["by"] + (1 << 30)
+    return group_folds(df.withColumn("group", F.coalesce(number, F.lit(-1).cast("long"))), "group", k, seed)
 
 
 def split3(df: DataFrame, seed: int, key: str = "k") -> DataFrame:

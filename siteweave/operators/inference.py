@@ -60,12 +60,14 @@ def boot_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFra
     return r.withColumn("w", w).where("w > 0").drop("__h")
 
 
-def boot_sums(df: DataFrame, keys: list[str], key: str, sums: dict[str, Column], replicates: int, seed: int) -> DataFrame:
+def boot_sums(df: DataFrame, keys: list[str], key: str, sums: dict[str, Column], replicates: int, seed: int, rows_drawn: str | None = None) -> DataFrame:
     """(keys, rep, n, sums): the weighted sums of boot_weights() in each replicate, added up in the tasks, so that no row is repeated.
 
     A replicate that draws none of a task's rows of a key has zeros from it. Terms are doubles, not null.
+    rows_drawn names a further column, for how many rows a replicate draws at least once.
     """
     names = list(sums)
+    made = ["n", *names, *([rows_drawn] if rows_drawn else [])]
     slim = df.select(*keys, portable_hash(F.col(key), seed).alias("__h"), *[x.cast("double").alias(n) for n, x in sums.items()])
     reps, cuts = np.arange(1, replicates + 1), np.array(CUTS) * RANGE
 
@@ -79,18 +81,20 @@ def boot_sums(df: DataFrame, keys: list[str], key: str, sums: dict[str, Column],
             for i, g in enumerate(who):
                 rows.setdefault(g, []).append(i)
             for g, own in rows.items():
-                total = totals.setdefault(g, np.zeros((len(names) + 1, replicates)))
+                total = totals.setdefault(g, np.zeros((len(made), replicates)))
                 for a in range(0, len(own), step := max(1, DRAWS // replicates)):
                     at = own[a : a + step]
                     w = np.searchsorted(cuts, draw_hashes(h[at], reps).ravel(), "right").reshape(len(at), -1)
-                    total += x[at].T @ w.astype(np.float64)
+                    total[: len(names) + 1] += x[at].T @ w.astype(np.float64)
+                    if rows_drawn:
+                        total[-1] += (w > 0).sum(0)
         for g, total in totals.items():
             own = {k: pa.array([v] * replicates, schema.field(k).type) for k, v in zip(keys, g, strict=True)}
-            yield pa.RecordBatch.from_pydict(own | {"rep": pa.array(reps, pa.int32())} | {n: pa.array(t) for n, t in zip(["n", *names], total, strict=True)})
+            yield pa.RecordBatch.from_pydict(own | {"rep": pa.array(reps, pa.int32())} | {n: pa.array(t) for n, t in zip(made, total, strict=True)})
 
     schema = to_arrow_schema(slim.schema)
-    ddl = ", ".join([*(f"`{k}` {dict(slim.dtypes)[k]}" for k in keys), "rep int", *(f"`{n}` double" for n in ["n", *names])])
-    return slim.mapInArrow(summed, ddl).groupBy(*keys, "rep").agg(*[F.sum(n).alias(n) for n in ["n", *names]])
+    ddl = ", ".join([*(f"`{k}` {dict(slim.dtypes)[k]}" for k in keys), "rep int", *(f"`{n}` double" for n in made)])
+    return slim.mapInArrow(summed, ddl).groupBy(*keys, "rep").agg(*[F.sum(n).alias(n) for n in made])
 
 
 def _group_moments(value: Column, group: Column) -> dict[str, Column]:

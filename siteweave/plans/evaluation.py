@@ -149,12 +149,6 @@ def _(s):
     return folds.random_folds(s, 5, 7).select("sample_id", "fold")
 
 
-@query("V2_location_folds", "f_samples", sql="SELECT CAST(1 AS BIGINT) AS folds_per_place, count(*) AS places FROM (SELECT DISTINCT round(latitude, 6), round(longitude, 6) FROM f_samples)")
-def _(s):
-    at = folds.location_folds(s, 5, 7).groupBy(F.round("latitude", 6).alias("a"), F.round("longitude", 6).alias("b")).agg(F.count_distinct("fold").alias("f"))
-    return at.agg(F.max("f").alias("folds_per_place"), F.count(F.lit(1)).alias("places"))
-
-
 @query("V3_distance_groups", "f_samples", sql=f"WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY la, lo) AS id, la AS lat, lo AS lon, ids FROM (SELECT round(latitude, 7) AS la, round(longitude, 7) AS lo, list(k) AS ids FROM f_samples GROUP BY 1, 2)), e AS (SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON abs(a.lat - b.lat) < 0.001 AND abs(a.lon - b.lon) < 0.002 AND {KM} <= 0.025), r AS (SELECT id AS x, id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x), m AS (SELECT unnest(t.ids) AS k, c.c FROM t JOIN c ON t.id = c.x) SELECT k, min(k) OVER (PARTITION BY c) AS leader FROM m")
 def _(s):
     from pyspark.sql import Window
@@ -162,14 +156,6 @@ def _(s):
     return folds.distance_groups(s, 25.0).select("k", F.min("k").over(Window.partitionBy("group")).alias("leader"))
 
 
-@query("V4_block_folds", "f_samples", sql="SELECT CAST(1 AS BIGINT) AS folds_per_block, count(*) AS blocks FROM (SELECT DISTINCT floor(radians(longitude) * 6371008.8e0 * cos(radians(latitude)) / 50e0), floor(radians(latitude) * 6371008.8e0 / 50e0) FROM f_samples)")
-def _(s):
-    from ..functions.geo import metric_block
-
-    b = folds.block_folds(s, 50.0, 5, 7).groupBy(metric_block(F.col("latitude"), F.col("longitude"), 50.0).alias("b")).agg(F.count_distinct("fold").alias("f"))
-    return b.agg(F.max("f").alias("folds_per_block"), F.count(F.lit(1)).alias("blocks"))
-
-
 def lpt(sizes: str, group: str, k: int, seed: int) -> str:
     """Common table expressions that end in dealt (group, fold), of sizes (group, n): largest first, each to the least loaded fold."""
     zeros, js = ", ".join(["0"] * k), ", ".join(map(str, range(1, k + 1)))
@@ -186,6 +172,22 @@ def _(s):
     return folds.pack_groups(s.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "site", 5, 3)
 
 
+PLACE = "CAST(round((round(latitude, 6) + 90) * 1000000) AS BIGINT) * 4294967296 + CAST(round((round(longitude, 6) + 180) * 1000000) AS BIGINT)"
+
+
+@query("V2_location_folds", "f_samples", sql=f"WITH RECURSIVE p AS (SELECT k, {PLACE} AS place FROM f_samples), g AS (SELECT place, count(*) AS n FROM p GROUP BY place), {lpt('g', 'place', 5, 7)} SELECT k, fold FROM p JOIN dealt USING (place)")
+def _(s):
+    return folds.location_folds(s, 5, 7).select("k", "fold")
+
+
+BLOCK = "CAST(floor(radians(longitude) * 6371008.8e0 * cos(radians(latitude)) / 50e0) + 1073741824 AS BIGINT) * 2147483648 + CAST(floor(radians(latitude) * 6371008.8e0 / 50e0) + 1073741824 AS BIGINT)"
+
+
+@query("V4_block_folds", "f_samples", sql=f"WITH RECURSIVE p AS (SELECT k, {BLOCK} AS block FROM f_samples), g AS (SELECT block, count(*) AS n FROM p GROUP BY block), {lpt('g', 'block', 5, 7)} SELECT k, fold FROM p JOIN dealt USING (block)")
+def _(s):
+    return folds.block_folds(s, 50.0, 5, 7).select("k", "fold")
+
+
 @query("V6_split3", "f_samples", sql=f"SELECT sample_id, CASE WHEN {h('k', 4)} / 4294967296e0 < 0.2 THEN 'test' WHEN {h('k', 4)} / 4294967296e0 < 0.3 THEN 'validation' ELSE 'train' END AS split FROM f_samples")
 def _(s):
     return folds.split3(s, 4).select("sample_id", "split")
@@ -299,7 +301,8 @@ def _(p):
 
 @query("I7_boot_weights", "f_preds", sql=f"SELECT rep, sum(w) AS n, count(*) AS n_rows FROM {drawn('f_preds', 'sample_k', 2000, 9)} WHERE w > 0 GROUP BY rep")
 def _(p):
-    return inference.boot_weights(p.select("sample_k"), "sample_k", 2000, 9).groupBy(F.col("rep").cast("long").alias("rep")).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    got = inference.boot_sums(p.select("sample_k"), [], "sample_k", {}, 2000, 9, rows_drawn="n_rows")
+    return got.select(*[F.col(c).cast("long").alias(c) for c in ("rep", "n", "n_rows")])
 
 
 @query("I6_corr_boot", "f_preds", sql=f"WITH m AS (SELECT config, rep, sum(w) * 1e0 AS n, sum(w * y) AS sx, sum(w * yhat) AS sy, sum(w * y * y) AS xx, sum(w * yhat * yhat) AS yy, sum(w * y * yhat) AS xy FROM {drawn('(SELECT sample_k, config, y, yhat FROM f_preds)', 'sample_k', 2000, 9)} GROUP BY config, rep), r AS (SELECT config, (xy - sx * sy / n) / sqrt((xx - sx * sx / n) * (yy - sy * sy / n)) AS r FROM m), q AS (SELECT config, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM r GROUP BY config) SELECT f.config, round(corr(f.y, f.yhat), 5) AS r, round(any_value(q.lo), 5) AS lo, round(any_value(q.hi), 5) AS hi FROM f_preds f JOIN q USING (config) GROUP BY f.config")

@@ -63,16 +63,56 @@ def test_quantiles_and_ranks_are_exact(spark):
     assert got[9000] is None and got[9001] == got[9002] == 1.5
 
 
-@pytest.mark.parametrize("share", [1000, 1])
-def test_groups_fill_folds_evenly(spark, share, monkeypatch):
-    monkeypatch.setattr(folds, "LARGE_SHARE", share)
-    sizes = {0: 400, **{i: 1 + i % 5 for i in range(1, 700)}}
-    df = spark.createDataFrame(list(sizes.items()), "g long, n long")
-    got = {r["g"]: r["fold"] for r in folds.pack_groups(df, "g", 4, 3).collect()}
-    loads = [sum(sizes[g] for g in got if got[g] == f) for f in range(4)]
-    assert len(got) == len(sizes) and max(loads) - min(loads) <= 6
-    other = {r["g"]: r["fold"] for r in folds.pack_groups(df, "g", 4, 4).collect()}
-    assert sum(other[g] == got[g] for g in got) < 0.5 * len(got)
+SIZES = {
+    "all small": {i: 1 + i % 5 for i in range(700)},
+    "some large": {0: 4000, 1: 900, **{i: 1 + i % 5 for i in range(2, 700)}},
+    "all equal": dict.fromkeys(range(501), 7),
+    "few": {3: 2, 8: 9},
+    "hot size": {i: 1 if i % 50 else i + 1 for i in range(2000)},
+}
+
+
+@pytest.mark.parametrize("sizes", SIZES.values(), ids=SIZES)
+def test_groups_fill_folds_as_one_by_one(spark, sizes):
+    k = 4
+    df = spark.createDataFrame(list(sizes.items()), "g long, n long").repartition(3)
+    got = {r["g"]: r["fold"] for r in folds.pack_groups(df, "g", k, 3).collect()}
+    hashes = {r["g"]: r["h"] for r in df.select("g", portable_hash(F.col("g"), 3).alias("h")).collect()}
+    loads, want = [0] * k, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], hashes[g], g)):
+        f = loads.index(min(loads))
+        want[g] = f
+        loads[f] += sizes[g]
+    assert got == want
+    # No fold that the largest group is not in has more than the least loaded one and the largest of its own.
+    for f in range(k):
+        own = [sizes[g] for g in got if got[g] == f]
+        assert not own or sum(own) - min(own) <= min(loads)
+    if len(sizes) > 100:
+        other = {r["g"]: r["fold"] for r in folds.pack_groups(df, "g", k, 4).collect()}
+        assert sum(other[g] == got[g] for g in got) < 0.6 * len(got)
+
+
+def test_dealing_equal_groups_equals_one_by_one():
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        loads, size, count = [int(x) for x in rng.integers(0, 50, rng.integers(1, 7))], int(rng.integers(1, 13)), int(rng.integers(1, 60))
+        starts, orders, after = folds.deal_equal(loads, size, count)
+        for t in range(count):
+            f = loads.index(min(loads))
+            i = sum(x <= t for x in starts) - 1
+            assert orders[i][(t - starts[i]) % len(orders[i])] == f
+            loads[f] += size
+        assert loads == after and len(starts) <= len(loads)
+
+
+def test_folds_without_a_training_side_are_left_out(spark):
+    one = spark.createDataFrame([(i, 1) for i in range(9)], "k long, g long")
+    assert folds.group_folds(one, "g", 5, 1).count() == 0
+    two = one.withColumn("g", F.col("k") % 2)
+    got = folds.group_folds(two, "g", 5, 1)
+    assert got.count() == 9 and got.select("g", "fold").distinct().count() == 2
+    assert folds.group_folds(one.limit(0), "g", 5, 1).count() == 0
 
 
 def test_first_polygon_keeps_identical_points(spark):
