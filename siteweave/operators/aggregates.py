@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranking
-
-
-def quantiles(value: str, qs: list[float]) -> Column:
-    return F.percentile(value, F.array(*[F.lit(q) for q in qs]))
+from .quantiles import keyed_quantiles, with_quantiles
 
 
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Median, quartiles, count, mean, sample deviation and interquartile range of each group."""
-    q = df.groupBy(key).agg(quantiles(value, [0.25, 0.5, 0.75]).alias("q"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    return q.select(key, F.col("q")[1].alias("median"), F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "n", "mean", "sd", (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    g = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    q = with_quantiles(g, df, [key], value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return q.select(key, "median", "q25", "q75", "n", "mean", "sd", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 def iqr_filter(df: DataFrame, key: str, value: str, k: float = 5.0, drop_unassigned: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,16 +60,17 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
 def regression_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str = "yhat") -> DataFrame:
     """R2, RMSE, MAE, median absolute error and mean error (prediction less observation)."""
     d = F.col(p) - F.col(y)
-    return preds.groupBy(*keys).agg(
+    got = preds.groupBy(*keys).agg(
         (1 - F.try_divide(F.sum(d * d), F.nullif(F.regr_syy(F.col(y), F.col(y)), F.lit(0.0)))).alias("r2"),
-        F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.percentile(F.abs(d), F.lit(0.5)).alias("medae"), F.avg(d).alias("me"), F.count(F.lit(1)).alias("n"),
+        F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("me"), F.count(F.lit(1)).alias("n"),
     )
+    return with_quantiles(got, preds, keys, F.abs(d), {"medae": 0.5})
 
 
 def trimmed_r2(preds: DataFrame, keys: list[str], q: float = 0.98, y: str = "y", p: str = "yhat") -> DataFrame:
     """R2 without the rows whose absolute error exceeds its q-quantile."""
     e = F.abs(F.col(p) - F.col(y))
-    cut = preds.groupBy(*keys).agg(F.percentile(e, F.lit(q)).alias("__cut"))
+    cut = keyed_quantiles(preds, keys, e, [q]).select(*keys, F.col("q")[0].alias("__cut"))
     kept = preds.join(cut, keys).where(e <= F.col("__cut"))
     return regression_metrics(kept, keys, y, p).select(*keys, F.col("r2").alias("r2_trimmed"), F.col("n").alias("n_kept"))
 
@@ -102,10 +101,11 @@ def interval_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str = "
     a, b = F.least(lo, hi), F.greatest(lo, hi)
     w = b - a
     pin = lambda q, v: F.avg(F.greatest(q * (F.col(y) - v), (q - 1) * (F.col(y) - v)))
-    return preds.groupBy(*keys).agg(
-        F.avg(F.col(y).between(a, b).cast("double")).alias("coverage"), F.avg(w).alias("mean_width"), F.percentile(w, F.lit(0.5)).alias("median_width"),
+    got = preds.groupBy(*keys).agg(
+        F.avg(F.col(y).between(a, b).cast("double")).alias("coverage"), F.avg(w).alias("mean_width"),
         F.corr(w, F.abs(F.col(p) - F.col(y))).alias("width_error_corr"), pin(0.05, a).alias("pinball_05"), pin(0.5, F.col(p)).alias("pinball_50"), pin(0.95, b).alias("pinball_95"), F.count(F.lit(1)).alias("n"),
     )
+    return with_quantiles(got, preds, keys, w, {"median_width": 0.5})
 
 
 def interval_by_stratum(preds: DataFrame, p: str = "yhat", least: int = 10) -> DataFrame:
@@ -121,6 +121,70 @@ def flag_outliers(preds: DataFrame, q: float = 0.9, y: str = "y", p: str = "yhat
     return preds.withColumn("outlier", e >= F.lit(cut))
 
 
+def error_summary(preds: DataFrame, keys: list[str], y: str = "y", p: str = "yhat") -> DataFrame:
+    """n, mean, deviation, median and 0.9-quantile of the absolute error, and the mean error in percent of positive observations, of each key."""
+    e = error_table(preds, y, p)
+    g = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("absolute_error").alias("mae"), F.stddev_samp("absolute_error").alias("sd"), F.avg("percent_error").alias("mean_percent"))
+    return with_quantiles(g, e, keys, "absolute_error", {"median": 0.5, "q90": 0.9})
+
+
+def transfer_drop(runs: DataFrame, source: str, target: str, metric: str = "r2") -> DataFrame:
+    """(source, target, metric, drop): the mean metric of each pair of domains, and that less the metric of the target by itself (null without one)."""
+    m = runs.groupBy(F.col(source).alias("source"), F.col(target).alias("target")).agg(F.avg(metric).alias(metric))
+    own = m.where("source = target").select("target", F.col(metric).alias("__own"))
+    return m.join(own, "target", "left").select("source", "target", metric, (F.col(metric) - F.col("__own")).alias("drop"))
+
+
+def cv_verdict(runs: DataFrame, scheme: str, reference: str, metric: str = "r2", share: float = 0.5) -> DataFrame:
+    """One row (worst, max_drop, holds): the least mean metric of the other schemes, how far it is below the reference scheme's, and whether it keeps more than `share` of that."""
+    m = runs.groupBy(F.col(scheme).alias("__s")).agg(F.avg(metric).alias("__m"))
+    base = F.max(F.when(F.col("__s") == reference, F.col("__m")))
+    worst = F.min(F.when(F.col("__s") != reference, F.col("__m")))
+    return m.agg(worst.alias("worst"), base.alias("__b")).select("worst", (F.col("__b") - F.col("worst")).alias("max_drop"), (F.col("worst") > share * F.col("__b")).alias("holds"))
+
+
+def against_targets(measured: DataFrame, targets: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, measured, target, difference) for every metric of which a row of targets has the same keys."""
+    stack = lambda df, out: df.select(*keys, F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", out))
+    return stack(measured, "measured").join(stack(targets, "target"), [*keys, "metric"]).withColumn("difference", F.col("measured") - F.col("target"))
+
+
+def separation_summary(rows: DataFrame, scheme: str, fold: str, distance: str) -> DataFrame:
+    """(scheme, median_km, n_test): the median over folds of each fold's median distance from test to training places. Folds are few."""
+    per = rows.groupBy(scheme, fold).agg(F.count(F.lit(1)).alias("__n"))
+    per = with_quantiles(per, rows, [scheme, fold], distance, {"__m": 0.5})
+    return per.groupBy(scheme).agg(F.percentile("__m", F.lit(0.5)).alias("median_km"), F.sum("__n").alias("n_test"))
+
+
+def twin_share(near: DataFrame, keys: list[str], km: float = 0.02, distance: str = "nn_km") -> DataFrame:
+    """(keys, twin_share): the share of rows whose nearest training place is closer than km; rows without one count as far."""
+    return near.groupBy(*keys).agg(F.avg(F.coalesce(F.col(distance) < km, F.lit(False)).cast("double")).alias("twin_share"))
+
+
+def drift(vectors: DataFrame, key: str, year: str, vector: str, first: int, last: int) -> DataFrame:
+    """One row (n, cosine_mean, cosine_p05, relative_l2_mean): how far the vectors of one year are from those of the same keys in another."""
+    from ..functions.arrays import cosine, relative_l2
+
+    a = vectors.where(F.col(year) == first).select(key, F.col(vector).alias("__a"))
+    b = vectors.where(F.col(year) == last).select(key, F.col(vector).alias("__b"))
+    c = a.join(b, key).select(cosine(F.col("__a"), F.col("__b")).alias("__c"), relative_l2(F.col("__b"), F.col("__a")).alias("__d"))
+    return with_quantiles(c.agg(F.count(F.lit(1)).alias("n"), F.avg("__c").alias("cosine_mean"), F.avg("__d").alias("relative_l2_mean")), c, [], "__c", {"cosine_p05": 0.05})
+
+
+def prediction_stability(preds: DataFrame, key: str, year: str, seed: str, first: int, last: int, p: str = "yhat") -> DataFrame:
+    """(seed, n, r, mad): correlation and mean absolute change of the predictions of the same keys in two years, for each seed."""
+    a = preds.where(F.col(year) == first).select(key, seed, F.col(p).alias("__a"))
+    b = preds.where(F.col(year) == last).select(key, seed, F.col(p).alias("__b"))
+    return a.join(b, [key, seed]).groupBy(seed).agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("r"), F.avg(F.abs(F.col("__b") - F.col("__a"))).alias("mad"))
+
+
+def change_map(pixels: DataFrame, keys: list[str], year: str, value: str, first: int, last: int) -> DataFrame:
+    """(keys, diff): the value of one year less that of an earlier one, where both have the pixel."""
+    a = pixels.where(F.col(year) == first).select(*keys, F.col(value).alias("__a"))
+    b = pixels.where(F.col(year) == last).select(*keys, F.col(value).alias("__b"))
+    return a.join(b, keys).select(*keys, (F.col("__b") - F.col("__a")).alias("diff"))
+
+
 def error_table(preds: DataFrame, y: str = "y", p: str = "yhat") -> DataFrame:
     e = F.abs(F.col(p) - F.col(y))
     return preds.withColumns({"absolute_error": e, "percent_error": F.when(F.col(y) > 0, F.try_divide(100 * e, F.col(y)))})

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import centre_crop
 from ..session import checkpointed
 from . import aggregates, filters, folds, joins, ranking, raster
+from .quantiles import keyed_quantiles
 
 #: The 13 penalties that ridge chooses from, 1e-2 to 1e4.
 ALPHAS = tuple(10 ** (-2 + i / 2) for i in range(13))
@@ -177,7 +178,7 @@ def conformal(calibration: DataFrame, preds: DataFrame, low: float = 0.05, high:
     edges = ranking.quantiles(calibration, "yhat", [0.25, 0.5, 0.75])
     stratum = sum((F.coalesce((F.col("yhat") > F.lit(e)).cast("int"), F.lit(0)) for e in edges), F.lit(0))
     placed = lambda df: df.withColumn("__s", stratum)
-    q = placed(calibration).groupBy("__s").agg(F.percentile(F.col("y") - F.col("yhat"), F.array(F.lit(low), F.lit(high))).alias("__q"))  # four rows
+    q = keyed_quantiles(placed(calibration), ["__s"], F.col("y") - F.col("yhat"), [low, high]).withColumnRenamed("q", "__q")  # four rows
     out = placed(preds).join(F.broadcast(q), "__s", "left")
     return out.withColumns({"lo": F.col("yhat") + F.col("__q")[0], "hi": F.col("yhat") + F.col("__q")[1]}).drop("__s", "__q")
 

@@ -14,11 +14,18 @@ from ..session import checkpointed
 def counted_values(df: DataFrame, value: str, keys: list[str], n: str = "__n", before: str = "__before") -> DataFrame:
     """(keys, value, n, before): how often each value occurs, and how many smaller ones its key has. Nulls take no part.
 
-    Values are counted first, so ties cost nothing; the counts are dealt by ranges of keys and
-    value, and each range adds what the ranges before it hold of the same key, so that no key is
-    sorted by one task. The dealt rows are checkpointed, as a range's number must not change.
+    Values are counted first, so ties cost nothing.
+    """
+    return running_counts(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n)), value, keys, n, before)
+
+
+def running_counts(counts: DataFrame, value: str, keys: list[str], n: str = "__n", before: str = "__before") -> DataFrame:
+    """counts (keys, value, n: one row each) with how many rows its key has at smaller values; a null value is the smallest.
+
+    They are dealt by ranges of keys and value, and each range adds what the ranges before it hold
+    of the same key, so that no key is sorted by one task. The dealt rows are checkpointed, as a
+    range's number must not change.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
     dealt = checkpointed(counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id()))
     sums = dealt.groupBy(*keys, "__p").agg(F.sum(n).alias("__s"))  # a row for each range and key in it
     offset = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__p")) - F.col("__s")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 
 def class_mask(pixels: DataFrame, column: str, classes: list[int], at: list[str]) -> tuple[DataFrame, DataFrame]:
     """(kept pixels, percent masked by the keys at); a missing class is masked."""
@@ -85,8 +87,9 @@ def coverage(pixels: DataFrame, keys: list[str], valid: Column, least: float) ->
 
 
 def map_summary(maps: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return maps.groupBy(*keys).agg(F.avg(value).alias("mean"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n")).select(*keys, "mean", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"), "least", "most", "n")
+    """Mean, quartiles, least, greatest and number of the values of each map."""
+    got = maps.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    return with_quantiles(got, maps, keys, value, {"q25": 0.25, "q75": 0.75})
 
 
 def group_scenes(scenes: DataFrame, by_orbit: bool = False) -> DataFrame:

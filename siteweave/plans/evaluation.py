@@ -85,48 +85,43 @@ def _(p):
     return rounded(ranking.capture_curve(p.withColumn("e", F.col("yhat") - F.col("y")), "yhat", "e"))
 
 
-@query("A25_prediction_stability", "f_preds", sql="WITH b AS (SELECT seed, sample_k, yhat AS a, lo AS c FROM f_preds) SELECT seed, round(corr(a, c), 6) AS r, round(avg(abs(a - c)), 6) AS mad FROM b GROUP BY seed")
+@query("A25_prediction_stability", "f_preds", sql="WITH b AS (SELECT seed, sample_k, yhat AS a, lo AS c FROM f_preds) SELECT seed, count(*) AS n, round(corr(a, c), 6) AS r, round(avg(abs(a - c)), 6) AS mad FROM b GROUP BY seed")
 def _(p):
-    a, b = p.select("seed", "sample_k", F.col("yhat").alias("a")), p.select("seed", "sample_k", F.col("lo").alias("c"))
-    return rounded(a.join(b, ["seed", "sample_k"]).groupBy("seed").agg(F.corr("a", "c").alias("r"), F.avg(F.abs(F.col("a") - F.col("c"))).alias("mad")))
+    years = p.select("seed", "sample_k", F.lit(2017).alias("year"), "yhat").union(p.select("seed", "sample_k", F.lit(2024), "lo"))
+    return rounded(agg.prediction_stability(years, "sample_k", "year", "seed", 2017, 2024))
 
 
 @query("A27_twin_share", "f_samples", sql=f"WITH t AS ({SITES}), n AS (SELECT a.id, min({KM}) AS km FROM t a, t b WHERE a.id % 4 = 0 AND b.id % 4 = 1 GROUP BY a.id) SELECT round(avg(CASE WHEN km < 0.02 THEN 1e0 ELSE 0e0 END), 6) AS twin_share FROM n")
 def _(s):
     t = sites(s)
-    return rounded(joins.nn_distance(t.where("id % 4 = 0"), t.where("id % 4 = 1")).agg(F.avg((F.col("nn_km") < 0.02).cast("double")).alias("twin_share")))
+    return rounded(agg.twin_share(joins.nn_distance(t.where("id % 4 = 0"), t.where("id % 4 = 1")), []))
 
 
-@query("A33_transfer_drop", "f_runs", sql="WITH m AS (SELECT substr(config, 1, 1) AS src, substr(config, 3, 1) AS dst, avg(r2) AS r2 FROM f_runs GROUP BY config) SELECT a.src, a.dst, round(a.r2 - b.r2, 6) + 0e0 AS transfer_drop FROM m a JOIN m b ON a.dst = b.dst AND b.src = 'N'")
+@query("A33_transfer_drop", "f_runs", sql="WITH m AS (SELECT substr(config, 1, 1) AS source, CASE substr(config, 3, 1) WHEN 'F' THEN 'A' ELSE 'N' END AS target, avg(r2) AS r2 FROM f_runs GROUP BY config) SELECT a.source, a.target, round(a.r2, 6) AS r2, round(a.r2 - b.r2, 6) + 0e0 AS \"drop\" FROM m a LEFT JOIN m b ON a.target = b.target AND b.source = b.target")
 def _(r):
-    m = r.groupBy(F.substring("config", 1, 1).alias("src"), F.substring("config", 3, 1).alias("dst")).agg(F.avg("r2").alias("r2"))
-    own = m.where("src = 'N'").select("dst", F.col("r2").alias("own"))
-    return rounded(m.join(own, "dst").select("src", "dst", (F.col("r2") - F.col("own")).alias("transfer_drop")))
+    domains = r.select("r2", F.substring("config", 1, 1).alias("s"), F.when(F.substring("config", 3, 1) == "F", "A").otherwise("N").alias("t"))
+    return rounded(agg.transfer_drop(domains, "s", "t"))
 
 
 @query("A34_cv_verdict", "f_runs", sql="WITH m AS (SELECT config, avg(r2) AS r2 FROM f_runs GROUP BY config), b AS (SELECT r2 AS base FROM m WHERE config = 'A_F') SELECT round(min(r2), 6) AS worst, round(max(base - r2), 6) AS max_drop, min(r2) > 0.5 * max(base) AS holds FROM m, b WHERE config <> 'A_F'")
 def _(r):
-    m = r.groupBy("config").agg(F.avg("r2").alias("r2"))
-    base = m.where("config = 'A_F'").select(F.col("r2").alias("base"))
-    return rounded(m.where("config <> 'A_F'").crossJoin(F.broadcast(base)).agg(F.min("r2").alias("worst"), F.max(F.col("base") - F.col("r2")).alias("max_drop"), (F.min("r2") > 0.5 * F.max("base")).alias("holds")))
+    return rounded(agg.cv_verdict(r, "config", "A_F"))
 
 
-@query("A38_compare_targets", "f_runs", sql="SELECT config, round(avg(r2) - CASE config WHEN 'A_F' THEN 0.512e0 WHEN 'N_O' THEN 0.535e0 END, 6) + 0e0 AS diff FROM f_runs GROUP BY config")
+@query("A38_compare_targets", "f_runs", sql="WITH t(config, metric, target) AS (VALUES ('A_F', 'r2', 0.512e0), ('A_F', 'mae', 29.2e0), ('N_O', 'r2', 0.535e0), ('N_O', 'mae', 29.07e0)), m AS (SELECT config, avg(r2) AS r2, avg(mae) AS mae FROM f_runs GROUP BY config), l AS (SELECT config, 'r2' AS metric, r2 AS measured FROM m UNION ALL SELECT config, 'mae', mae FROM m) SELECT config, metric, round(measured, 6) AS measured, target, round(measured - target, 6) + 0e0 AS difference FROM l JOIN t USING (config, metric)")
 def _(r):
-    targets = F.create_map(F.lit("A_F"), F.lit(0.512), F.lit("N_O"), F.lit(0.535))
-    return rounded(r.groupBy("config").agg(F.avg("r2").alias("m")).select("config", (F.col("m") - F.try_element_at(targets, F.col("config"))).alias("diff")))
+    targets = r.sparkSession.createDataFrame([("A_F", 0.512, 29.2), ("N_O", 0.535, 29.07)], "config string, r2 double, mae double")
+    return rounded(agg.against_targets(r.groupBy("config").agg(F.avg("r2").alias("r2"), F.avg("mae").alias("mae")), targets, ["config"], ["r2", "mae"]))
 
 
 @query("A39_separation_summary", "f_preds", sql="WITH f AS (SELECT config, fold, quantile_cont(hi - lo, 0.5) AS m, count(*) AS n FROM f_preds GROUP BY config, fold) SELECT config, round(quantile_cont(m, 0.5), 6) AS median_km, sum(n) AS n_test FROM f GROUP BY config")
 def _(p):
-    f = p.groupBy("config", "fold").agg(F.percentile(F.col("hi") - F.col("lo"), F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n"))
-    return rounded(f.groupBy("config").agg(F.percentile("m", F.lit(0.5)).alias("median_km"), F.sum("n").alias("n_test")))
+    return rounded(agg.separation_summary(p.withColumn("km", F.col("hi") - F.col("lo")), "config", "fold", "km"))
 
 
-@query("A30_error_summary", "f_preds", sql=f"WITH {FLAGGED} SELECT count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(sum(CASE WHEN outlier THEN abs(yhat - y) ELSE 0e0 END) / sum(abs(yhat - y)), 6) AS outlier_share FROM o")
+@query("A30_error_summary", "f_preds", sql="SELECT config, count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(stddev_samp(abs(yhat - y)), 6) AS sd, round(avg(CASE WHEN y > 0 THEN 100 * abs(yhat - y) / y END), 6) AS mean_percent, round(quantile_cont(abs(yhat - y), 0.5), 6) AS median, round(quantile_cont(abs(yhat - y), 0.9), 6) AS q90 FROM f_preds GROUP BY config")
 def _(p):
-    e = F.abs(F.col("yhat") - F.col("y"))
-    return rounded(agg.flag_outliers(p).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"), (F.sum(F.when(F.col("outlier"), e).otherwise(0.0)) / F.sum(e)).alias("outlier_share")))
+    return rounded(agg.error_summary(p, ["config"]))
 
 
 @query("F2_tile_of", "f_samples", sql="SELECT sample_id, round(floor(longitude * 10) / 10e0 + 0.05e0, 2) AS x, round(floor(latitude * 10) / 10e0 + 0.05e0, 2) AS y FROM f_samples")

@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, spectral
-from ..operators import raster
+from ..functions import spectral
+from ..operators import aggregates, raster
 from .registry import query, rounded
 
 CLASSES = [10, 20, 30, 40, 90, 95, 100]
@@ -157,7 +157,7 @@ DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE
 
 @query("A24_embedding_drift", "embeddings", sql="WITH e AS (SELECT vec_id, embedding AS a, list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) + CASE WHEN i % 2 = 0 THEN 0.01e0 ELSE -0.02e0 END) AS b FROM embeddings), d AS (SELECT vec_id, " + DOT.format(a="a", b="b") + " AS ab, " + DOT.format(a="a", b="a") + " AS aa, " + DOT.format(a="b", b="b") + " AS bb FROM e) SELECT round(avg(ab / sqrt(aa * bb)), 5) AS cosine_mean, round(quantile_cont(ab / sqrt(aa * bb), 0.05), 5) AS cosine_p05, round(avg(sqrt(greatest(aa - 2 * ab + bb, 0)) / (sqrt(aa) + 1e-9)), 4) AS relative_l2_mean, count(*) AS n FROM d")
 def _(e):
-    b = F.transform("embedding", lambda v, i: v.cast("double") + F.when(i % 2 == 1, 0.01).otherwise(-0.02))
-    c = e.select(arrays.cosine(F.col("embedding"), b).alias("c"), arrays.relative_l2(b, F.col("embedding")).alias("d"))
-    out = c.agg(F.avg("c").alias("cosine_mean"), F.percentile("c", F.lit(0.05)).alias("cosine_p05"), F.round(F.avg("d"), 4).alias("relative_l2_mean"), F.count(F.lit(1)).alias("n"))
-    return rounded(out, 5)
+    later = F.transform("embedding", lambda v, i: v.cast("double") + F.when(i % 2 == 1, 0.01).otherwise(-0.02))
+    years = e.select("vec_id", F.lit(2017).alias("year"), F.transform("embedding", lambda v: v.cast("double")).alias("v")).union(e.select("vec_id", F.lit(2024), later))
+    out = aggregates.drift(years, "vec_id", "year", "v", 2017, 2024)
+    return rounded(out.withColumn("relative_l2_mean", F.round("relative_l2_mean", 4)), 5)

@@ -298,8 +298,7 @@ def _(s, f):
 
 @query("J16_change_map", "f_pixels", sql="SELECT a.row_i, a.col_i, b.value - a.value AS diff FROM f_pixels a JOIN f_pixels b USING (row_i, col_i) WHERE a.yr = 2017 AND b.yr = 2024")
 def _(p):
-    a, b = p.where("yr = 2017"), p.where("yr = 2024").select("row_i", "col_i", F.col("value").alias("later"))
-    return a.join(b, ["row_i", "col_i"]).select("row_i", "col_i", (F.col("later") - F.col("value")).alias("diff"))
+    return agg.change_map(p, ["row_i", "col_i"], "yr", "value", 2017, 2024)
 
 
 @query("J17_pair_runs", "f_runs", sql="SELECT o.config, o.run_seed, round(o.r2, 6) + 0e0 AS own, round(r.r2, 6) + 0e0 AS ref FROM f_runs o JOIN f_runs r USING (run_seed) WHERE o.config <> 'A_F' AND r.config = 'A_F' AND (SELECT count(DISTINCT s) FROM (SELECT string_agg(CAST(run_seed AS VARCHAR), ',' ORDER BY run_seed) AS s FROM f_runs GROUP BY config)) = 1")
