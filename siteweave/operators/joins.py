@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km, in_ring
+from ..session import stored
+from . import pyramid
+from .skew import hub_join
 
 
 def assemble_sources(samples: DataFrame, sources: list[DataFrame], key: str = "sample_id") -> DataFrame:
@@ -98,30 +101,49 @@ def within_radius(a: DataFrame, b: DataFrame, km: float, key: str = "id", lat: s
     return left.join(right, ["i", "j"]).withColumn("km", d).where(F.col("km") <= km).select("a", "b", "km")
 
 
-def nn_distance(test: DataFrame, train: DataFrame, key: str = "id", lat: str = "lat", lon: str = "lon", start_km: float = 25.0, growth: float = 4.0) -> DataFrame:
-    """(id, nn_km): each test point's distance to the nearest train point.
+def nn_distance(test: DataFrame, train: DataFrame, key: str = "id", lat: str = "lat", lon: str = "lon", compared: bool = False) -> DataFrame:
+    """(key, nn_km): each test point's distance to the nearest train point, with compared how many places it was compared with.
 
-    The search radius grows until every point has a neighbour within it: what a radius resolves is
-    exact, and only the rest goes on. A radius past half the earth compares what is left with all.
+    Searched in a pyramid of cells, the nearest cell first (pyramid.nearest); points of one place are
+    searched once. Points without a place, and all points if train has none, have no row.
     """
-    from ..session import checkpointed
+    found = pyramid.nearest(test, train, lat, lon)
+    of = found.select(F.struct("lat", "lon").alias("__at"), F.col("w").alias("n"), "nn_km", "compared")
+    return _at_places(test, of, key, lat, lon).select(key, "nn_km", *(["compared"] if compared else []))
 
-    out, left, km = None, test.select(key, lat, lon), start_km
-    train = train.select(key, lat, lon)
-    while True:
-        found = checkpointed(within_radius(left, train, km, key, lat, lon).groupBy(F.col("a").alias(key)).agg(F.min("km").alias("nn_km")))
-        out = found if out is None else out.union(found)
-        left = checkpointed(left.join(found, key, "left_anti"))
-        if km > EARTH_KM * 4 or left.isEmpty():
-            return out
-        km *= growth
+
+def nn_other_group(points: DataFrame, group: str, key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(key, nn_km): each point's distance to the nearest point of another group (a number, as a fold is), in one search for all groups.
+
+    Points without a place or a group, and all points if there is one group, have no row.
+    """
+    some = points.where(F.col(group).isNotNull())
+    found = pyramid.nearest(some, some, lat, lon, group=group)
+    at = some.select(key, F.struct(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(group).cast("long").alias("g")).alias("__at"))
+    values = stored(found.select(F.struct("lat", "lon", "g").alias("__at"), F.col("w").alias("n"), "nn_km"))
+    return hub_join(at, values, "__at", values.agg(F.sum("n")).first()[0] or 0).select(key, "nn_km")
+
+
+def _at_places(points: DataFrame, values: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """(key, values): points with the values of their places, (__at, n: how many points are there, more)."""
+    at = points.select(key, F.struct(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).alias("__at"))
+    values = stored(values)
+    return hub_join(at, values, "__at", values.agg(F.sum("n")).first()[0] or 0).drop("__at")
 
 
 def neighbour_counts(points: DataFrame, radii: list[float], key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(id, n_<km>...): the number of other points within each radius, from one join at the largest."""
-    pairs = within_radius(points, points, max(radii), key, lat, lon).where("a <> b")
-    counts = pairs.groupBy(F.col("a").alias(key)).agg(*[F.count_if(F.col("km") <= r).alias(f"n_{r:g}") for r in radii])
-    return points.select(key).join(counts, key, "left").na.fill(0, [f"n_{r:g}" for r in radii])
+    """(key, n_<km>...): the number of other points within each radius (0 for a point without a place).
+
+    Counted in a pyramid of cells: cells that lie whole inside count at once, and only those on the
+    rim are looked into (pyramid.counts_within).
+    """
+    found = pyramid.counts_within(points, radii, lat, lon)
+    names = {f"r{i}": f"n_{r:g}" for i, r in enumerate(radii)}
+    wide = found.groupBy("lat", "lon").agg(*[F.max(F.when(F.col("km") == r, F.col("n") - 1)).alias(c) for c, r in zip(names, radii, strict=True)])
+    sizes = points.groupBy(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).agg(F.count(F.lit(1)).alias("n"))
+    values = wide.join(sizes, ["lat", "lon"]).select(F.struct("lat", "lon").alias("__at"), "n", *names)
+    counts = _at_places(points, values, key, lat, lon)
+    return points.select(key).join(counts, key, "left").na.fill(0, list(names)).withColumnsRenamed(names)
 
 
 def resolve_by_segment(ids: DataFrame, files: DataFrame, key: str = "sample_id", stem: str = "stem") -> DataFrame:

@@ -213,13 +213,13 @@ def cross_predict(df: DataFrame, model: Callable[[int], object] | str, reducer:
     for fold in sorted(f for f in sizes if f is not None and sizes[f] >= least and total - sizes[f] >= least):
         train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
         got = predict(fit_pipeline(train, model, reducer, k, seed, df if scope == "global" else None), test).drop("features")
-        if with_nn:
-            near = joins.nn_distance(test, train, "k", "latitude", "longitude")
-            got = got.join(near, "k", "left")
         parts.append(got)
     if not parts:
         return df.drop("features").withColumn("yhat", F.lit(None).cast("double")).limit(0)
-    return checkpointed(reduce(DataFrame.unionByName, parts))
+    out = reduce(DataFrame.unionByName, parts)
+    if with_nn:
+        out = out.join(joins.nn_other_group(df, "fold", "k", "latitude", "longitude"), "k", "left")
+    return checkpointed(out)
 
 
 def evaluate_folds(df: DataFrame, schemes: dict[str, Callable[[DataFrame, int, int], DataFrame]], seeds: list[int], model: Callable[[int], object] | str = "boosted", reducer: str = "pca", components: int | None = None, k: int = 5, scope: str = "in_fold", with_nn: bool = True) -> DataFrame:
