@@ -137,9 +137,132 @@ def forest(seed: int, trees: int = 100, depth: int = 10) -> RandomForestRegresso
     return RandomForestRegressor(featuresCol="reduced", labelCol="y", predictionCol="yhat", numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def boosted(seed: int, rounds: int = 1000, step: float = 0.05, depth: int = 4, tolerance: float = 0.0) -> GBTRegressor:
-    """Boosted trees that stop when the validation rows' error no longer falls by more than tolerance."""
-    return GBTRegressor(featuresCol="reduced", labelCol="y", predictionCol="yhat", maxIter=rounds, stepSize=step, maxDepth=depth, subsamplingRate=0.8, seed=seed, validationIndicatorCol="validation", validationTol=tolerance)
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds to keep, whether the rule has stopped): the round of least error before `patience` rounds in a row without a lower one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+class PatientBoosting:
+    """Boosted trees, stopped when the validation rows' squared error has not fallen for `patience` rounds, with the rounds up to the best one.
+
+    Rounds are fitted in stages, each twice as long as the one before; a fit with the same seed begins
+    with the same trees, so every stage repeats the last one and goes on, and the model is cut by
+    fitting the best number of rounds. Without validation rows all rounds are fitted.
+    """
+
+    def __init__(self, seed: int, rounds: int = 1000, step: float = 0.05, depth: int = 4, patience: int = 15, first: int = 32):
+        self.patience, self.rounds, self.first = patience, rounds, first
+        self.of = lambda n: GBTRegressor(featuresCol="reduced", labelCol="y", predictionCol="yhat", maxIter=n, stepSize=step, maxDepth=depth, subsamplingRate=0.8, seed=seed)
+
+    def fit(self, train: DataFrame):
+        rows, shown = checkpointed(train.where(~F.col("validation"))), checkpointed(train.where("validation"))
+        if shown.isEmpty():
+            return self.of(self.rounds).fit(rows)
+        n = min(self.first, self.rounds)
+        while True:
+            model = self.of(n).fit(rows)
+            kept, stopped = best_round(list(model.evaluateEachIteration(shown, "squared")), self.patience)
+            if stopped or n >= self.rounds:
+                return model if kept == n else self.of(kept).fit(rows)
+            n = min(2 * n, self.rounds)
+
+
+def boosted(seed: int, rounds: int = 1000, step: float = 0.05, depth: int = 4, patience: int = 15) -> PatientBoosting:
+    return PatientBoosting(seed, rounds, step, depth, patience)
+
+
+class QuantileRegression:
+    """Linear quantiles of y in `reduced`, by the pinball loss smoothed with a normal kernel.
+
+    The kernel's width falls with the rows (He and others, Smoothed quantile regression with
+    large-scale inference), so the smoothed loss is convex and twice differentiable and Newton's
+    steps find its least value. In each step the tasks add up gradient and curvature of their rows, for
+    all quantiles at once; features squared numbers come back, whatever the rows.
+    """
+
+    def __init__(self, qs: tuple[float, ...] = (0.05, 0.5, 0.95), column: str = "reduced", steps: int = 30, tolerance: float = 1e-6):
+        self.qs, self.column, self.steps, self.tolerance = qs, column, steps, tolerance
+
+    def fit(self, train: DataFrame) -> np.ndarray:
+        """Coefficients, the constant first, a row for each quantile."""
+        rows = checkpointed(train.select(vector_to_array(self.column).alias("x"), F.col("y").cast("double").alias("y")).where("y is not null"))
+        n, mean, sd = rows.agg(F.count("y"), F.avg("y"), F.stddev_pop("y")).first()
+        d = len(rows.first()["x"]) + 1 if n else 0
+        if not n:
+            raise ValueError("no rows to fit")
+        scale = sd or 1.0
+        width = scale * max(0.05, ((math.log(n) + d) / n) ** 0.4)
+        start = np.zeros((len(self.qs), d))
+        start[:, 0] = mean
+        beta = start
+        loss, gradient, curvature = self._sums(rows, beta, width)
+        for _ in range(self.steps):
+            step = np.stack([np.linalg.solve(h + 1e-8 * np.trace(h) / d * np.eye(d) + 1e-12 * np.eye(d), g) for g, h in zip(gradient, curvature, strict=True)])
+            share = np.ones(len(self.qs))
+            for _ in range(12):  # a step is halved until the loss falls
+                tried = beta - share[:, None] * step
+                after = self._sums(rows, tried, width)
+                worse = after[0] > loss + 1e-12 * np.abs(loss)
+                if not worse.any():
+                    break
+                share = np.where(worse, share / 2, share)
+            else:
+                break
+            fell = (loss - after[0]) / np.maximum(np.abs(loss), 1e-12)
+            beta, (loss, gradient, curvature) = tried, after
+            if (fell < self.tolerance).all():
+                break
+        return beta
+
+    def _sums(self, rows: DataFrame, beta: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(losses, gradients, curvatures) of the smoothed pinball loss at beta, of each quantile."""
+        qs, d = np.array(self.qs), beta.shape[1]
+        shape = (len(qs), 1 + d + d * d)
+
+        def summed(parts):
+            total = np.zeros(shape)
+            for p in parts:
+                if not len(p):
+                    continue
+                x = np.column_stack([np.ones(len(p)), np.stack(p["x"].to_numpy())])
+                for i, q in enumerate(qs):
+                    e = (p["y"].to_numpy() - x @ beta[i]) / width
+                    density = np.exp(-0.5 * e * e) / math.sqrt(2 * math.pi)
+                    below = _normal_below(-e)
+                    total[i, 0] += width * (density + e * (q - below)).sum()
+                    total[i, 1 : 1 + d] += x.T @ (below - q)
+                    total[i, 1 + d :] += ((x * (density / width)[:, None]).T @ x).ravel()
+            yield pd.DataFrame({"i": np.repeat(np.arange(shape[0]), shape[1]), "j": np.tile(np.arange(shape[1]), shape[0]), "s": total.ravel()})
+
+        out = np.zeros(shape)
+        for r in rows.mapInPandas(summed, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+            out[r["i"], r["j"]] = r["s"]
+        return out[:, 0], out[:, 1 : 1 + d], out[:, 1 + d :].reshape(-1, d, d)
+
+
+def _normal_below(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, by the error function of Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
+    x = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
+    return np.where(z >= 0, 1 - tail / 2, tail / 2)
+
+
+def fit_quantiles(train: DataFrame, test: DataFrame, qs: tuple[float, float, float] = (0.05, 0.5, 0.95), reducer: str = "pca", k: int | None = None) -> DataFrame:
+    """test with lo, yhat and hi: quantile regressions on the reduced features of train, fitted by the pinball loss; lo and hi change places where they cross."""
+    reduced = REDUCERS[reducer](train, k)
+    beta = QuantileRegression(qs).fit(apply(reduced, train))
+    got = apply(reduced, test)
+    x = vector_to_array("reduced")
+    at = lambda b: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in b[1:]]), lambda u, v: u * v), F.lit(float(b[0])), lambda s, v: s + v)
+    low, middle, high = (at(b) for b in beta)
+    return got.withColumns({"lo": F.least(low, high), "yhat": middle, "hi": F.greatest(low, high)}).drop("reduced")
 
 
 #: Pluggable models: seed -> something with fit(train).

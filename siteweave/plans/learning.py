@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import folds, joins, learn, neighbours
 from ..session import shared_folder
-from ..streaming.scenes import incremental_scenes
+from ..streaming.scenes import incremental_mosaic, incremental_scenes
 from .fixtures import with_views
 from .registry import ORACLES, QUERIES, query, rounded
 
@@ -28,6 +28,11 @@ def small_forest(seed: int):
     return learn.forest(seed, trees=20, depth=6)
 
 
+def quick_boosted(seed: int):
+    """Boosting with patience in larger steps, as 1,000 rounds at 0.05 take minutes."""
+    return learn.boosted(seed, rounds=200, step=0.2)
+
+
 KNN = "WITH d AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d) SELECT vec_id, round(avg(d), 5) AS mean_distance, CAST(count(*) AS INT) AS n_neighbours FROM r WHERE r <= 10 GROUP BY vec_id"
 
 
@@ -82,7 +87,7 @@ def _(s, p):
 
 @query("M6_boosted", "f_samples", "f_patch")
 def _(s, p):
-    return rounded(held_out(frame(s, p), learn.boosted)[0].select("k", "y", "yhat"), 4)
+    return rounded(held_out(frame(s, p), quick_boosted)[0].select("k", "y", "yhat"), 4)
 
 
 @query("M7_ridge", "f_samples", "f_patch")
@@ -93,6 +98,12 @@ def _(s, p):
 CONFORMAL = "WITH c AS (SELECT * FROM f_preds WHERE fold <> 0), e AS (SELECT quantile_cont(yhat, 0.25) AS a, quantile_cont(yhat, 0.5) AS b, quantile_cont(yhat, 0.75) AS c FROM c), s AS (SELECT f.*, CASE WHEN yhat > e.c THEN 3 WHEN yhat > e.b THEN 2 WHEN yhat > e.a THEN 1 ELSE 0 END AS st FROM f_preds f, e), q AS (SELECT st, quantile_cont(y - yhat, 0.05) AS l, quantile_cont(y - yhat, 0.95) AS h FROM s WHERE fold <> 0 GROUP BY st) SELECT sample_k, round(yhat + l, 6) AS lo, round(yhat + h, 6) AS hi FROM s JOIN q USING (st) WHERE fold = 0"
 
 
+@query("M8_quantile_regression", "f_samples", "f_patch")
+def _(s, p):
+    df = frame(s, p)
+    return rounded(learn.fit_quantiles(df.where("k % 5 <> 0"), df.where("k % 5 = 0")).select("k", "y", "lo", "yhat", "hi"), 4)
+
+
 @query("M8_conformal_intervals", "f_preds", sql=CONFORMAL)
 def _(p):
     p = p.select("sample_k", "fold", "y", "yhat")
@@ -134,7 +145,7 @@ def _(s, p):
     df = frame(s, p)
     drift = F.transform("vec", lambda v, i: v.cast("double") * F.lit(0.9) + F.sin(i + F.col("k")) * 0.02)
     years = df.withColumn("year", F.lit(2017)).unionByName(learn.vectors(df, drift).withColumn("year", F.lit(2024)))
-    return rounded(learn.cross_year(years, 2017, learn.boosted, "none"), 4)
+    return rounded(learn.cross_year(years, 2017, quick_boosted, "none"), 4)
 
 
 @query("M14_patch_ablation", "f_samples", "f_patch")
@@ -187,5 +198,19 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental_scenes(spark, sf_dir, columns, folder, "events.parquet")
 
 
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = os.path.join(shared_folder(spark), f"scenes-{uuid.uuid4().hex}")
+    columns = {"day": "CAST(ts AS DATE)", "pixel": "user_id", "priority": "event_id % 3 * 1000000000000 + event_id", "valid": "coalesce(event_type, '') NOT IN ('error', '')", "b2": "2e2 + event_id * 37 % 900", "b8": "9e2 + event_id * 91 % 3100"}
+    picture, cover = incremental_mosaic(spark, sf_dir, columns, folder, ["pixel"], ["b2", "b8"], "events.parquet", least=5.0)
+    return picture.join(cover, "day").select("day", "pixel", "b2", "b8", F.round("percent", 6).alias("percent"))
+
+
+MOSAIC = """WITH o AS (SELECT CAST(ts AS DATE) AS day, user_id AS pixel, event_id % 3 * 1000000000000 + event_id AS priority, coalesce(event_type, '') NOT IN ('error', '') AS valid, 2e2 + event_id * 37 % 900 AS b2, 9e2 + event_id * 91 % 3100 AS b8 FROM events),
+m AS (SELECT day, pixel, coalesce(arg_min(b2, priority) FILTER (WHERE valid), 0e0) AS b2, coalesce(arg_min(b8, priority) FILTER (WHERE valid), 0e0) AS b8, bool_or(valid) AS v FROM o GROUP BY day, pixel),
+c AS (SELECT day, 100 * avg(CASE WHEN v THEN 1e0 ELSE 0e0 END) AS percent FROM m GROUP BY day)
+SELECT day, pixel, b2, b8, round(percent, 6) AS percent FROM m JOIN c USING (day) WHERE percent >= 5"""
+
+QUERIES["X1_incremental_mosaic"] = mosaic
+ORACLES["X1_incremental_mosaic"] = MOSAIC
 QUERIES["X1_incremental_scenes"] = incremental
 ORACLES["X1_incremental_scenes"] = with_views("SELECT CAST(dt AS DATE) AS day, orbit, count(*) AS n, min(cloud) AS clearest FROM f_scenes GROUP BY 1, 2")
