@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +52,110 @@ def polygons(vertices: DataFrame, key: str = "poly_id", carry: list[str] | None
     return edges.groupBy(key, *carry).agg(F.collect_list(edge).alias("edges"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
-def pip_join(points: DataFrame, polys: DataFrame, how: str = "left", x: str = "longitude", y: str = "latitude", cell: float = 5.0, first_only: bool = False) -> DataFrame:
-    """Points with the polygons they lie in. polys as polygons() makes it.
+#: Edges up to which a polygon is taken whole to the few cells that its box meets.
+WHOLE_EDGES = 64
+#: Edges for each cell of a larger polygon, on the average.
+CELL_EDGES = 8
+_BOX = ("edges", "x0", "x1", "y0", "y1")
+_CELLS = "edges array<struct<x1:double,y1:double,x2:double,y2:double>>, steps array<double>, odd boolean"
+
+
+def _row_cells(size: float, row: int, edges: np.ndarray) -> list[tuple]:
+    """(column, edges near, steps, odd) of the cells of one row of cells that a point can be inside in.
+
+    A ray to the right from a point of a cell crosses edges near it as it may, none to the left of the
+    cell, and every edge to the right of it that has the point's height between its ends. The latter is
+    the parity of the ends that are higher than the point, in which ends that two of the edges share
+    cancel: what is left are a few heights (steps), of which those above the row make odd. So a cell
+    has the edges that pass it, and the rule decides exactly as over the whole ring.
+    """
+    low, high = row * size, (row + 1) * size
+    x1, y1, x2, y2 = edges.T
+    at = lambda y: np.clip(x1 + (x2 - x1) * np.clip((y - y1) / (y2 - y1), 0, 1), np.minimum(x1, x2), np.maximum(x1, x2))
+    a, b = at(np.clip(low, np.minimum(y1, y2), np.maximum(y1, y2))), at(np.clip(high, np.minimum(y1, y2), np.maximum(y1, y2)))
+    slack = 1e-9 * (1 + np.abs(a) + np.abs(b))
+    first = np.floor((np.minimum(a, b) - slack) / size).astype(np.int64)
+    last = np.floor((np.maximum(a, b) + slack) / size).astype(np.int64)
+    order = np.argsort(-first, kind="stable")
+    out, right, heights, odd = [], 0, {}, False
+    for column in range(int(last.max()), int(first.min()) - 1, -1):
+        while right < len(order) and first[order[right]] > column:
+            for y in (y1[order[right]], y2[order[right]]):
+                if y >= high:
+                    odd = not odd
+                elif y > low:
+                    heights[y] = not heights.pop(y, False)
+                    if not heights[y]:
+                        del heights[y]
+            right += 1
+        near = np.flatnonzero((first <= column) & (column <= last))
+        if len(near) or heights or odd:
+            out.append((column, [tuple(map(float, edges[i])) for i in near], sorted(heights), odd))
+    return out
+
+
+def polygon_cells(polys: DataFrame) -> DataFrame:
+    """The cells of polygons (as polygons() makes them): their other columns, level, cx, cy, edges, steps and odd.
+
+    A cell of level L is 2^-L degrees wide. A polygon of at most WHOLE_EDGES edges has the cells that
+    its box meets, each with all its edges, at a level where that are few. A larger one has a level
+    by its own density; its edges are dealt by rows of cells, clipped, and each row makes its cells
+    (_row_cells): those with edges, and those inside without any.
+    """
+    names = [c for c in polys.columns if c not in _BOX]
+    n, w, h = F.size("edges"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    span = F.greatest(w, h, F.lit(1e-9))
+    level = lambda size: F.least(F.lit(30), F.greatest(F.lit(-9), F.floor(-F.log2(size)))).cast("int")
+    cell = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level")))
+    small = polys.where(n <= WHOLE_EDGES).withColumn("level", level(span))
+    small = small.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    small = small.select(*names, "level", "cx", "cy", "edges", F.array().cast("array<double>").alias("steps"), F.lit(False).alias("odd"))
+    size = F.greatest(F.sqrt(F.greatest(w, F.lit(1e-9)) * F.greatest(h, F.lit(1e-9)) * CELL_EDGES / n), span / n)
+    large = polys.where(n > WHOLE_EDGES).withColumn("level", level(size) + 1).select(*names, "level", F.explode("edges").alias("e")).select(*names, "level", "e.*").where("y1 <> y2")
+    large = large.withColumns({"__a": F.least("y1", "y2"), "__b": F.greatest("y1", "y2")}).withColumn("cy", F.explode(F.sequence(cell("__a"), cell("__b"))))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in polys.dtypes if c in names), f"level int, cx bigint, cy bigint, {_CELLS}"])
+
+    def row(p: pd.DataFrame) -> pd.DataFrame:
+        head = p.iloc[0]
+        got = _row_cells(2.0 ** -int(head["level"]), int(head["cy"]), p[["x1", "y1", "x2", "y2"]].to_numpy(np.float64))
+        out = pd.DataFrame({"cx": [g[0] for g in got], "edges": [[dict(zip(("x1", "y1", "x2", "y2"), e, strict=True)) for e in g[1]] for g in got], "steps": [g[2] for g in got], "odd": [g[3] for g in got]})
+        return out.assign(**{c: head[c] for c in (*names, "level", "cy")})[[*names, "level", "cx", "cy", "edges", "steps", "odd"]]
+
+    return small.unionByName(large.groupBy(*names, "level", "cy").applyInPandas(row, schema))
+
+
+def pip_join(points: DataFrame, polys: DataFrame, how: str = "left", x: str = "longitude", y: str = "latitude", first_only: bool = False) -> DataFrame:
+    """Points with the polygons they lie in, by the even-odd rule. polys as polygons() makes it.
 
     With first_only the candidates are sought once for each place, and every row of it gets them.
-    Polygons are dealt into the grid cells of their boxes, so candidates come from an equi-join; the
-    even-odd rule then decides. A point in several polygons gives several rows, or with first_only
+    Points meet polygons in cells (polygon_cells), so a point is compared with the edges that pass its
+    own cell and not with whole rings. A point in several polygons gives several rows, or with first_only
     the one with the smallest poly_id; how="left" keeps points in none.
     """
     if first_only:
-        names = [c for c in polys.columns if c not in ("edges", "x0", "x1", "y0", "y1", *points.columns)]
+        names = [c for c in polys.columns if c not in (*_BOX, *points.columns)]
         at = points.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
-        first = pip_join(at, polys, "inner", x, y, cell).groupBy(x, y).agg(F.min_by(F.struct(*names), "poly_id").alias("__first"))
+        first = pip_join(at, polys, "inner", x, y).groupBy(x, y).agg(F.min_by(F.struct(*names), "poly_id").alias("__first"))
         first = first.withColumnsRenamed({x: "__x", y: "__y"})
         return points.join(first, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), how).select(*points.columns, *[F.col(f"__first.{c}").alias(c) for c in names])
-    cells = polys.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
-    cells = cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    placed = points.withColumns({"cx": F.floor(F.col(x) / cell), "cy": F.floor(F.col(y) / cell)})
-    hit = in_ring(F.col(x), F.col(y), F.col("edges"))
-    names = [c for c in polys.columns if c not in ("edges", "x0", "x1", "y0", "y1")]
+    names = [c for c in polys.columns if c not in _BOX]
     extra = [c for c in names if c not in points.columns]
-    cond = (placed["cx"] == cells["cx"]) & (placed["cy"] == cells["cy"]) & hit
-    return placed.join(cells, cond, how).select(*[placed[c] for c in points.columns], *[cells[c] for c in extra])
+    cells = stored(polygon_cells(polys).select(*extra, *[F.col(c).alias(f"__{c}") for c in ("level", "cx", "cy", "edges", "steps", "odd")]))
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # 40 at most
+    if not levels:
+        return points.join(cells.select(*extra), F.lit(False), how) if how == "left" else points.join(cells.select(*extra), F.lit(True), "cross").limit(0)
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    at = F.array(*[F.struct(F.lit(n).alias("l"), F.floor(px * 2.0**n).alias("i"), F.floor(py * 2.0**n).alias("j")) for n in levels])
+    # Points in no polygon are found again by number, which is stored as it must not change.
+    numbered = stored(points.withColumn("__point", F.monotonically_increasing_id())) if how == "left" else points.withColumn("__point", F.lit(0))
+    placed = numbered.withColumn("__at", F.explode(at))
+    above = F.size(F.filter("__steps", lambda s: s > py)) + F.when(F.col("__odd"), 1).otherwise(0)
+    inside = (above + F.when(in_ring(px, py, F.col("__edges")), 1).otherwise(0)) % 2 == 1
+    met = (F.col("__at.l") == F.col("__level")) & (F.col("__at.i") == F.col("__cx")) & (F.col("__at.j") == F.col("__cy")) & inside
+    hits = placed.join(cells, met).select(*points.columns, "__point", *extra)
+    if how != "left":
+        return hits.drop("__point")
+    return numbered.join(hits.select("__point", *extra), "__point", "left").select(*points.columns, *extra)
 
 
 def within_radius(a: DataFrame, b: DataFrame, km: float, key: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
