@@ -106,9 +106,12 @@ def t_occurrence(sets: list[np.ndarray], percent: int, joined, queries: range |
     """
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     lists: dict[int, list[int]] = {}
+    # A shingle of one set alone is in no overlap and needs no list.
+    every, times = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    several = every[times > 1]
     for at, i in enumerate(order):
         s, n = sets[i], len(sets[i])
-        tokens = s.tolist()
+        tokens = s[np.isin(s, several, assume_unique=True)].tolist()
         if queries is None or i in queries:
             own = sorted((x for x in (lists.get(t) for t in tokens) if x), key=len)
             floor = -(-percent * n // 100)  # a smaller set has this share of n at least, and all of it counts
