@@ -210,10 +210,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # One text stands for each class: the row of its smallest key.
     mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
-    offered = stored(mine.mapInArrow(keyed, "k long, c long"))
-    # A key is summed up in the tasks first, and few keys have several classes, so no key gathers in one task.
-    shared = stored(offered.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most"))
-    met = stored(offered.join(shared, "k").where("c <> least").select("c", "least").distinct())
+    # Keys are dealt once: their sums and the join with them read the same exchange. A set has one row for each
+    # of its keys, so a key that many sets share is still a small part of the rows, and they stream past it.
+    dealt = mine.mapInArrow(keyed, "k long, c long").where("k is not null and c is not null").repartition("k")
+    shared = dealt.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most")
+    met = stored(dealt.join(shared, "k").where("c <> least").select("c", "least").distinct())
     groups = stored(connected_components(met, "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c"))
     # A component is searched in parts of about a block at most.
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
