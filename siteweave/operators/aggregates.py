@@ -46,9 +46,17 @@ def soil_features(raw: DataFrame, layered: list[str], key: str = "sample_id") ->
     return wide.withColumns({f"soil_{v}_gradient": F.col(f"soil_{v}_0_5cm") - F.col(f"soil_{v}_5_15cm") for v in layered})
 
 
-def one_hot(df: DataFrame, column: str, prefix: str, vocabulary: list) -> DataFrame:
-    """0/1 columns of a fixed vocabulary; a missing category is 0 in all of them."""
-    return df.withColumns({f"{prefix}{v}": F.coalesce((F.col(column) == F.lit(v)).cast("double"), F.lit(0.0)) for v in vocabulary})
+def one_hot(df: DataFrame, column: str, prefix: str, vocabulary: list, missing: str = "zeros") -> DataFrame:
+    """0/1 columns of a fixed vocabulary.
+
+    A missing category is 0 in all of them ("zeros"), has a column of its own, named -1 ("class", for
+    soil types), or no row ("drop", for land cover). A category out of the vocabulary is 0 in all.
+    """
+    if missing not in ("zeros", "class", "drop"):
+        raise ValueError(missing)
+    out = df.where(F.col(column).isNotNull()) if missing == "drop" else df
+    more = {f"{prefix}-1": F.col(column).isNull().cast("double")} if missing == "class" else {}
+    return out.withColumns({f"{prefix}{v}": F.coalesce((F.col(column) == F.lit(v)).cast("double"), F.lit(0.0)) for v in vocabulary} | more)
 
 
 def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:

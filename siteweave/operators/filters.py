@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,26 @@ def pending(inputs: DataFrame, done: DataFrame, key: str, valid: Column) -> Data
     return inputs.join(done.where(valid).select(key), key, "left_anti")
 
 
+def resume(inputs: DataFrame, path: str, key: str, valid: Column, produce: Callable[[DataFrame], DataFrame], partition: str | None = None) -> DataFrame:
+    """Makes what is missing of a table at path and returns the whole table.
+
+    Inputs that have a valid output there are skipped; produce() makes the rows of the others, which
+    replace the partitions that they fall in and leave the rest (dynamic partition overwrite), so a
+    run that was lost is taken up, and one that is repeated changes nothing. partition is the key, if
+    not given: then no partition is shared by a done and a pending input.
+    """
+    spark = inputs.sparkSession
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        done = None
+    todo = inputs if done is None else pending(inputs, done, key, valid)
+    produce(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition or key).parquet(path)
+    return spark.read.parquet(path)
+
+
 def guard(df: DataFrame, keys: list[str], least: int, distinct: str | None = None, least_distinct: int = 2) -> DataFrame:
     """Keys with rows (and distinct values) enough, with their counts."""
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.count_distinct(distinct).alias("n_distinct")] if distinct else [])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import metric_block
 from ..functions.hashing import portable_hash, uniform
-from ..session import checkpointed
 from .components import connected_components
 from .joins import within_radius
+from .ranking import numbered_within
 from .skew import hub_join
 
 
@@ -43,21 +43,6 @@ def deal_equal(loads: list[int], size: int, count: int) -> tuple[list[int], list
     return starts, orders, out
 
 
-def numbered_within(df: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
-    """df with the number from 0 of each row among those of its key, in order, without a task that holds a whole key.
-
-    Rows are dealt by ranges of key and order and checkpointed, as a range's number must not change;
-    each range numbers its own and adds what the ranges before it hold of the key. order decides ties.
-    """
-    dealt = checkpointed(df.repartitionByRange(F.col(key), *order).withColumn("__p", F.spark_partition_id()))
-    sizes = dealt.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__s"))  # a row for each range and key in it
-    before = F.sum("__s").over(Window.partitionBy(key).orderBy("__p")) - F.col("__s")
-    at = sizes.select(F.col(key).alias("__key"), F.col("__p").alias("__q"), before.alias("__b"))
-    own = F.row_number().over(Window.partitionBy("__p", key).orderBy(*order)) - 1
-    ranked = dealt.withColumn("__w", own)
-    return ranked.join(at, (F.col(key) == F.col("__key")) & (F.col("__p") == F.col("__q"))).withColumn(out, F.col("__w") + F.col("__b")).drop("__p", "__q", "__key", "__w", "__b")
-
-
 def pack_groups(sizes: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """(group, fold): groups by size, largest first and equal sizes shuffled, each to the fold with the least load, the first of equals.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .skew import hub_join
 
 
 def counted_values(df: DataFrame, value: str, keys: list[str], n: str = "__n", before: str = "__before") -> DataFrame:
@@ -41,11 +42,17 @@ def _alike(keys: list[str], and_: Column) -> Column:
 
 
 def with_avg_rank(df: DataFrame, value: str, keys: list[str], out: str, ties: str | None = None) -> DataFrame:
-    """df with the rank of value within keys, equal values sharing their mean rank (nulls have none), and in ties how many share it."""
-    counted = counted_values(df, value, keys)
-    r = counted.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), "__n", "__before")
-    more = [F.col("__n").alias(ties)] if ties else []
-    return df.join(r, _alike(keys, F.col(value) == F.col("__v")), "left").select(*df.columns, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out), *more)
+    """df with the rank of value within keys, equal values sharing their mean rank (nulls have none), and in ties how many share it.
+
+    Rows find the rank of their value by a join; a value that many rows have, as of an indicator, is joined where they lie.
+    """
+    at = F.struct(*[F.col(k) for k in keys], F.col(value)).alias("__at")
+    counted = counted_values(df, value, keys).select(at, F.col("__n").alias("n"), (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out), *([F.col("__n").alias(ties)] if ties else []))
+    counted = checkpointed(counted)
+    columns = [*df.columns, out, *([ties] if ties else [])]
+    ranked = hub_join(df.where(F.col(value).isNotNull()).withColumn("__at", at), counted, "__at", counted.agg(F.sum("n")).first()[0] or 0).select(*columns)
+    none = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.union((none.withColumn(ties, F.lit(None).cast("long")) if ties else none).select(*columns))
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
@@ -64,20 +71,37 @@ def quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
 
 
 def global_rank(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """df with rank (mean of equals) and row (1 to n) over the whole table, without a window over one partition.
+    """df with rank (mean of equals) and row (1 to n) over the whole table; nulls come last, equal values by a hash of the row.
 
-    Rows are dealt by ranges of the column, so equal values stay together; each range ranks its own
-    rows and adds the rows of the ranges before it. The dealt rows are checkpointed, as a range's
-    number must not change between the count and the rank.
+    Neither the table nor equal values are sorted by one task: values are counted and the counts
+    ranked by ranges, rows are numbered within their value by ranges of the hash, and a value that many rows
+    have is joined where they lie.
+    """
+    value = F.struct(F.col(column)).alias("__value")
+    counts = checkpointed(running_counts(df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")), column, []))
+    total, none = counts.agg(F.sum("__n"), F.sum(F.when(F.col(column).isNull(), F.col("__n")))).first()
+    total, none = total or 0, none or 0
+    up = F.col("__before") - none
+    before = F.when(F.col(column).isNull(), total - none).otherwise(total - none - up - F.col("__n") if descending else up)
+    places = counts.select(value, F.col("__n").alias("n"), before.alias("__b"), F.col("__n").alias("__e"))
+    numbered = numbered_within(df.withColumn("__value", value), "__value", [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])], "__t")
+    out = hub_join(numbered, places, "__value", total)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__b") + (F.col("__e") + 1) / 2.0).alias("rank"), (F.col("__b") + F.col("__t") + 1).alias("row"))
+
+
+def numbered_within(df: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    """df with the number from 0 of each row among those of its key, in order, without a task that holds a whole key.
+
+    Rows are dealt by ranges of key and order and checkpointed, as a range's number must not change;
+    each range numbers its own and adds what the ranges before it hold of the key. order decides ties. Null keys are alike.
     """
-    order = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
-    dealt = checkpointed(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
-    sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")  # a row for each partition
-    w = Window.partitionBy("__p").orderBy(order)
-    ranked = dealt.withColumns({"__r": F.rank().over(w), "__i": F.row_number().over(w), "__e": F.count(F.lit(1)).over(Window.partitionBy("__p", column))})
-    out = ranked.join(F.broadcast(before), "__p")
-    return out.withColumns({"rank": F.col("__b") + F.col("__r") + (F.col("__e") - 1) / 2.0, "row": F.col("__b") + F.col("__i")}).select(*df.columns, "rank", "row")
+    dealt = checkpointed(df.repartitionByRange(F.col(key), *order).withColumn("__p", F.spark_partition_id()))
+    sizes = dealt.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__s"))  # a row for each range and key in it
+    before = F.sum("__s").over(Window.partitionBy(key).orderBy("__p")) - F.col("__s")
+    at = sizes.select(F.col(key).alias("__key"), F.col("__p").alias("__q"), before.alias("__b"))
+    own = F.row_number().over(Window.partitionBy("__p", key).orderBy(*order)) - 1
+    ranked = dealt.withColumn("__w", own)
+    return ranked.join(at, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__p") == F.col("__q"))).withColumn(out, F.col("__w") + F.col("__b")).drop("__p", "__q", "__key", "__w", "__b")
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

@@ -86,16 +86,33 @@ def coverage(pixels: DataFrame, keys: list[str], valid: Column, least: float) ->
     return pixels.groupBy(*keys).agg((100 * F.avg(valid.cast("double"))).alias("percent"), F.count(F.lit(1)).alias("n")).where(F.col("percent") >= least)
 
 
+def band_coverage(pixels: DataFrame, keys: list[str], bands: list[str], least: float) -> DataFrame:
+    """(keys, n, <band>_percent, <band>_kept): items of which any band has values above 0 on least percent of the pixels; a band is kept only if its own do. Nulls and NaN are no values."""
+    ok = {b: F.coalesce((F.col(b) > 0) & ~F.isnan(F.col(b).cast("double")) & (F.col(b) < float("inf")), F.lit(False)) for b in bands}
+    got = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[(100 * F.avg(v.cast("double"))).alias(f"{b}_percent") for b, v in ok.items()])
+    return got.withColumns({f"{b}_kept": F.col(f"{b}_percent") >= least for b in bands}).where(F.greatest(*[F.col(f"{b}_percent") for b in bands]) >= least)
+
+
+def covered_bands(bands: DataFrame, quality: DataFrame, date: str, valid: Column, least: float) -> DataFrame:
+    """Rows of bands on the dates whose coverage in quality reaches least.
+
+    quality decides first. If bands is a table partitioned by date, only the partitions of those
+    dates are read (dynamic partition pruning).
+    """
+    return bands.join(coverage(quality, [date], valid, least).select(date), date, "left_semi")
+
+
 def map_summary(maps: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, quartiles, least, greatest and number of the values of each map."""
     got = maps.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
     return with_quantiles(got, maps, keys, value, {"q25": 0.25, "q75": 0.75})
 
 
-def group_scenes(scenes: DataFrame, by_orbit: bool = False) -> DataFrame:
-    """Scenes of each day (and orbit, a missing one as unknown)."""
+def group_scenes(scenes: DataFrame, by_orbit: bool = False, box: tuple[str, str, str, str] | None = None) -> DataFrame:
+    """Scenes of each day (and orbit, a missing one as unknown), with the box around their boxes (west, south, east, north) if the columns are named."""
+    around = [f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), box or (), strict=False)]
     keys = [F.to_date("dt").alias("day")] + ([F.coalesce("orbit", F.lit("unknown")).alias("orbit")] if by_orbit else [])
-    return scenes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"))
+    return scenes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item"), *around)
 
 
 def windows(pixels: DataFrame, size: int, keys: list[str], value: str = "value", complete: bool = True) -> DataFrame:
@@ -168,3 +185,12 @@ def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
     ends = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))])
     scaled = {c: F.try_divide(F.col(c) - F.col(f"__a_{c}"), F.col(f"__b_{c}") - F.col(f"__a_{c}")) for c in columns}
     return df.crossJoin(F.broadcast(ends)).withColumns(scaled).select(*df.columns)  # one row
+
+
+def impute_channels(patches: DataFrame, patch: str, c: int) -> DataFrame:
+    """patches (arrays of cells with c channels each) with null and NaN values as their channel's mean in the patch; 0 in a channel without any."""
+    known = lambda v: v.isNotNull() & ~F.isnan(v.cast("double"))
+    own = lambda k: F.filter(F.filter(patch, lambda v, i: i % c == k), known)
+    mean = lambda k: F.coalesce(F.try_divide(F.aggregate(own(k), F.lit(0.0), lambda s, v: s + v.cast("double")), F.size(own(k))), F.lit(0.0))
+    filled = patches.withColumn("__means", F.transform(F.sequence(F.lit(0), F.lit(c - 1)), mean))
+    return filled.withColumn(patch, F.transform(patch, lambda v, i: F.when(known(v), v.cast("double")).otherwise(F.get("__means", i % c)))).drop("__means")

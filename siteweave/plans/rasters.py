@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import spectral
 from ..operators import aggregates, raster
+from ..session import shared_folder
 from .registry import query, rounded
 
 CLASSES = [10, 20, 30, 40, 90, 95, 100]
@@ -70,6 +73,22 @@ def _(o):
     return rounded(raster.coverage(o, ["obs_date"], spectral.is_clear(F.col("scl")), 60))
 
 
+RADAR = "SELECT obs_date, orbit, count(*) AS n, 100 * avg(CASE WHEN vv > 0 THEN 1e0 ELSE 0e0 END) AS vv_percent, 100 * avg(CASE WHEN vh > 50 THEN 1e0 ELSE 0e0 END) AS vh_percent FROM f_obs GROUP BY obs_date, orbit"
+
+
+@query("A12_radar_coverage", "f_obs", sql=f"WITH g AS ({RADAR}) SELECT obs_date, orbit, n, round(vv_percent, 6) AS vv_percent, round(vh_percent, 6) + 0e0 AS vh_percent, vv_percent >= 80 AS vv_kept, vh_percent >= 80 AS vh_kept FROM g WHERE vv_percent >= 80 OR vh_percent >= 80")
+def _(o):
+    return rounded(raster.band_coverage(o.withColumn("vh", F.when(F.col("vh") > 50, F.col("vh"))), ["obs_date", "orbit"], ["vv", "vh"], 80.0))
+
+
+@query("A12_covered_bands", "f_obs", sql=f"WITH d AS (SELECT obs_date FROM f_obs GROUP BY obs_date HAVING 100 * avg(CASE WHEN {CLEAR} THEN 1e0 ELSE 0e0 END) >= 60) SELECT obs_date, count(*) AS n, round(sum(b4), 6) AS b4 FROM f_obs JOIN d USING (obs_date) GROUP BY obs_date")
+def _(o):
+    path = os.path.join(shared_folder(o.sparkSession), f"bands-{uuid.uuid4().hex}")
+    o.select("pixel", "b4", "obs_date").repartition("obs_date").write.partitionBy("obs_date").parquet(path)
+    covered = raster.covered_bands(o.sparkSession.read.parquet(path), o.select("obs_date", "scl"), "obs_date", spectral.is_clear(F.col("scl")), 60)
+    return rounded(covered.groupBy("obs_date").agg(F.count(F.lit(1)).alias("n"), F.sum("b4").alias("b4")))
+
+
 @query("A13_mosaic_first_nonzero", "f_obs", sql="WITH r AS (SELECT pixel, obs_date, orbit, vv, row_number() OVER (PARTITION BY pixel, obs_date, orbit ORDER BY seq) AS n FROM f_obs WHERE vv <> 0), k AS (SELECT DISTINCT pixel, obs_date, orbit FROM f_obs) SELECT k.pixel, k.obs_date, k.orbit, coalesce(r.vv, 0e0) AS vv FROM k LEFT JOIN r ON k.pixel = r.pixel AND k.obs_date = r.obs_date AND k.orbit = r.orbit AND r.n = 1")
 def _(o):
     return raster.mosaic_first_nonzero(o, ["pixel", "obs_date", "orbit"], "vv", "seq")
@@ -97,6 +116,13 @@ def _(s):
     return raster.group_scenes(s, True)
 
 
+@query("A36_scene_boxes", "f_scenes", sql="SELECT CAST(dt AS DATE) AS day, count(*) AS n, min(item_id) AS first_item, max(item_id) AS last_item, min(item_id % 50) * 1e0 AS west, min(item_id % 31) * 1e0 AS south, max(item_id % 50 + 2) * 1e0 AS east, max(item_id % 31 + 3) * 1e0 AS north FROM f_scenes GROUP BY 1")
+def _(s):
+    at = lambda n, more=0: ((F.col("item_id") % n + more) * 1.0)
+    boxed = s.withColumns({"west": at(50), "south": at(31), "east": at(50, 2), "north": at(31, 3)})
+    return raster.group_scenes(boxed, box=("west", "south", "east", "north"))
+
+
 @query("J12_window_join", "f_pixels", sql="SELECT c.yr, c.row_i, c.col_i, sum(n.value * (3 * (n.row_i - c.row_i + 1) + (n.col_i - c.col_i + 1) + 1)) AS checksum FROM f_pixels c JOIN f_pixels n ON c.yr = n.yr AND abs(n.row_i - c.row_i) <= 1 AND abs(n.col_i - c.col_i) <= 1 GROUP BY c.yr, c.row_i, c.col_i HAVING count(n.value) = 9")
 def _(p):
     w = raster.windows(p, 3, ["yr"])

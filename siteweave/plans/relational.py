@@ -106,25 +106,40 @@ def _(s, p, c):
     return rounded(wide.select("sample_id", *[sum((F.coalesce(F.col(x), F.lit(0.0)) for x in xs), F.lit(0.0)).alias(b) for b, xs in blocks.items()]), 5)
 
 
-@query("S5_scan_registry", "f_registry", sql="SELECT year, lon_i, lat_i FROM f_registry WHERE year = 2023")
+@query("S5_scan_registry", "f_registry", sql="SELECT CAST(year AS INT) AS year, lon_i, lat_i FROM f_registry WHERE year = 2023")
 def _(r):
-    return samples.registry_year(r, 2023)
+    path = scratch(r, "registry")
+    r.write.partitionBy("year").parquet(path)
+    return samples.scan_registry(r.sparkSession, path, 2023).select("year", "lon_i", "lat_i")
 
 
-@query("S6_scan_runs", "f_runs", sql="SELECT 'rf' AS model, config, run_seed, round(r2, 6) + 0e0 AS r2 FROM f_runs WHERE config NOT LIKE 'N%'")
+@query("S6_scan_runs", "f_runs", sql="SELECT CASE WHEN config LIKE 'R%' THEN 'xgboost' ELSE 'rf' END AS model, CASE WHEN config NOT LIKE 'R%' THEN config END AS config, run_seed, round(r2, 6) + 0e0 AS r2 FROM f_runs WHERE config NOT LIKE 'N%'")
 def _(r):
-    named = r.withColumn("dir", F.when(F.col("config").startswith("N"), F.concat(F.lit("old_"), "config")).otherwise(F.concat(F.lit("rf_"), "config", F.lit("_20240101-120000")))).drop("config")
-    return rounded(files.parse_run_names(named, "dir").select("model", "config", "run_seed", "r2"))
+    root = scratch(r, "runs")
+    for config in [x[0] for x in r.select("config").distinct().collect()]:  # a folder for each run
+        name = {"N": f"old_{config}", "R": "xgboost"}.get(config[0], f"rf_{config}_20240101-120000")
+        r.where(F.col("config") == config).select("run_seed", "r2").write.mode("append").option("header", True).csv(f"{root}/{name}/metrics.csv")
+    return rounded(files.scan_runs(r.sparkSession, root, "metrics.csv", "run_seed bigint, r2 double", bare="rf|lightgbm|xgboost").select("model", "config", "run_seed", "r2"))
 
 
 @query("S7_scan_summaries", "f_runs", sql="SELECT config, round(avg(r2), 6) + 0e0 AS r2_mean, CASE WHEN config LIKE 'N%' THEN NULL ELSE round(avg(rmse), 4) + 0e0 END AS rmse_mean FROM f_runs GROUP BY config")
 def _(r):
-    a = r.where("config LIKE 'N%'").groupBy("config").agg(F.avg("r2").alias("r2_mean"))
-    b = r.where("config NOT LIKE 'N%'").groupBy("config").agg(F.avg("r2").alias("r2_mean"), F.round(F.avg("rmse"), 4).alias("rmse_mean"))
-    return rounded(files.combine_summaries([a, b]))
+    root = scratch(r, "summaries")
+    old = r.where("config LIKE 'N%'").groupBy("config").agg(F.avg("r2").alias("r2_mean"))
+    new = r.where("config NOT LIKE 'N%'").groupBy("config").agg(F.avg("r2").alias("r2_mean"), F.round(F.avg("rmse"), 4).alias("rmse_mean"))
+    for name, part in (("old", old), ("new/of_runs", new)):
+        files.export(part, f"{root}/{name}", "json")
+    return rounded(files.scan_summaries(r.sparkSession, root, "config string, r2_mean double, rmse_mean double", lines=True))
 
 
-@query("S8_failed_ids", "documents", sql="SELECT doc_id, CASE WHEN text IS NULL THEN 'unknown' WHEN contains(text, 'the') THEN 'success' ELSE 'failure' END AS status FROM documents")
+@query("S8_failed_ids", "documents", sql="SELECT source AS id, 'failure' AS status FROM documents WHERE text IS NOT NULL GROUP BY source HAVING NOT bool_or(contains(text, 'Étion dans'))")
+def _(d):
+    root = scratch(d, "logs")
+    d.where("text is not null").select("source", "text").write.partitionBy("source").text(root)
+    return files.failed_ids(d.sparkSession, root, "Étion dans", r"source=([^/]+)/")
+
+
+@query("S8_log_status", "documents", sql="SELECT doc_id, CASE WHEN text IS NULL THEN 'unknown' WHEN contains(text, 'the') THEN 'success' ELSE 'failure' END AS status FROM documents")
 def _(d):
     return files.log_status(d, "doc_id", "text", marker="the")
 
@@ -140,6 +155,14 @@ def _(s, p):
     return flt.pending(s.select("sample_id"), p, "sample_id", F.size("vec") == 64)
 
 
+@query("S12_resume", "f_obs", sql="SELECT obs_date, count(*) AS n, round(sum(b8), 6) AS b8 FROM f_obs GROUP BY obs_date")
+def _(o):
+    path, dates = scratch(o, "days"), o.select("obs_date").distinct()
+    made = lambda todo: o.join(todo, "obs_date", "left_semi").groupBy("obs_date").agg(F.count(F.lit(1)).alias("n"), F.sum("b8").alias("b8"))
+    flt.resume(dates.where(F.day("obs_date") % 2 == 0), path, "obs_date", F.col("n") > 0, made)
+    return rounded(flt.resume(dates, path, "obs_date", F.col("n") > 0, made).select("obs_date", "n", "b8"))
+
+
 @query("S13_coverage", "f_samples", "f_patch", "f_soil_raw", "f_landcover", sql="SELECT x.source, count(*) AS n, sum(x.hit) AS covered, round(avg(x.hit), 6) + 0e0 AS share FROM (SELECT 'patch' AS source, CASE WHEN sample_id IN (SELECT sample_id FROM f_patch) THEN 1 ELSE 0 END AS hit FROM f_samples UNION ALL SELECT 'soil', CASE WHEN sample_id IN (SELECT sample_id FROM f_soil_raw) THEN 1 ELSE 0 END FROM f_samples UNION ALL SELECT 'landcover', CASE WHEN sample_id IN (SELECT sample_id FROM f_landcover) THEN 1 ELSE 0 END FROM f_samples) x GROUP BY x.source")
 def _(s, p, soil, lc):
     return rounded(samples.coverage_report(s, {"patch": p, "soil": soil, "landcover": lc}))
@@ -343,6 +366,11 @@ def _(r):
     return rounded(agg.soil_features(r, ["phh2o", "nitrogen"]))
 
 
+@query("A9_one_hot_class", "f_soil_raw", sql="SELECT sample_id, CASE WHEN raw IS NULL THEN 1e0 ELSE 0e0 END AS \"wrb_class_-1\", CASE WHEN raw = 1 THEN 1e0 ELSE 0e0 END AS wrb_class_1, CASE WHEN raw = 2 THEN 1e0 ELSE 0e0 END AS wrb_class_2 FROM f_soil_raw WHERE var = 'wrb'")
+def _(soil):
+    return agg.one_hot(soil.where("var = 'wrb'"), "raw", "wrb_class_", [1, 2], "class").drop("raw", "var", "depth")
+
+
 @query("A9_one_hot", "f_landcover", sql="SELECT sample_id, seq, CASE WHEN land_cover_class = 10 THEN 1e0 ELSE 0e0 END AS wc_class_10, CASE WHEN land_cover_class = 20 THEN 1e0 ELSE 0e0 END AS wc_class_20 FROM f_landcover")
 def _(lc):
     return agg.one_hot(lc, "land_cover_class", "wc_class_", [10, 20]).drop("land_cover_class")

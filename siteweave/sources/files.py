@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from functools import reduce
 
 import numpy as np
@@ -77,10 +78,18 @@ def parse_run_names(runs: DataFrame, column: str) -> DataFrame:
     return runs.where(model != "").withColumns({"model": model, "config": F.regexp_extract(column, RUN_NAME, 2)}).drop(column)
 
 
-def scan_runs(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
-    """The metric files of all run folders under root, with their model and config."""
-    rows = spark.read.option("header", True).schema(schema).csv(f"{root}/*/{file}").withColumn("__dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
-    return parse_run_names(rows, "__dir")
+def scan_runs(spark: SparkSession, root: str, file: str, schema: str, bare: str | None = None) -> DataFrame:
+    """The metric files (or folders of parts) named `file` of all run folders under root, with their model and config.
+
+    Folders of other names are dropped. bare is a pattern of names that are a model's alone, as of a
+    run of the whole feature set; their config is null.
+    """
+    rows = spark.read.option("header", True).schema(schema).csv(f"{root}/*/{file}").withColumn("__dir", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{re.escape(file)}(?:/|$)", 1))
+    runs = parse_run_names(rows, "__dir")
+    if bare is None:
+        return runs
+    alone = rows.where(F.col("__dir").rlike(f"^(?:{bare})$")).select(*[c for c in rows.columns if c != "__dir"], F.col("__dir").alias("model"), F.lit(None).cast("string").alias("config"))
+    return runs.unionByName(alone)
 
 
 def combine_summaries(tables: list[DataFrame], metric: str = "r2_mean") -> DataFrame:
@@ -88,8 +97,9 @@ def combine_summaries(tables: list[DataFrame], metric: str = "r2_mean") -> DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).orderBy(F.desc_nulls_last(metric))
 
 
-def scan_summaries(spark: SparkSession, root: str, schema: str, metric: str = "r2_mean") -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).json(root).orderBy(F.desc_nulls_last(metric))
+def scan_summaries(spark: SparkSession, root: str, schema: str, metric: str = "r2_mean", lines: bool = False) -> DataFrame:
+    """All JSON files under root, at any depth, in one table, best first; a field that a file lacks is null. lines: a summary for each line instead of each file."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", not lines).option("pathGlobFilter", "*.json").json(root).orderBy(F.desc_nulls_last(metric))
 
 
 def log_status(logs: DataFrame, key: str, text: str, marker: str = "Partition complete: succeeded") -> DataFrame:
@@ -97,9 +107,10 @@ def log_status(logs: DataFrame, key: str, text: str, marker: str = "Partition co
     return logs.select(key, F.when(F.col(text).isNull(), "unknown").when(F.col(text).contains(marker), "success").otherwise("failure").alias("status"))
 
 
-def failed_ids(spark: SparkSession, folder: str, marker: str = "Partition complete: succeeded") -> DataFrame:
-    logs = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("id"), F.col("value").alias("text"))
-    return log_status(logs, "id", "text", marker).where("status <> 'success'")
+def failed_ids(spark: SparkSession, folder: str, marker: str = "Partition complete: succeeded", pattern: str = r"([^/]*?)(?:\.[^./]*)?$") -> DataFrame:
+    """(id, status) of the logs under folder none of which has the marker; pattern finds the id in a log's path, by default its name."""
+    logs = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_path", pattern, 1).alias("id"), F.col("value").alias("text"))
+    return log_status(logs, "id", "text", marker).groupBy("id").agg(F.max("status").alias("status")).where("status <> 'success'")  # of success and failure, success is the greater
 
 
 def retry_ids(lines: DataFrame, inputs: DataFrame, pattern: str = r"^s2_(.+)_P[0-9]+$", key: str = "id") -> DataFrame:
