@@ -160,6 +160,22 @@ class Unions:
         self.parent[b] = a
 
 
+#: Classes that a task remembers to offer their keys once.
+SEEN_CLASSES = 1 << 20
+
+
+def _class_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, equal for equal sets."""
+    if not len(s):
+        return 0, 0
+    return int(np.bitwise_xor.reduce((s * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (s >> np.uint64(32))) ^ np.uint64(len(s))), int(np.add.reduce(s * (s | np.uint64(1))))
+
+
+def _class_number(s: np.ndarray, h1: int, h2: int) -> int:
+    """One number of a class, for its keys. Two classes that share one only meet."""
+    return (h1 * 0x9E3779B97F4A7C15 + h2 * 0xC2B2AE3D27D4EB4F + len(s)) & 0xFFFFFFFFFFFFFFFF
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -186,36 +202,42 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         memo: dict = {}
         for batch in batches(items):
             sets = [shingles(x, shingle, memo) for x in utf8(batch.column(1))]
-            names = [int(np.bitwise_xor.reduce((s * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (s >> np.uint64(32))) ^ np.uint64(len(s))) if len(s) else 0 for s in sets]
-            other = [int(np.add.reduce(s * (s | np.uint64(1)))) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": signed(names), "h2": signed(other)})
+            names, other = (list(x) for x in zip(*map(_class_hashes, sets), strict=True))
+            at = [_class_number(s, a, b) for s, a, b in zip(sets, names, other, strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": signed(names), "h2": signed(other), "at": signed(at)})
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    sized = checkpointed(slim.mapInArrow(shingled, "doc_id long, n_shingles long, h1 long, h2 long"))
+    sized = checkpointed(slim.mapInArrow(shingled, "doc_id long, n_shingles long, h1 long, h2 long, at long"))
 
     def keyed(items):
         memo: dict = {}
+        seen: set[int] = set()  # classes whose keys this task has offered; forgetting some costs rows alone
         for batch in batches(items):
             ids, keys = [], []
             for i, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if len(s := shingles(x, shingle, memo)):
-                    keys.append(meeting_keys(s, percent).view(np.int64))
-                    ids.append(np.full(len(keys[-1]), i, np.int64))
+                if i is None or not len(s := shingles(x, shingle, memo)):
+                    continue
+                if (at := _class_number(s, *_class_hashes(s))) in seen:
+                    continue
+                if len(seen) >= SEEN_CLASSES:
+                    seen.clear()
+                seen.add(at)
+                keys.append(meeting_keys(s, percent).view(np.int64))
+                ids.append(np.full(len(keys[-1]), at, np.uint64).view(np.int64))
             if ids:
                 yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(keys)), "c": pa.array(np.concatenate(ids))})
 
     real = sized.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("most")))
-    firsts = classes.groupBy("c").agg(F.max("n_shingles").alias("n_shingles"))
-
-    # One text stands for each class: the row of its smallest key.
-    mine = slim.join(firsts, F.col("doc_id") == F.col("c"), "left_semi")
+    classes = checkpointed(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("most"), F.first("at").alias("at")))
+    # One text stands for each class: the row of its smallest key. A class has one number, so texts need not be moved to meet.
+    numbers = classes.select("at", "c", "n_shingles")
     # Keys are dealt once: their sums and the join with them read the same exchange. A set has one row for each
     # of its keys, so a key that many sets share is still a small part of the rows, and they stream past it.
-    dealt = mine.mapInArrow(keyed, "k long, c long").where("k is not null and c is not null").repartition("k")
+    dealt = slim.mapInArrow(keyed, "k long, c long").where("k is not null and c is not null").repartition("k")
     shared = dealt.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most")
     met = stored(dealt.join(shared, "k").where("c <> least").select("c", "least").distinct())
-    groups = stored(connected_components(met, "c", "least").withColumnsRenamed({"node": "c", "component": "g"}).join(firsts, "c"))
+    found = connected_components(met, "c", "least").withColumnsRenamed({"node": "at", "component": "g"}).join(numbers, "at")
+    groups = stored(found.groupBy("c", "g").agg(F.max("n_shingles").alias("n_shingles")))  # a key with several texts may have several classes
     # A component is searched in parts of about a block at most.
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts"))
