@@ -196,3 +196,20 @@ def test_maps_are_written_once(spark, tmp_path):
     path = str(tmp_path / "maps")
     assert learn.predict_all(pixels.where("yr = 2017"), model, 3, ["yr"], path).count() == 36
     assert learn.predict_all(pixels, model, 3, ["yr"], path).count() == 72
+
+
+def test_frames_are_joined_once_and_runs_measured_together(spark, monkeypatch):
+    from siteweave.operators import aggregates
+    from siteweave.plans.fixtures import view
+    from siteweave.plans.learning import frame
+
+    df = frame(*[view(spark, "/root/testdata/sf0.001", v) for v in ("f_samples", "f_patch")])
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    calls, metrics = [], aggregates.regression_metrics
+    monkeypatch.setattr(aggregates, "regression_metrics", lambda *a: calls.append(a) or metrics(*a))
+    rows = learn.run_grid({"a": df, "b": df}, {"ridge": learn.MODELS["ridge"]}, [1, 2], "none").collect()
+    assert len(calls) == 1 and [(r["config"], r["run_seed"]) for r in rows] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    assert rows[0]["r2"] == pytest.approx(rows[2]["r2"]) and rows[0]["n"] == df.where("true").transform(lambda d: learn.folds.split3(d, 1)).where("split = 'test'").count()
+    fits = []
+    monkeypatch.setitem(learn.REDUCERS, "pca", lambda train, k: fits.append(k) or learn.fit_pca(train, k))
+    assert learn.cross_predict(learn.folds.random_folds(df, 3, 7), "ridge", "pca", 4, 1, "global").count() == df.count() and len(fits) == 1
