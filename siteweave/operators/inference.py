@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.hashing import RANGE, draw_hash, draw_hashes, portable_hash
+from ..functions.hashing import _FACTOR, RANGE, _mixed_number, draw_hash, portable_hash
 from ..functions.stats import p_two_sided, t_crit
 from .ranking import with_avg_rank
 
@@ -46,8 +46,38 @@ def mann_whitney(long: DataFrame, keys: list[str], value: str = "value", group:
 
 #: Distribution of Poisson(1) numbers, up to where a 32-bit hash can't tell more apart.
 CUTS = tuple(accumulate(exp(-1) / factorial(i) for i in range(13)))
-#: Draws that a task makes at a time.
-DRAWS = 1 << 21
+#: Draws that a task makes at a time, few enough for a core's cache.
+DRAWS = 1 << 17
+
+
+class Draws:
+    """boot_weights()' numbers of many hashes at once: draw_hashes() in 32 bits and in place, and a table of the upper 16 bits.
+
+    Where one of CUTS lies among the hashes of an entry, the number is looked up by the whole hash.
+    """
+
+    def __init__(self, replicates: int, most: int):
+        self.cuts = np.ceil(np.array(CUTS) * RANGE).astype(np.int64)
+        edges = np.arange(1 << 16, dtype=np.int64) << 16
+        low, high = (np.searchsorted(self.cuts, e, "right") for e in (edges, edges | 0xFFFF))
+        self.table = np.where(low == high, low, -1).astype(np.float64)
+        self.reps = _mixed_number(np.arange(1, replicates + 1, dtype=np.int64)).astype(np.uint32)
+        self.held = [np.empty((most, replicates), t) for t in (np.uint32, np.uint32, np.intp, np.float64)]
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        """A row for each hash (`most` at most), a column for each replicate; the next call writes over it."""
+        x, y, entry, w = (h[: len(hashes)] for h in self.held)
+        half, factor = np.uint32(16), np.uint32(_FACTOR)
+        np.bitwise_xor(hashes.astype(np.uint32)[:, None], self.reps[None, :], out=x)
+        for _ in range(2):
+            np.bitwise_xor(x, np.right_shift(x, half, out=y), out=x)
+            np.multiply(x, factor, out=x)
+        np.bitwise_xor(x, np.right_shift(x, half, out=y), out=x)
+        entry[:] = y  # the upper half of x
+        np.take(self.table, entry, out=w, mode="clip")
+        at = np.nonzero(w < 0)
+        w[at] = np.searchsorted(self.cuts, x[at].astype(np.int64), "right")
+        return w
 
 
 def boot_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
@@ -69,28 +99,47 @@ def boot_sums(df: DataFrame, keys: list[str], key: str, sums: dict[str, Column],
     names = list(sums)
     made = ["n", *names, *([rows_drawn] if rows_drawn else [])]
     slim = df.select(*keys, portable_hash(F.col(key), seed).alias("__h"), *[x.cast("double").alias(n) for n, x in sums.items()])
-    reps, cuts = np.arange(1, replicates + 1), np.array(CUTS) * RANGE
+    slim = slim.repartition(df.sparkSession.sparkContext.defaultParallelism, "__h")  # the tables are a few files
+    reps = np.arange(1, replicates + 1)
 
     def summed(items):
         totals: dict[tuple, np.ndarray] = {}
+        step = max(1, DRAWS // replicates)
+        drawn = Draws(replicates, step)
         for batch in items:
-            h = batch.column("__h").to_numpy(zero_copy_only=False)
-            x = np.column_stack([np.ones(len(h)), *(batch.column(n).to_numpy(zero_copy_only=False) for n in names)])
-            who = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(h)
-            rows: dict[tuple, list[int]] = {}
-            for i, g in enumerate(who):
-                rows.setdefault(g, []).append(i)
-            for g, own in rows.items():
-                total = totals.setdefault(g, np.zeros((len(made), replicates)))
-                for a in range(0, len(own), step := max(1, DRAWS // replicates)):
-                    at = own[a : a + step]
-                    w = np.searchsorted(cuts, draw_hashes(h[at], reps).ravel(), "right").reshape(len(at), -1)
-                    total[: len(names) + 1] += x[at].T @ w.astype(np.float64)
+            if not batch.num_rows:
+                continue
+            # Rows of one key draw alike: its numbers are drawn once, for whatever groups it is in.
+            hashes, at = np.unique(batch.column("__h").to_numpy(zero_copy_only=False), return_inverse=True)
+            x = np.column_stack([np.ones(len(at)), *(batch.column(n).to_numpy(zero_copy_only=False) for n in names)])
+            who = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(at)
+            number: dict[tuple, int] = {}
+            group = np.fromiter((number.setdefault(g, len(number)) for g in who), np.int64, len(who))
+            first = np.full(len(hashes), len(number))
+            np.minimum.at(first, at, group)
+            order = np.argsort(first, kind="stable")  # so that a group's keys lie together
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            at, hashes = place[at], hashes[order]
+            by_group = np.lexsort((at, group))
+            ends = np.searchsorted(group[by_group], np.arange(len(number) + 1))
+            own = [(g, by_group[ends[i] : ends[i + 1]]) for g, i in number.items()]
+            own = [(totals.setdefault(g, np.zeros((len(made), replicates))), rows, at[rows]) for g, rows in own]
+            for a in range(0, len(hashes), step):
+                w = drawn.weights(hashes[a : a + step])
+                for total, rows, places in own:
+                    i, j = np.searchsorted(places, (a, a + step))
+                    if i == j:
+                        continue
+                    low, high = places[i] - a, places[j - 1] - a + 1
+                    part = np.zeros((high - low, x.shape[1]))
+                    np.add.at(part, places[i:j] - a - low, x[rows[i:j]])
+                    total[: len(names) + 1] += part.T @ w[low:high]
                     if rows_drawn:
-                        total[-1] += (w > 0).sum(0)
+                        total[-1] += part[:, 0] @ (w[low:high] > 0)
         for g, total in totals.items():
-            own = {k: pa.array([v] * replicates, schema.field(k).type) for k, v in zip(keys, g, strict=True)}
-            yield pa.RecordBatch.from_pydict(own | {"rep": pa.array(reps, pa.int32())} | {n: pa.array(t) for n, t in zip(made, total, strict=True)})
+            own_keys = {k: pa.array([v] * replicates, schema.field(k).type) for k, v in zip(keys, g, strict=True)}
+            yield pa.RecordBatch.from_pydict(own_keys | {"rep": pa.array(reps, pa.int32())} | {n: pa.array(t) for n, t in zip(made, total, strict=True)})
 
     schema = to_arrow_schema(slim.schema)
     ddl = ", ".join([*(f"`{k}` {dict(slim.dtypes)[k]}" for k in keys), "rep int", *(f"`{n}` double" for n in made)])

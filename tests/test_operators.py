@@ -149,3 +149,33 @@ def test_caches_and_exports(spark, tmp_path):
         assert len(list((tmp_path / kind).glob("part-*"))) == (n or 3)
         read = spark.read.option("header", True).csv(str(tmp_path / kind)) if kind == "csv" else spark.read.json(str(tmp_path / kind))
         assert sorted(int(r["id"]) for r in read.collect()) == list(range(10))
+
+
+def test_draws_equal_the_hash_in_sql_terms_and_keys_in_several_groups(spark):
+    from siteweave.functions.hashing import RANGE, draw_hashes
+    from siteweave.operators import inference
+
+    cuts = np.array(inference.CUTS) * RANGE
+    edges = np.array([int(c) + i for c in cuts[:9] for i in (-1, 0, 1)])
+    hashes = np.concatenate([np.random.default_rng(3).integers(0, RANGE, 300), edges[edges < RANGE]])
+    want = np.searchsorted(cuts, draw_hashes(hashes, np.arange(1, 501)).ravel(), "right").reshape(-1, 500)
+    assert (inference.Draws(500, len(hashes)).weights(hashes) == want).all()
+    rows = spark.range(300).selectExpr("id AS k", "id % 7 * 1.5 AS v", "explode(array('a', 'b', if(id % 3 = 0, 'c', 'b'))) AS g").coalesce(1)
+    got = inference.boot_sums(rows, ["g"], "k", {"s": F.col("v")}, 40, 5, rows_drawn="d")
+    plain = inference.boot_weights(rows, "k", 40, 5).groupBy("g", "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.count(F.lit(1)).alias("d"))
+    seen = lambda df: {(r["g"], r["rep"]): (r["n"], round(float(r["s"]), 6), r["d"]) for r in df.where("n > 0").collect()}
+    assert seen(got) == seen(plain)
+    assert "Exchange" in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1]  # one file's rows go to all cores
+
+
+def test_a_domain_is_split_by_ranges(spark):
+    from siteweave.operators import folds
+
+    rows = spark.range(400).selectExpr("id AS k", "if(id % 11 = 0, null, if(id < 300, 'a', 'b')) AS d")
+    got = folds.split_within(rows, "d", 3)
+    assert "row_number() windowspecdefinition(d#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in rows.withColumn("h", folds.portable_hash(F.col("k"), 3)).collect():
+        want.setdefault(r["d"], []).append((r["h"], r["k"]))
+    tests = {k for v in want.values() for _, k in sorted(v)[: int(0.2 * len(v) + 0.5)]}
+    assert {r["k"] for r in got.where("split = 'test'").collect()} == tests and got.count() == 400
