@@ -42,9 +42,9 @@ def apply(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("__") and c not in had])
 
 
-def fit_scaler(train: DataFrame, column: str = "features", out: str = "scaled") -> PipelineModel:
-    """Mean 0 and population deviation 1 on the training rows; a constant feature becomes 0."""
-    n = train.count()
+def fit_scaler(train: DataFrame, column: str = "features", out: str = "scaled", n: int | None = None) -> PipelineModel:
+    """Mean 0 and population deviation 1 on the training rows (n, if they are counted); a constant feature becomes 0."""
+    n = train.count() if n is None else n
     scaler = StandardScaler(inputCol=column, outputCol=f"__{out}", withMean=True, withStd=True).fit(train)
     stretch = Vectors.dense([math.sqrt(n / max(n - 1, 1))] * scaler.mean.size)
     return PipelineModel([scaler, ElementwiseProduct(scalingVec=stretch, inputCol=f"__{out}", outputCol=out)])
@@ -58,9 +58,10 @@ def component_count(wanted: int | None, d: int, n: int) -> int:
 
 def fit_pca(train: DataFrame, k: int | None = None, column: str = "features", out: str = "reduced") -> PipelineModel:
     """Principal components of the standardised features; the loading of largest size is positive in each."""
-    scaler = fit_scaler(train, column, "__z")
+    n = train.count()
+    scaler = fit_scaler(train, column, "__z", n)
     scaled = scaler.transform(train)
-    pca = PCA(k=component_count(k, scaler.stages[0].mean.size, train.count()), inputCol="__z", outputCol="__pc").fit(scaled)
+    pca = PCA(k=component_count(k, scaler.stages[0].mean.size, n), inputCol="__z", outputCol="__pc").fit(scaled)
     loads = pca.pc.toArray()
     signs = np.sign(loads[np.abs(loads).argmax(axis=0), np.arange(loads.shape[1])])
     flip = ElementwiseProduct(scalingVec=Vectors.dense(np.where(signs == 0, 1.0, signs)), inputCol="__pc", outputCol=out)

@@ -19,13 +19,13 @@ from .registry import ORACLES, QUERIES, query, rounded
 def frame(s: DataFrame, p: DataFrame) -> DataFrame:
     """Samples with their vectors and a target that depends on two components, with noise from a hash.
 
-    Fits read it many times, so it is joined once. Both sides are dealt by key: the tables are a few
+    Fits read it many times, so it is joined, and its vectors made, once. Both sides are dealt by key: the tables are a few
     files, which one task would join and every pass would read again.
     """
     noise = (F.pmod(F.xxhash64("k"), F.lit(1000)) / 1000 - 0.5) * 8
     y = 100 + 60 * F.col("vec")[0].cast("double") - 40 * F.col("vec")[1].cast("double") + noise
     rows = s.join(p.hint("merge"), "sample_id").select("k", "sample_id", "latitude", "longitude", "continent", "biome_name", "vec", y.alias("y"))
-    return learn.vectors(checkpointed(rows), "vec")
+    return checkpointed(learn.vectors(rows, "vec"))
 
 
 def small_forest(seed: int):
