@@ -57,3 +57,26 @@ def test_patch_files_and_samples(spark, tmp_path):
     assert [r["rarefied"] for r in samples.load_samples(spark, [str(csv)]).collect()] == [4.0]
     files.write_bundle(str(tmp_path / "out"), "x", {"t": kept.select("sample_id")})
     assert [(r["bundle"], r["table"]) for r in files.list_bundles(spark, str(tmp_path / "out")).collect()] == [("x", "t")]
+
+
+def test_components_of_chains_and_hubs_in_few_jobs(spark):
+    """A chain, a star whose centre is its largest node and one whose centre is its smallest, with held nodes few; each round's plan holds no other."""
+    import random
+
+    from siteweave.operators import components
+
+    chain = [(i, i + 1) for i in range(1, 400)]
+    top = [(9000, i) for i in range(1000, 3000)]
+    low = [(10000, i) for i in range(10001, 11000)] + [(10000, 9000)]
+    edges = chain + top + low + [(5, 5), (None, 3), (2, 1)]
+    random.Random(4).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    small = components.contracted(df.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v"), 16)
+    for given, x, y in ((df, "a", "b"), (small, "u", "v")):
+        found = connected_components(given, x, y)
+        got = {r["node"]: r["component"] for r in found.collect()}
+        want = {i: 1 for i in range(1, 401)} | {i: 1000 for i in [*range(1000, 3000), 9000, *range(10000, 11000)]}
+        assert got == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # the labels are read as they are stored
+    assert max(components.contracted(df.selectExpr("a AS u", "b AS v").where("u > v")).groupBy("u").count().toPandas()["count"]) <= 5
