@@ -9,6 +9,7 @@ from functools import cache
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,6 +177,31 @@ def _class_number(s: np.ndarray, h1: int, h2: int) -> int:
     return (h1 * 0x9E3779B97F4A7C15 + h2 * 0xC2B2AE3D27D4EB4F + len(s)) & 0xFFFFFFFFFFFFFFFF
 
 
+#: Bits of the sieve of document ids; more ids only let more texts through.
+SIEVE_BITS = 1 << 25
+
+
+def sieved(rows: DataFrame, ids: DataFrame, key: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """rows without most of those whose key is none of ids (a column of the same name): a Bloom filter of so many bits at most, whatever the corpus.
+
+    A join with ids must follow; it then deals out few rows that find nothing.
+    """
+    places = lambda: [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(2)]
+    words = ids.select(F.explode(F.array(*places())).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("b")).toPandas()
+    table = np.zeros(-(-bits // 64), np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.ones(len(a), bool)
+        for p in (a.to_numpy(), b.to_numpy()):
+            out &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(out)
+
+    return rows.where(held(*places()))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -259,7 +285,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             out.append((labels[i], labels[j]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    block = slim.join(placed, F.col("doc_id") == F.col("c")).select("g", "p", "q", "c", "part", "t")
+    # Few texts are in a group, so the others are not dealt out to meet their places.
+    block = sieved(slim, groups.select(F.col("c").alias("doc_id")), "doc_id").join(placed, F.col("doc_id") == F.col("c")).select("g", "p", "q", "c", "part", "t")
     links = block.groupBy("g", "p", "q").applyInArrow(searched, "a long, b long")
     # The classes of each key; a key whose rows have several texts links their classes.
     copies = classes.where("most <> c").join(real, ["n_shingles", "h1", "h2"]).select("doc_id", "c")
