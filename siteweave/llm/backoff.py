@@ -111,43 +111,53 @@ def _own_scores(docs: DataFrame, key: str, text: str, order: int) -> DataFrame:
     """Scores of the corpus itself, which has each of its n-grams, so that nothing backs off.
 
     Then the score of a document is a sum of log counts: plus one for each n-gram that scores a word,
-    less one for each that is the context of one. Each order is summed on its own, and an n-gram that
-    occurs once in the corpus adds log 1, so only the counts from 2 on are kept and joined.
+    less one for each that is the context of one. Both cancel at the start of a text, so that below the two
+    highest orders only texts of so few words have any. The n-grams of the two highest orders are dealt
+    out once each, with their documents, and counted where they meet; one that occurs once in the
+    corpus adds log 1, so only the counts from 2 on are joined.
     """
     kind = dict(docs.dtypes)[key]
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
 
     def lengths(items):
-        memo: dict = {}
         for batch in batches(items):
-            n = np.bincount(word_array(batch.column(1), memo)[1], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(n.astype(np.int64))})
+            trimmed = pc.ascii_trim_whitespace(pc.fill_null(batch.column(1), ""))
+            n = pc.list_value_length(pc.ascii_split_whitespace(trimmed)).cast(pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pc.if_else(pc.equal(trimmed, ""), pa.scalar(0, pa.int64()), n)})
 
     words = stored(slim.mapInArrow(lengths, f"doc_id {kind}, n_words long"))
-    total = words.agg(F.sum("n_words")).first()[0] or 0
-    start = F.when(F.col("n_words") > 0, F.lit(-float(np.log(max(total, 1))))).otherwise(0.0)
+    total, short = words.agg(F.sum("n_words"), F.max(F.col("n_words").between(1, order - 2))).first()
+    # Words without a context are scored by the length of the corpus: the first of a text, or all if the order is 1.
+    start = F.lit(-float(np.log(max(total or 0, 1)))) * (F.col("n_words") if order == 1 else F.least("n_words", F.lit(1)))
     parts = [words.select("doc_id", "n_words", start.alias("s"))]
 
-    def rows(first_order: int, last_order: int) -> DataFrame:
+    def summed(joined: DataFrame) -> DataFrame:
+        """Stored before the next part, so that its exchanges need not be kept."""
+        return stored(joined.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.col("n") * F.log("c")).alias("s")))
+
+    def rows(low: int, high: int, every: bool) -> DataFrame:
         def run(items):
-            """(document, n-gram, whether its log count is added or taken off), in the order of documents, which an exchange packs best."""
+            """(document, n-gram, whether its log count is added or taken off), in the order of documents, which an exchange packs best; with n-grams of neither kind, if every."""
             memo: dict = {}
             for batch in batches(items):
-                doc, place, after, hashes = ending(batch.column(1), first_order, last_order, memo)
+                doc, place, after, hashes = ending(batch.column(1), low, high, memo)
                 for k, h in hashes.items():
                     scores = np.minimum(order, place + 1) == k
                     context = (after > 0) & (np.minimum(order - 1, place + 1) == k)
-                    sign = scores.astype(np.int64) - context
-                    at = np.flatnonzero(sign)
+                    sign = scores.astype(np.int8) - context
+                    at = np.flatnonzero(place >= k - 1 if every else sign)
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(doc[at], pa.int64())), "gram": _signed(h[at]), "n": pa.array(sign[at])})
 
-        return slim.mapInArrow(run, f"doc_id {kind}, gram long, n long")
+        return slim.mapInArrow(run, f"doc_id {kind}, gram long, n byte")
 
-    # Almost all rows are of the two highest orders. Each part is stored before the next, so that its exchanges need not be kept.
-    for low, high in ((1, order - 1), (order, order)):
-        often = stored(gram_counts(docs, low, high, text).where("c > 1"))
-        joined = rows(low, high).join(often.hint("shuffle_hash"), "gram")
-        parts.append(stored(joined.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.sum(F.col("n") * F.log("c")).alias("s"))))
+    if short:
+        often = gram_counts(docs, 1, order - 2, text).where("c > 1")
+        parts.append(summed(rows(1, order - 2, False).join(often.hint("shuffle_hash"), "gram")))
+    for k in range(max(order - 1, 1), order + 1):
+        dealt = rows(k, k, True).repartition("gram")
+        # The count reads all columns, or they would be cut from its side and the exchange made twice.
+        often = dealt.groupBy("gram").agg(F.sum(F.expr("1 + 0 * (n + int(isnull(doc_id)))")).alias("c")).where("c > 1")
+        parts.append(summed(dealt.join(often.hint("shuffle_hash"), "gram")))
     return reduce(lambda a, b: a.union(b), parts).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
 
 

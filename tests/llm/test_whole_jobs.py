@@ -205,3 +205,26 @@ def test_sieve_keeps_every_row_that_the_join_finds(spark):
         got = [r["doc_id"] for r in set_join.sieved(rows, ids, "doc_id", bits).collect()]
         assert wanted <= set(got) and len(got) == len(set(got)) <= most
     assert set_join.sieved(rows, ids.limit(0), "doc_id").count() == 0
+
+
+def test_own_scores_deal_each_order_once(spark, monkeypatch):
+    """Each order was dealt out for its counts and again for its documents; one exchange serves both now, with texts too short for it scored all the same."""
+    texts = [(1, "a b c d a b c"), (2, " a  b "), (3, "a"), (4, ""), (5, None), (6, "b b b b"), (None, "a b c"), (1, "\tc\n"), (7, "c a")]
+    plans = []
+    kept = backoff.stored
+
+    def told(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(backoff, "stored", told)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for order in (1, 2, 3, 4):
+        own = {r["doc_id"]: r for r in backoff.score(df, order=order).collect()}
+        other = {r["doc_id"]: r for r in backoff.score(df, df.select("*"), order=order).collect()}
+        assert own.keys() == other.keys()
+        for i, r in own.items():
+            assert r["n_words"] == other[i]["n_words"] and abs(r["log_score"] - other[i]["log_score"]) < 1e-9
+        # No n-gram of 4 words occurs twice here, so nothing is joined.
+        assert order == 4 or "ReusedExchange" in plans[-1].split("Initial Plan")[0]
