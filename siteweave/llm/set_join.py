@@ -11,7 +11,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -19,6 +19,9 @@ from ..operators.skew import hub_join
 from ..session import checkpointed, stored
 from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
 
+#: A mark of a key is (3 * its class + its kind + 3) times this, plus the keys of its kind that its set may leave out.
+MARK_SPARE = 1 << 20
+
 #: Sets and shingles of one block; a larger group is searched block against block.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 
@@ -58,8 +61,15 @@ def mixed(x: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which any two different sets that link share one, whatever their sizes.
+@cache
+def more_of_prefix(c: int, percent: int) -> int:
+    """By how much prefixes in class c are longer than a link needs, so that two sets that link share one more shingle than this in them; every link's overlap is larger."""
+    least = largest_of(c - 1, percent) + 1
+    return max(0, min(1 + segments(c, percent)[0] // 4, -(-percent * least // 100) - 1))
+
+
+def marked_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which any two different sets that link share one, whatever their sizes, and the mark of each.
 
     A set offers keys to its own size class and to the one below, in which it meets smaller sets. For
     a class, the shingles are dealt by hash into so many segments that two sets that link agree in
@@ -68,8 +78,18 @@ def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
     links in a larger one. Empty segments say nothing: a set with more than spare of them offers the
     shingles of its prefix too (its first by hash, of which two sets that link share one); so do all
     sets where segments would hold hardly anything.
+
+    A mark holds the class, the kind of key and how many keys of that kind the set may leave out if
+    all sets leave out the first in one order: of the segments in which two sets that link agree, more
+    than spare, either can only miss the first spare, so both keep the last. Empty segments come first
+    in that order, those of one shingle next, and within them the most frequent keys.
     """
-    own, out = size_class(len(s), percent), []
+    own, out, marks = size_class(len(s), percent), [], []
+
+    def offer(keys: np.ndarray, c: int, kind: int, most: int):
+        out.append(keys)
+        marks.append(np.full(len(keys), (c * 3 + kind + 3) * MARK_SPARE + most, np.int64))
+
     for c in (own, own - 1):
         most, m, spare = segments(c, percent)
         if not most:
@@ -80,15 +100,24 @@ def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
             at = ((h >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             held, sums = np.bincount(at, minlength=m), np.zeros(m, np.uint64)
             np.add.at(sums, at, h * (h | np.uint64(1)))
-            full = np.flatnonzero(held > 1)
-            if m - len(full) > spare:
-                full = np.flatnonzero(held)
-            out.append(mixed(sums[full] + full.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019), 2 * c + 8))
-            few = m - len(full) > spare
+            keys = lambda full: mixed(sums[full] + full.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019), 2 * c + 8)  # noqa: B023, E731
+            several, single = np.flatnonzero(held > 1), np.flatnonzero(held == 1)
+            empty = m - len(several) - len(single)
+            few = empty > spare
+            if m - len(several) <= spare:
+                offer(keys(several), c, 0, spare - empty - len(single))
+            else:
+                offer(keys(several), c, 0, 0)
+                offer(keys(single), c, 1, max(0, spare - empty))
         if few:
-            least = -(-percent * len(s) // 100)
-            out.append(mixed(np.sort(mixed(s, 5))[: len(s) - least + 1], 2 * c + 9))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            least, more = -(-percent * len(s) // 100), more_of_prefix(c, percent)
+            offer(mixed(np.sort(mixed(s, 5))[: len(s) - least + 1 + more], 2 * c + 9), c, 2, more)
+    return (np.concatenate(out), np.concatenate(marks)) if out else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def meeting_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of marked_keys() alone."""
+    return marked_keys(s, percent)[0]
 
 
 def linked(overlap: int, a: int, b: int, percent: int) -> bool:
@@ -210,8 +239,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     percent * union; component_id is the smallest doc_id that links lead to, its own included.
 
     Equal sets become one class, whose documents are linked without comparing. Classes that share a
-    meeting key (one segment of their shingles is the same, see meeting_keys) are brought together,
-    which misses no link at any size; their groups are searched exactly by
+    meeting key (one segment of their shingles is the same, see marked_keys) in a size class are brought
+    together, frequent keys left out as far as no link is lost, so none is missed at any size; their groups are searched exactly by
     t_occurrence() in one task each, or block against block if they have more than block_sets
     classes or block_shingles shingles. Links are kept only as far as they join components, so no
     group emits its pairs, and components are sought among classes, so no copies enter them.
@@ -239,7 +268,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         memo: dict = {}
         seen: set[int] = set()  # classes whose keys this task has offered; forgetting some costs rows alone
         for batch in batches(items):
-            ids, keys = [], []
+            ids, keys, marks = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if i is None or not len(s := shingles(x, shingle, memo)):
                     continue
@@ -248,10 +277,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 if len(seen) >= SEEN_CLASSES:
                     seen.clear()
                 seen.add(at)
-                keys.append(meeting_keys(s, percent).view(np.int64))
-                ids.append(np.full(len(keys[-1]), at, np.uint64).view(np.int64))
+                offered, marked = marked_keys(s, percent)
+                keys.append(offered.view(np.int64))
+                marks.append(marked)
+                ids.append(np.full(len(offered), at, np.uint64).view(np.int64))
             if ids:
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(keys)), "c": pa.array(np.concatenate(ids))})
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.concatenate(keys)), "c": pa.array(np.concatenate(ids)), "mark": pa.array(np.concatenate(marks))})
 
     real = sized.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(real.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("most"), F.first("at").alias("at")))
@@ -259,10 +290,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     numbers = classes.select("at", "c", "n_shingles")
     # Keys are dealt once: their sums and the join with them read the same exchange. A set has one row for each
     # of its keys, so a key that many sets share is still a small part of the rows, and they stream past it.
-    dealt = slim.mapInArrow(keyed, "k long, c long").where("k is not null and c is not null").repartition("k")
-    shared = dealt.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").drop("most")
-    met = stored(dealt.join(shared, "k").where("c <> least").select("c", "least").distinct())
-    found = connected_components(met, "c", "least").withColumnsRenamed({"node": "at", "component": "g"}).join(numbers, "at")
+    dealt = slim.mapInArrow(keyed, "k long, c long, mark long").where("k is not null and c is not null and mark is not null").repartition("k")
+    # The aggregate names every column and nulls are gone before, as it reads the join's exchange only if that is the same.
+    shared = dealt.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("mark").alias("mark"), F.count(F.lit(1)).alias("n")).where("least <> most and mark >= 0").select("k", "n")
+    hits = dealt.join(shared, "k").select("k", "c", "mark", "n").distinct()
+    # A phrase that many texts hold would chain them all: a set leaves out its most frequent keys, as many as its mark allows.
+    first = Window.partitionBy("c", "mark").orderBy(F.desc("n"), "k")
+    kept = hits.withColumn("i", F.row_number().over(first)).where(F.col("i") > F.col("mark") % MARK_SPARE)
+    kept = stored(kept.select("k", "c", F.floor(F.col("mark") / (3 * MARK_SPARE)).cast("int").alias("class")))
+    # A set is one node in each of its two classes, or sets of all sizes would chain.
+    node = lambda c: F.xxhash64(c, "class")
+    least = kept.groupBy("k", "class").agg(F.min("c").alias("least"))
+    met = stored(kept.join(least, ["k", "class"]).where("c <> least").select("c", "least", "class").distinct())
+    nodes = met.select(node("c").alias("node"), F.col("c").alias("at")).union(met.select(node("least"), "least")).distinct()
+    found = connected_components(met.select(node("c").alias("a"), node("least").alias("b"))).withColumnRenamed("component", "g").join(nodes, "node").join(numbers, "at")
     groups = stored(found.groupBy("c", "g").agg(F.max("n_shingles").alias("n_shingles")))  # a key with several texts may have several classes
     # A component is searched in parts of about a block at most.
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")

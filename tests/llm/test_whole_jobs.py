@@ -228,3 +228,49 @@ def test_own_scores_deal_each_order_once(spark, monkeypatch):
             assert r["n_words"] == other[i]["n_words"] and abs(r["log_score"] - other[i]["log_score"]) < 1e-9
         # No n-gram of 4 words occurs twice here, so nothing is joined.
         assert order == 4 or "ReusedExchange" in plans[-1].split("Initial Plan")[0]
+
+
+def test_keys_left_out_lose_no_link():
+    """Sets now leave out their most frequent keys; two that link must keep one in common, whatever the frequencies, even the worst ones."""
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        for n in [*range(4, 40), 60, 100, 300, 800]:
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                change = rng.integers(0, n * (100 - percent) // 100 + 1)
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[change:]], rng.integers(0, 2**64, rng.integers(0, change + 1), dtype=np.uint64)]))
+                if not set_join.linked(np.intersect1d(a, b).size, len(a), len(b), percent) or np.array_equal(a, b):
+                    continue
+                marked = [set_join.marked_keys(x, percent) for x in (a, b)]
+                both = set(np.intersect1d(*[k for k, _ in marked]).tolist())
+                kept = []
+                for keys, marks in marked:
+                    rows = {}
+                    for k, mark in zip(keys.tolist(), marks.tolist(), strict=True):
+                        rows.setdefault(mark, []).append(k)
+                    # The common keys count as the most frequent ones.
+                    kept.append({k for mark, ks in rows.items() for k in sorted(ks, key=lambda k: (k not in both, k))[mark % set_join.MARK_SPARE :]})
+                assert kept[0] & kept[1]
+
+
+def test_a_common_phrase_chains_no_texts(spark, monkeypatch):
+    """Texts of all sizes that held one phrase were one group of candidates, whose texts were sent once for each other part of it."""
+    rng, phrase = np.random.default_rng(6), [f"p{i}" for i in range(12)]
+    texts = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 10**9, 20 + i % 60)), *phrase])) for i in range(400)]
+    texts += [(1000 + i, f"{t} more") for i, t in texts[:40]]
+    kept, most, plans = set_join.stored, [], []
+
+    def told(df):
+        if "k" in df.columns:
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = kept(df)
+        if {"c", "g"} <= set(out.columns):
+            most.append(max(r["count"] for r in out.groupBy("g").count().collect()))
+        return out
+
+    monkeypatch.setattr(set_join, "stored", told)
+    got = {r["doc_id"]: r["component_id"] for r in set_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), shingle=5, percent=80).collect()}
+    assert {i: g for i, g in got.items() if i != g} == {1000 + i: i for i in range(40)}
+    assert most and most[0] <= 30
+    assert len(plans) == 1 and "ReusedExchange" in plans[0]  # the keys are dealt out once
