@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import appended, batches, fresh, lowered_words_table, prepare, utf8, with_schema
+from .common import appended, batches, fresh, lowered_words_table, prepare, tidy, utf8, with_schema
 
 #: Test windows that one pass holds; more are searched in further passes.
 BLOCK_WINDOWS = 500_000
@@ -115,6 +115,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         shared = spark.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in mine.toLocalIterator()])
         last, name = k == blocks - 1, fresh("pass")
 
+        @tidy
         def scanned(items, k=k, shared=shared, last=last, name=name):
             search = built(name, shared.value, window)
             for batch in batches(items):

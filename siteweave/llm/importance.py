@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import COUNT_TYPES, appended, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, utf8, with_schema, word_hashes
+from .common import COUNT_TYPES, appended, batches, count_blocks, lowered_spaces_table, prepare, sequence_hashes, summed_counts, tidy, utf8, with_schema, word_hashes
 
 #: Buckets of the hashed models: the size of what is sent to every task.
 BUCKETS = 1 << 17
@@ -34,6 +34,7 @@ def bucket_counts(docs: DataFrame, text: str = "text", target: str = "target") -
     """
     prepare(docs.sparkSession)
 
+    @tidy
     def counted(items):
         total, memo = np.zeros(2 * BUCKETS, np.int64), {}
         for batch in batches(items):
@@ -116,6 +117,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str =
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
+    @tidy
     def weighed(items):
         r, memo = shared.value, {}
         for batch in batches(items):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import batches, prepare, texts
+from .common import batches, prepare, texts, tidy
 
 #: Documents in a group on the average; a group is packed by one task from lengths alone.
 GROUP_DOCS = 4096
@@ -70,6 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     end = end_id.to_bytes(4, "little")
     step = 4 * room
 
+    @tidy
     def encoded(items):
         bpe = byte_bpe(tokenizer)
         for batch in batches(items):

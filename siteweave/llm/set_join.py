@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.skew import hub_join
 from ..session import checkpointed, stored
-from .common import batches, lowered_spaces_table, prepare, sequence_hashes, utf8, word_hashes
+from .common import batches, lowered_spaces_table, prepare, release, sequence_hashes, tidy, utf8, word_hashes
 
 #: A mark of a key is (3 * its class + its kind + 3) times this, plus the keys of its kind that its set may leave out.
 MARK_SPARE = 1 << 20
@@ -25,6 +25,10 @@ MARK_SPARE = 1 << 20
 #: Sets and shingles of one block; a larger group is searched block against block.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 2_000_000
 
+#: Bytes of a group after which its worker gives its memory back; for smaller ones that would take longer than their search.
+LARGE_GROUP = 1 << 20
+
+
 def shingles(text: bytes, n: int, memo: dict, table: bytes = lowered_spaces_table()) -> np.ndarray:
     """The set of hashes of n-word shingles, ascending; of the whole sequence, if it is shorter."""
     words = text.translate(table).split()
@@ -253,6 +257,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prepare(spark)
     signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
 
+    @tidy
     def shingled(items):
         memo: dict = {}
         for batch in batches(items):
@@ -264,6 +269,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     sized = checkpointed(slim.mapInArrow(shingled, "doc_id long, n_shingles long, h1 long, h2 long, at long"))
 
+    @tidy
     def keyed(items):
         memo: dict = {}
         seen: set[int] = set()  # classes whose keys this task has offered; forgetting some costs rows alone
@@ -314,7 +320,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     placed = placed.withColumn("pair", F.explode(pairs)).select("g", "c", "part", "pair.p", "pair.q")
 
     def searched(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        p, q = key_[1].as_py(), key_[2].as_py()
+        p, q, large = key_[1].as_py(), key_[2].as_py(), table.nbytes > LARGE_GROUP
         table = table.sort_by([("c", "ascending")])
         labels, part = table.column("c").to_pylist(), table.column("part").to_pylist()
         memo: dict = {}
@@ -324,6 +330,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for i, j in t_occurrence(sets, percent, known):
             unions.join(i, j)
             out.append((labels[i], labels[j]))
+        if large:
+            del table, sets, memo
+            release()
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     # Few texts are in a group, so the others are not dealt out to meet their places.

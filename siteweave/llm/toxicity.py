@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, batches, prepare, texts, with_schema
+from .common import appended, batches, prepare, texts, tidy, with_schema
 
 #: Labelled documents that the fit reads of either label, at most; drawn by a hash of their ids.
 FIT_ROWS = 4000
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     slim = docs.select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     sample = checkpointed(_sample(slim, labels, key, label, rows))
 
+    @tidy
     def counted(items):
         n: Counter = Counter()
         for batch in batches(items):
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     toxic = {r["term"]: r["n"] for r in often.collect()}  # each document has a bounded share of a bounded sample's terms
     known = frozenset(toxic)
 
+    @tidy
     def checked(items):
         n: Counter = Counter()
         for batch in batches(items):
@@ -194,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weights = chosen(toxic, clean, p, q)
     lexicon = Lexicon(weights, exceptions)
 
+    @tidy
     def measured(items):
         automaton = lexicon.matcher()
         for batch in batches(items):
@@ -227,6 +230,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """
     prepare(docs.sparkSession)
 
+    @tidy
     def scored(items):
         automaton = lexicon.matcher()
         c0, c1, c2 = lexicon.coefficients
