@@ -2,6 +2,7 @@
 
 Frames have a vector column `features`, a target `y` and an integer key `k`. Fitting loops are short
 (models, seeds, folds, domains) and run on the driver; every fit and every transform is a Spark job.
+The folds of a scheme are fitted side by side, as each fit is a row of short jobs that leave cores idle.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,6 +33,10 @@ from .quantiles import keyed_quantiles
 ALPHAS = tuple(10 ** (-2 + i / 2) for i in range(13))
 
 
+#: Fits that run side by side; each keeps its training rows in the executors meanwhile.
+FITS = 5
+
+
 def vectors(df: DataFrame, array: str | Column, out: str = "features") -> DataFrame:
     """df with an array of numbers as a vector."""
     return df.withColumn(out, array_to_vector(F.transform(array, lambda v: v.cast("double"))))
@@ -342,15 +349,19 @@ def cross_predict(df: DataFrame, model: Callable[[int], object] | str, reducer:
     on all rows, once. with_nn adds the distance to the nearest training place.
     """
     sizes = {r["fold"]: r["n"] for r in df.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each fold
-    total, parts = sum(sizes.values()), []
+    total = sum(sizes.values())
     usable = sorted(f for f in sizes if f is not None and sizes[f] >= least and total - sizes[f] >= least)
     shared = REDUCERS[reducer](df, k) if scope == "global" and usable else None
-    for fold in usable:
-        train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
-        got = predict(fit_pipeline(train, model, reducer, k, seed, shared), test).drop("features")
-        parts.append(got)
-    if not parts:
+    if not usable:
         return df.drop("features").withColumn("yhat", F.lit(None).cast("double")).limit(0)
+
+    def predicted(fold) -> DataFrame:
+        train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+        return predict(fit_pipeline(train, model, reducer, k, seed, shared), test).drop("features")
+
+    own = lambda fold: inheritable_thread_target(df.sparkSession)(lambda: predicted(fold))  # noqa: E731 - properties of its own for each thread
+    with ThreadPool(min(FITS, len(usable))) as pool:
+        parts = pool.map(lambda job: job(), [own(f) for f in usable])
     out = reduce(DataFrame.unionByName, parts)
     if with_nn:
         out = out.join(joins.nn_other_group(df, "fold", "k", "latitude", "longitude"), "k", "left")
