@@ -147,7 +147,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rank = {g: i for i, g in enumerate(sorted(weight, key=lambda g: (weight[g], g)))}
     a = signatures(words, rank, weight, True)
     b = signatures(words, rank, weight, False).select("at", F.col("word").alias("other"), F.col("n").alias("m"))
-    met = a.join(b, "at").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+    # A word has dozens of keys, which Spark sizes as one row: broadcast, they would fill the driver.
+    met = a.join(b.hint("merge"), "at").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     both = met.select(F.explode(F.array(F.struct("word", "other", F.col("m").alias("n")), F.struct(F.col("other").alias("word"), F.col("word").alias("other"), "n"))).alias("p")).select("p.*")
     return both.groupBy("word", "other").agg(F.first("n").alias("n"))
 
@@ -168,8 +169,8 @@ def variant_groups(words: DataFrame, ratio: int = 5) -> DataFrame:
     ways = found.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
         onward = ways.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = stored(ways.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        longer = stored(ways.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         ways = longer.select("word", "root")
         if not longer.where("moved").head(1):
             break
-    return found.join(ways, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return found.join(ways.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -189,6 +189,13 @@ def test_near_pairs_equal_brute_force(spark, letters):
     assert got == sorted((a, b, words.index(b) + 1) for a in words for b in words if one_edit(a, b)) and len(got) > 500
 
 
+def test_keys_of_words_are_not_broadcast_however_small_the_file_of_words_is(spark, tmp_path):
+    spark.createDataFrame([("example", 9), ("exampel", 5), ("sample", 5)], "word string, n long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_forms_and_roots(spark):
     rows = [("abcdefg", 10_000), ("abcdefgh", 900), ("abcdefghi", 100), ("abcdefghij", 11), ("zbcdefg", 10_000), ("other", 5), ("abcdefx", 9000)]
     got = {r["word"]: (r["form"], r["root"], r["n_near"], r["form_n"]) for r in spelling.variant_groups(spark.createDataFrame(rows, "word string, n long")).collect()}
