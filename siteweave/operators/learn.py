@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,9 @@ ALPHAS = tuple(10 ** (-2 + i / 2) for i in range(13))
 #: Fits that run side by side; each keeps its training rows in the executors meanwhile.
 FITS = 5
 
+#: Spark's own LAPACK keeps constants in static fields, so decompositions of several threads disturb each other: they may fail to converge, never end or be wrong.
+_DECOMPOSING = Lock()
+
 
 def vectors(df: DataFrame, array: str | Column, out: str = "features") -> DataFrame:
     """df with an array of numbers as a vector."""
@@ -68,7 +72,8 @@ def fit_pca(train: DataFrame, k: int | None = None, column: str = "features", ou
     n = train.count()
     scaler = fit_scaler(train, column, "__z", n)
     scaled = scaler.transform(train)
-    pca = PCA(k=component_count(k, scaler.stages[0].mean.size, n), inputCol="__z", outputCol="__pc").fit(scaled)
+    with _DECOMPOSING:
+        pca = PCA(k=component_count(k, scaler.stages[0].mean.size, n), inputCol="__z", outputCol="__pc").fit(scaled)
     loads = pca.pc.toArray()
     signs = np.sign(loads[np.abs(loads).argmax(axis=0), np.arange(loads.shape[1])])
     flip = ElementwiseProduct(scalingVec=Vectors.dense(np.where(signs == 0, 1.0, signs)), inputCol="__pc", outputCol=out)
